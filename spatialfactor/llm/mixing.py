@@ -18,7 +18,7 @@ WEIGHTS = (5, 2, 1)
 #: No source is taken more often than this.
 MOST_COPIES = 3
 #: Documents whose order is settled in one window; a source's size class is cut into hash ranges of about so many.
-CELL_ROWS = 10_000
+CELL_ROWS = 1_000
 
 
 def hash32(value: Column) -> Column:
