@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import PurePosixPath
+from pathlib import Path, PurePosixPath
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the executors' Python, once per context, so that jobs don't need it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_spatialfactor_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="spatialfactor-")) / "spatialfactor_sources.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._spatialfactor_shipped = True
+
+
 def words_column(text: Column) -> Column:
     """Array of the words of ``text``, none for null, as a native expression."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -75,4 +90,5 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[dict]], sc
         for got in rows(columns(batches)):
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
