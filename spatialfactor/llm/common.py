@@ -92,3 +92,8 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[dict]], sc
 
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def ddl(df: DataFrame) -> str:
+    """The schema of a DataFrame as ``map_rows`` takes it."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

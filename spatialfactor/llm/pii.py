@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import ddl, map_rows
 
 #: The kinds, in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -344,8 +344,5 @@ def redact_documents(docs: DataFrame, sample: int = 300, longest: int = 5000, te
                 out[length_column] = [len(n) if s else old for n, s, old in zip(new, found, batch[length_column].to_pylist(), strict=True)]
             yield out
 
-    return map_rows(docs, rows, _ddl(docs))
+    return map_rows(docs, rows, ddl(docs))
 
-
-def _ddl(docs: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
