@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, mixing, near_dedup, packing, pii, quality_rules, token_counts, toxicity
+from . import html_extract, mixing, near_dedup, packing, pii, quality_rules, token_counts, topk, toxicity
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_extraction": op2_html_extraction,
     "op3_packing": op3_packing,
+    "op4_top_k": op4_top_k,
     "op5_toxicity": op5_toxicity,
     "op7_personal_data": op7_personal_data,
     "op8_token_counts": op8_token_counts,
@@ -54,4 +59,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_top_k": topk.ORACLE, "op9_mixing": mixing.ORACLE}
