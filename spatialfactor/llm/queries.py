@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, mixing, near_dedup, packing, pii, quality_rules, token_counts, topk, toxicity
+from . import html_extract, language_id, mixing, near_dedup, packing, pii, quality_rules, token_counts, topk, toxicity
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_top_k": op4_top_k,
     "op5_toxicity": op5_toxicity,
+    "op6_language_id": op6_language_id,
     "op7_personal_data": op7_personal_data,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
