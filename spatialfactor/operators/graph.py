@@ -1,0 +1,164 @@
+"""Spatial neighbour graphs, Laplacians and edge lists.
+
+Observations are (obs_id, sample_id, x, y); edges (i, j, a, dist) hold both directions; a Laplacian is (i, j, v) with its
+diagonal. Neighbours are sought within a sample only, so a graph of many samples is block diagonal.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Points wanted in a grid cell, in multiples of the number of neighbours.
+CELL_FILL = 2.0
+
+
+def _distance() -> Column:
+    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def _grid(obs: DataFrame, size) -> DataFrame:
+    return obs.withColumn("cell", size).withColumn("cx", F.floor(F.col("x") / F.col("cell"))).withColumn("cy", F.floor(F.col("y") / F.col("cell")))
+
+
+def _around(grid: DataFrame) -> DataFrame:
+    """Each row for each of the nine cells around its own."""
+    steps = F.array(*[F.lit(s) for s in (-1, 0, 1)])
+    return grid.withColumn("sx", F.explode(steps)).withColumn("sy", F.explode(steps)).withColumn("cx", F.col("cx") + F.col("sx")).withColumn("cy", F.col("cy") + F.col("sy")).drop("sx", "sy")
+
+
+def nearest(obs: DataFrame, k: int) -> DataFrame:
+    """Directed edges (i, j, dist) from each observation to its ``k`` nearest of the sample, ties to the smaller id.
+
+    Candidates come from the nine grid cells around a point; cells are sized by the sample's density. Where the k-th
+    candidate is not surely nearer than the rim of those cells, the point is compared with its whole sample; in data of
+    even density few points are. Samples that a single cell covers are compared as a whole from the start.
+    """
+    points = obs.select("obs_id", "sample_id", "x", "y")
+    extent = points.groupBy("sample_id").agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
+    side = F.sqrt(F.col("w") * F.col("h") * F.lit(CELL_FILL * (k + 1)) / F.col("n"))
+    extent = extent.select("sample_id", F.when(side > 0, side).otherwise(F.greatest("w", "h", F.lit(1.0))).alias("cell"))
+    grid = points.join(extent, "sample_id").withColumn("cx", F.floor(F.col("x") / F.col("cell"))).withColumn("cy", F.floor(F.col("y") / F.col("cell")))
+    ranked = lambda pairs: pairs.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("dist", "j"))).where(F.col("rank") <= k)
+    pair = (F.col("a.obs_id").alias("i"), F.col("b.obs_id").alias("j"), _distance().alias("dist"))
+    near = _around(grid).alias("a").join(grid.alias("b"), (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.obs_id") != F.col("b.obs_id")))
+    near = ranked(near.select(*pair))
+    # the nine cells reach at least one cell beyond the point
+    sure = near.groupBy("i").agg(F.max("dist").alias("far"), F.count("*").alias("n"))
+    left = grid.join(sure, grid["obs_id"] == sure["i"], "left").where(F.col("i").isNull() | (F.col("n") < k) | (F.col("far") >= F.col("cell"))).select(*points.columns)
+    whole = left.alias("a").join(points.alias("b"), (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.obs_id") != F.col("b.obs_id")))
+    near = near.join(left.select(F.col("obs_id").alias("i")), "i", "left_anti")
+    return near.select("i", "j", "dist").unionByName(ranked(whole.select(*pair)).select("i", "j", "dist"))
+
+
+def symmetric(edges: DataFrame) -> DataFrame:
+    """Union of both directions, weight 1; the distance is half the sum over directions, so that of a neighbour that is
+    one only in one direction is halved."""
+    back = edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "dist")
+    return edges.select("i", "j", "dist").unionByName(back).groupBy("i", "j").agg((F.sum("dist") / 2).alias("dist")).select("i", "j", F.lit(1.0).alias("a"), "dist")
+
+
+def knn_graph(obs: DataFrame, k: int = 6, skip_small: bool = False) -> DataFrame:
+    """Symmetric k-nearest-neighbour graph. Samples of ``k`` points or fewer raise, or are left out."""
+    small = obs.groupBy("sample_id").agg(F.count("*").alias("n")).where(F.col("n") < k + 1)
+    if skip_small:
+        obs = obs.join(small.select("sample_id"), "sample_id", "left_anti")
+    elif not small.isEmpty():
+        raise ValueError(f"a sample has fewer than {k + 1} observations")
+    return symmetric(nearest(obs, k))
+
+
+def auto_radius(obs: DataFrame) -> float:
+    """1.5 * sqrt(area / n), area the product of the coordinate ranges."""
+    r = obs.agg(F.count("*").alias("n"), ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area")).first()
+    return 1.5 * (r["area"] / r["n"]) ** 0.5
+
+
+def radius_graph(obs: DataFrame, radius: float | None = None) -> DataFrame:
+    """All pairs of a sample within the radius, both directions, by grid cells as wide as the radius."""
+    radius = auto_radius(obs) if radius is None else radius
+    grid = _grid(obs.select("obs_id", "sample_id", "x", "y"), F.lit(float(radius)))
+    pairs = _around(grid).alias("a").join(grid.alias("b"), (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.obs_id") != F.col("b.obs_id")))
+    return pairs.select(F.col("a.obs_id").alias("i"), F.col("b.obs_id").alias("j"), F.lit(1.0).alias("a"), _distance().alias("dist")).where(F.col("dist") <= radius)
+
+
+def set_diag(edges: DataFrame, obs: DataFrame) -> DataFrame:
+    """The graph with self loops of weight 1."""
+    return edges.select("i", "j", "a", "dist").unionByName(obs.select(F.col("obs_id").alias("i"), F.col("obs_id").alias("j"), F.lit(1.0).alias("a"), F.lit(0.0).alias("dist")))
+
+
+def build_graph(obs: DataFrame, method: str = "knn", k: int = 6, radius: float | None = None, diagonal: bool = False) -> DataFrame:
+    """Graph by method: knn, radius or delaunay."""
+    if method == "knn":
+        edges = knn_graph(obs, k)
+    elif method == "radius":
+        edges = radius_graph(obs, radius)
+    elif method == "delaunay":
+        from .delaunay import delaunay_graph
+
+        edges = delaunay_graph(obs)
+    else:
+        raise ValueError(f"unknown graph method: {method}")
+    return set_diag(edges, obs) if diagonal else edges
+
+
+def graph_from_coords(obs: DataFrame, radius: float | None = None, k: int | None = None) -> DataFrame:
+    """Low-level form: a radius graph, or a directed k-nearest-neighbour graph; the radius wins if both are given."""
+    if radius is not None:
+        return radius_graph(obs, radius)
+    if k is None:
+        raise ValueError("give a radius or a number of neighbours")
+    return nearest(obs, k).select("i", "j", F.lit(1.0).alias("a"), "dist")
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("i").agg(F.sum("a").alias("degree"))
+
+
+def average_degree(edges: DataFrame, obs: DataFrame) -> DataFrame:
+    """Mean row sum over all observations."""
+    all_of = obs.select(F.col("obs_id").alias("i")).join(degrees(edges), "i", "left")
+    return all_of.agg(F.avg(F.coalesce("degree", F.lit(0.0))).alias("average_degree"))
+
+
+def laplacian(edges: DataFrame, obs: DataFrame, normalized: bool = True) -> DataFrame:
+    """(i, j, v): I - D^-1/2 A D^-1/2, with 1 on the diagonal also where the degree is 0; or D - A."""
+    degree = degrees(edges)
+    nodes = obs.select(F.col("obs_id").alias("i")).join(degree, "i", "left").withColumn("degree", F.coalesce("degree", F.lit(0.0)))
+    loops = edges.where("i = j").select("i", F.col("a").alias("loop"))
+    if not normalized:
+        off = edges.where("i <> j").select("i", "j", (-F.col("a")).alias("v"))
+        diagonal = nodes.join(loops, "i", "left").select("i", F.col("i").alias("j"), (F.col("degree") - F.coalesce("loop", F.lit(0.0))).alias("v"))
+        return off.unionByName(diagonal)
+    at_j = degree.select(F.col("i").alias("j"), F.col("degree").alias("dj"))
+    off = edges.where("i <> j").join(degree, "i").join(at_j, "j").select("i", "j", (-F.col("a") / F.sqrt(F.col("degree") * F.col("dj"))).alias("v"))
+    diagonal = nodes.join(loops, "i", "left").select("i", F.col("i").alias("j"), (F.lit(1.0) - F.coalesce(F.try_divide("loop", "degree"), F.lit(0.0))).alias("v"))
+    return off.unionByName(diagonal)
+
+
+def per_sample_laplacian(obs: DataFrame, k: int = 8) -> DataFrame:
+    """Normalised Laplacian of each sample's graph under the observations' own ids; small samples have no entries."""
+    if k < 1:
+        raise ValueError("the number of neighbours must be at least 1")
+    if not obs.where("sample_id IS NULL").isEmpty():
+        raise ValueError("sample ids must not be null")
+    small = obs.groupBy("sample_id").agg(F.count("*").alias("n")).where(F.col("n") < k + 1).select("sample_id")
+    large = obs.join(small, "sample_id", "left_anti")
+    return laplacian(symmetric(nearest(large, k)), large)
+
+
+def edges_from_laplacian(lap: DataFrame) -> DataFrame:
+    """Upper-triangle edges (i, j, weight): -v cut at 0, over the largest; all ones if there is no weight."""
+    upper = lap.where("i < j").select("i", "j", F.greatest(-F.col("v"), F.lit(0.0)).alias("weight")).where("weight > 0")
+    top = upper.agg(F.max("weight").alias("top"))
+    return upper.join(F.broadcast(top)).select("i", "j", F.coalesce(F.try_divide("weight", "top"), F.lit(1.0)).alias("weight"))
+
+
+def edge_list(edges: DataFrame, weighted: bool = True) -> DataFrame:
+    """Upper-triangle edges with weight 1 / (dist + 1e-6) over the largest, or 1. Distances go by (i, j)."""
+    upper = edges.where("i < j")
+    if not weighted:
+        return upper.select("i", "j", F.lit(1.0).alias("weight"))
+    raw = upper.select("i", "j", (F.lit(1.0) / (F.col("dist") + F.lit(1e-6))).alias("weight"))
+    return raw.join(F.broadcast(raw.agg(F.max("weight").alias("top")))).select("i", "j", (F.col("weight") / F.col("top")).alias("weight"))

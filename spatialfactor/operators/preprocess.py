@@ -1,0 +1,139 @@
+"""Quality control, normalisation and gene selection of a measurement matrix (obs_id, var_id, x); absent entries are 0."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def filter_cells(expr: DataFrame, obs: DataFrame, min_genes: int = 200) -> DataFrame:
+    """Observations with at least ``min_genes`` positive entries, with N_genes; an existing N_genes column is used."""
+    if "N_genes" not in obs.columns:
+        counts = expr.groupBy("obs_id").agg(F.count_if(F.col("x") > 0).alias("N_genes"))
+        obs = obs.join(counts, "obs_id", "left").withColumn("N_genes", F.coalesce("N_genes", F.lit(0)))
+    return obs.where(F.col("N_genes") >= min_genes) if min_genes > 0 else obs
+
+
+def gene_stats(expr: DataFrame, n_obs: int) -> DataFrame:
+    """(var_id, n_cells, mean): positive entries and the mean over all observations."""
+    return expr.groupBy("var_id").agg(F.count_if(F.col("x") > 0).alias("n_cells"), (F.sum("x") / F.lit(float(n_obs))).alias("mean"))
+
+
+def filter_genes(expr: DataFrame, n_obs: int, min_cells_pct: float = 0.01, min_mean: float = 0.0) -> DataFrame:
+    """Genes positive in at least max(3, int(n * pct)) observations and with the mean wanted, if one is."""
+    least = max(3, int(n_obs * min_cells_pct))
+    kept = gene_stats(expr, n_obs).where(F.col("n_cells") >= least)
+    return kept.where(F.col("mean") >= min_mean) if min_mean > 0 else kept
+
+
+def abnormal_genes(expr: DataFrame) -> DataFrame:
+    """Genes with a NaN, infinite or negative entry."""
+    odd = F.isnan("x") | (F.abs("x") == float("inf")) | (F.col("x") < 0)
+    return expr.groupBy("var_id").agg(F.bool_or(odd).alias("odd")).where("odd").select("var_id")
+
+
+def normalize_total(expr: DataFrame, target: float = 1e4) -> DataFrame:
+    """Entries scaled so that each observation sums to the target; one that sums to 0 stays."""
+    total = F.sum("x").over(Window.partitionBy("obs_id"))
+    return expr.withColumn("x", F.coalesce(F.try_divide(F.col("x") * F.lit(target), total), F.col("x")))
+
+
+def log1p(expr: DataFrame) -> DataFrame:
+    return expr.withColumn("x", F.log1p("x"))
+
+
+def clean(expr: DataFrame) -> DataFrame:
+    """NaN and infinite entries become 0, that is, go."""
+    return expr.where(~F.isnan("x") & (F.abs("x") != float("inf")) & (F.col("x") != 0))
+
+
+def matrix_stats(expr: DataFrame, n_obs: int, n_var: int) -> DataFrame:
+    """Share of zeros in percent, least and greatest entry."""
+    cells = float(n_obs * n_var)
+    one = expr.agg(F.count_if(F.col("x") != 0).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    gap = F.col("n") < F.lit(cells)
+    return one.select(
+        (F.lit(100.0) * (F.lit(1.0) - F.col("n") / F.lit(cells))).alias("sparsity"),
+        F.when(gap, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("min_x"),
+        F.when(gap, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("max_x"),
+    )
+
+
+def highly_variable(expr: DataFrame, obs: DataFrame, n_top: int = 2000, span: float = 0.3) -> DataFrame:
+    """(var_id, rank, highly_variable) by the variance of standardised, clipped entries, batch by batch.
+
+    Per sample: a local quadratic fit of log10 variance on log10 mean over the genes, on the driver (a few numbers a
+    gene), gives the expected deviation; entries standardised by it are clipped at sqrt(n) and their variance ranks the
+    genes. Genes are ordered by the number of samples in which they rank among the top, then by the median rank.
+    """
+    import numpy as np
+
+    spark = expr.sparkSession
+    sizes = {r["sample_id"]: r["n"] for r in obs.groupBy("sample_id").agg(F.count("*").alias("n")).collect()}
+    at = expr.join(obs.select("obs_id", "sample_id"), "obs_id")
+    sums = at.groupBy("sample_id", "var_id").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss")).collect()
+    fitted = []
+    for sample, n in sizes.items():
+        rows = [r for r in sums if r["sample_id"] == sample]
+        mean = np.asarray([r["s"] / n for r in rows])
+        var = np.asarray([max((r["ss"] - r["s"] ** 2 / n) / max(n - 1, 1), 0.0) for r in rows])
+        ok = (var > 0) & (mean > 0)
+        expected = np.zeros(len(rows))
+        if ok.sum() > 3:
+            expected[ok] = 10 ** local_quadratic(np.log10(mean[ok]), np.log10(var[ok]), span)
+        fitted += [(sample, r["var_id"], float(m), float(np.sqrt(e)), float(np.sqrt(n)), n) for r, m, e in zip(rows, mean, expected, strict=True) if e > 0]
+    table = spark.createDataFrame(fitted, "sample_id string, var_id bigint, mean double, sd double, top double, n bigint")
+    clipped = F.least("x", F.col("mean") + F.col("sd") * F.col("top"))
+    sums = at.join(table, ["sample_id", "var_id"]).groupBy("sample_id", "var_id", "mean", "sd", "n").agg(F.sum(clipped).alias("s"), F.sum(clipped * clipped).alias("ss"))
+    score = (F.col("n") * F.col("mean") ** 2 + F.col("ss") - 2 * F.col("s") * F.col("mean")) / (F.greatest(F.col("n") - 1, F.lit(1)) * F.col("sd") ** 2)
+    ranked = sums.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("sample_id").orderBy(F.col("score").desc(), "var_id")))
+    per_gene = ranked.groupBy("var_id").agg(F.count_if(F.col("rank") <= n_top).alias("samples"), F.expr("percentile(rank, 0.5)").alias("median_rank"))
+    order = Window.orderBy(F.col("samples").desc(), "median_rank", "var_id")
+    return per_gene.withColumn("rank", F.row_number().over(order)).select("var_id", "rank", (F.col("rank") <= n_top).alias("highly_variable"))
+
+
+def local_quadratic(x, y, span: float):
+    """Tricube-weighted quadratic fit around each point, over the nearest ``span`` of the points."""
+    import numpy as np
+
+    k = max(4, int(np.ceil(span * len(x))))
+    out = np.empty(len(x))
+    for i, c in enumerate(x):
+        d = np.abs(x - c)
+        near = np.argpartition(d, min(k, len(x)) - 1)[:k]
+        h = d[near].max() or 1.0
+        sw = np.sqrt(np.maximum((1 - (d[near] / h) ** 3) ** 3, 1e-9))
+        a = np.vander(x[near] - c, 3)
+        out[i] = np.linalg.lstsq(a * sw[:, None], y[near] * sw, rcond=None)[0][2]
+    return out
+
+
+def validate_hvg(expr: DataFrame, n_obs: int, chosen: DataFrame) -> DataFrame:
+    """Chosen genes (var_id) with a mean of 0 or more that max(5, int(n * 0.01)) observations or more express."""
+    stats = gene_stats(expr, n_obs).where((F.col("mean") >= 0) & (F.col("n_cells") >= max(5, int(n_obs * 0.01))))
+    return chosen.join(stats.select("var_id"), "var_id", "left_semi")
+
+
+def mask_genes(expr: DataFrame, chosen: DataFrame) -> DataFrame:
+    return expr.join(chosen.select("var_id"), "var_id", "left_semi")
+
+
+def expand_genes(q: DataFrame, var: DataFrame) -> DataFrame:
+    """Q over all genes: 0 for those that were masked."""
+    every = var.select("var_id").crossJoin(F.broadcast(q.select("k").distinct()))
+    return every.join(q, ["var_id", "k"], "left").select("var_id", "k", F.coalesce("q", F.lit(0.0)).alias("q"))
+
+
+def standard_preprocess(expr: DataFrame, obs: DataFrame, min_genes: int = 200, min_cells_pct: float = 0.01, min_mean: float = 0.0, target: float | None = 1e4, log: bool = True, n_top: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cell QC, gene QC, abnormal genes, normalise, log1p, gene selection, cleaning, in this order: (expr, obs)."""
+    obs = filter_cells(expr, obs, min_genes)
+    expr = expr.join(obs.select("obs_id"), "obs_id", "left_semi")
+    n = obs.count()
+    expr = expr.join(filter_genes(expr, n, min_cells_pct, min_mean).select("var_id"), "var_id", "left_semi")
+    expr = expr.join(abnormal_genes(expr), "var_id", "left_anti")
+    expr = normalize_total(expr, target) if target else expr
+    expr = log1p(expr) if log else expr
+    if n_top:
+        chosen = highly_variable(expr, obs, n_top).where("highly_variable")
+        expr = mask_genes(expr, validate_hvg(expr, n, chosen))
+    return clean(expr), obs
