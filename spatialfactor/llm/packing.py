@@ -24,7 +24,9 @@ from .common import map_rows, written
 from .mixing import hash32
 
 CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
-#: Chunks remembered in a worker; all are forgotten when there are more.
+#: A chunk that is a word and ASCII marks after it: letters of U+00C0 to U+024F have one form each and lower one by one.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+#: Entries of each table of chunks or words that a worker remembers; there are two generations, the older one goes.
 REMEMBERED = 200_000
 #: Pieces of one length whose order is settled in one window.
 CELL_ROWS = 1_000
@@ -101,43 +103,94 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int
     return steps, opened
 
 
-@cache
-def encoder(path: str):
-    """Function from a text to its ids as little-endian unsigned 32-bit bytes.
+class Remembered:
+    """A table of bounded size: when it is full it becomes the older generation, from which what is used moves back."""
+
+    def __init__(self, most: int = REMEMBERED):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        if (found := self.new.get(key)) is None and (found := self.old.get(key)) is not None:
+            self.new[key] = found
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        self.new[key] = value
 
-    The vocabulary's library drops white space and never joins over it, so a text is encoded chunk by chunk and chunks
-    seen before are looked up.
+    def tidy(self) -> None:
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+
+
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit bytes, as the vocabulary's library gives them.
+
+    The library drops white space and cuts texts there and between letters and marks, so a text is put together from its
+    chunks, and a chunk that is a word and marks from the two. Chunks and words seen before are looked up; new words go
+    to the library in one call, whose ids are cut after each token that ends a word.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    known: dict[str, bytes] = {}
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.chunks, self.words = Remembered(), Remembered()
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of lower-case words of letters."""
+        ids = self.ids([" ".join(words)])[0]
+        after = np.flatnonzero(self.ends[ids]) + 1
+        cut = np.split(ids, after[:-1]) if len(after) == len(words) and (not len(ids) or after[-1] == len(ids)) else self.ids(words)
+        for word, part in zip(words, cut, strict=True):
+            self.words.put(word, part.tobytes())
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [CHUNK.findall(t) for t in texts]
+        self.chunks.tidy()
+        self.words.tidy()
+        known, get = self.chunks.new, self.chunks.get
+        missing = {c for chunks in cut for c in chunks if c not in known}
+        missing = [c for c in missing if get(c) is None]
+        plain = {c: (m[1].lower(), m[2]) for c in missing if (m := PLAIN.fullmatch(c))}
+        parts = {w for pair in plain.values() for w in pair if w}
+        new = [w for w in parts if self.words.get(w) is None]
+        if letters := [w for w in new if w[0].isalpha()]:
+            self.learn(letters)
+        marks = [w for w in new if not w[0].isalpha()]
+        for w, got in zip(marks, self.ids(marks), strict=True):
+            self.words.put(w, got.tobytes())
+        for c, (word, rest) in plain.items():
+            known[c] = self.words.new[word] + self.words.new[rest] if rest else self.words.new[word]
+        other = [c for c in missing if c not in plain]
+        for c, got in zip(other, self.ids(other), strict=True):
+            known[c] = got.tobytes()
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
 
-    def encode(text: str) -> bytes:
-        chunks = CHUNK.findall(text)
-        new = list({c for c in chunks if c not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(set(chunks))
-        for chunk, got in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[chunk] = np.asarray(got.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, chunks))
 
-    return encode
+@cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per piece of a document: piece, start, length, ids_crc32. A null text is empty and gives the end id alone."""
 
     def rows(batches):
-        encode, end = encoder(vocabulary), np.asarray([end_id], dtype="<u4").tobytes()
+        coder, end = encoder(vocabulary), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("id", "piece", "start", "length", "ids_crc32")}
-            for key, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = encode(text or "") + end
+            encoded = coder.encode([t or "" for t in batch["text"].to_pylist()])
+            for key, ids in zip(batch["id"].to_pylist(), encoded, strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for k, v in zip(out, (key, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
