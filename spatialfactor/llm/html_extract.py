@@ -210,11 +210,11 @@ def main_lines(page: list[tuple[str, bool, bool]], path: str, neighbours: list[t
     """The page's lines of main text, and how many lines the neighbour shares.
 
     ``neighbours`` are paths and lines of the pages before and after it on its host. The nearer one is taken; one with
-    the very same lines tells nothing, so then the other is.
+    the very same lines, or none, tells nothing, so then the other is.
     """
     lines = [x[0] for x in page]
     ranked = sorted(neighbours, key=lambda n: -common_start(path, n[0]))
-    other = next((n for _, n in ranked if n != lines), None)
+    other = next((n for _, n in ranked if n and n != lines), None)
     shared = lcs_shared(lines, other) if other else [False] * len(lines)
     has_main = any(is_main and not frame for _, is_main, frame in page)
     kept = [x for (x, is_main, frame), s in zip(page, shared, strict=True) if not frame and (is_main if has_main else not s)]

@@ -1,0 +1,184 @@
+"""Quality rules, packing, personal data, token counts: against plain versions on small rows of every kind."""
+
+from __future__ import annotations
+
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from spatialfactor.llm import packing, pii, quality_rules, token_counts
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_counts(text):
+    words, lines = WORD.findall(text or ""), [x for x in (text or "").split("\n") if WORD.search(x)]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    times, covered = Counter(windows), set()
+    for i, w in enumerate(windows):
+        if times[w] > 1:
+            covered |= set(range(i, i + 5))
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules_counts_and_verdicts(spark, documents, rows):
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(104, 0), (None, 1)], "doc_id bigint, quality int")
+    got = quality_rules.quality_rules(documents, labels)
+    assert got.columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    want = Counter((i, *plain_counts(t)) for i, t, _ in rows)
+    assert Counter(tuple(r)[:6] for r in got.collect()) == want
+    for r in got.collect():
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+        assert not (r.base_failed and r.kept)
+    assert {r.doc_id for r in got.where("kept").collect()} >= set(range(30))
+    assert quality_rules.quality_rules(documents.limit(0), labels.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a b c d e f a b c d e", "x\nx\n\n \nx\ty\n", "é é é é é é é é", "#|<a\x0bb\x1cc", "1 2 3 4 5 " * 9])
+def test_quality_counts_of_odd_texts(text):
+    counts, _ = quality_rules.measure(text.encode())
+    assert counts == plain_counts(text)
+
+
+def test_forest_sets_outliers_apart():
+    rng = np.random.default_rng(0)
+    good = rng.normal(size=(900, 10))
+    bad = rng.normal(size=(100, 10)) + np.eye(10)[2] * 40
+    x, y = np.vstack((good, bad)), np.repeat([True, False], [900, 100])
+    forest = quality_rules.grow_forest(x[::2], y[::2])
+    score = forest.score(x[1::2])
+    cut = quality_rules.settle_threshold(score, y[1::2], 0.01)
+    assert (score[y[1::2]] <= cut).mean() >= 0.99 and (score[~y[1::2]] > cut).mean() > 0.95
+
+
+def plain_best_fit(lengths, capacity):
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        fits = [b for b in bins if b[0] >= n]
+        best = min(fits, key=lambda b: b[0], default=None)
+        if best is None:
+            bins.append(best := [capacity, []])
+        best[0] -= n
+        best[1].append(n)
+    return Counter(tuple(sorted(b[1])) for b in bins)
+
+
+def test_plan_equals_best_fit_piece_by_piece():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        capacity = int(rng.integers(1, 40))
+        lengths = rng.integers(1, capacity + 1, rng.integers(0, 120)).tolist()
+        steps, n = packing.best_fit_plan(dict(Counter(lengths)), capacity)
+        filled = defaultdict(list)
+        for length, first, pieces, sequence, each, offset in steps:
+            for i in range(pieces):
+                filled[sequence + i // each].append((offset + i % each * length, length))
+        for held in filled.values():
+            at = 0
+            for offset, length in sorted(held):
+                assert offset == at
+                at += length
+        assert n == len(filled) and Counter(tuple(sorted(x for _, x in h)) for h in filled.values()) == plain_best_fit(lengths, capacity)
+
+
+def test_packing_whole_documents(documents, rows):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    got = packing.pack_documents(documents, path, capacity=64).collect()
+    want = Counter()
+    for key, text, _ in rows:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+        for piece, at in enumerate(range(0, len(ids), 64)):
+            part = ids[at : at + 64]
+            want[key, piece, at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    held = defaultdict(list)
+    for r in got:
+        held[r.sequence_id].append((r.offset, r.length))
+    for parts in held.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert packing.pack_documents(documents.limit(0), path).count() == 0
+
+
+def plain_spans(text):
+    patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+    out = []
+    for kind, pattern in enumerate(patterns):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == 1 and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == 2 and (not 12 <= len(digits) <= 19 or sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(digits[::-1])) % 10):
+                continue
+            if kind == 3 and not 9 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
+def test_exact_patterns_against_regular_expressions():
+    import random
+
+    rng = random.Random(2)
+    bits = ["1", "2", "25", "255", "300", ".", ".", "@", "@", "+", "-", " ", "(", ")", "a", "b.c", "%", "é", "4111111111111111", "\n", "٣", "_", "0"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 24)))
+        assert pii.base_spans(text) == plain_spans(text), text
+
+
+def test_personal_data_query_and_redaction(documents, rows):
+    got = {r.doc_id: r for r in pii.find_personal_data(documents).collect()}
+    assert (got[107].n_email, got[107].n_ip, got[107].n_card, got[107].n_phone) == (1, 1, 1, 1)
+    text = next(t for i, t, _ in rows if i == 107)
+    assert got[107].spans.split(",")[0] == f"email:{text.index('me.now')}:{text.index(' or')}"
+    assert len(pii.find_personal_data(documents).collect()) == len(rows)
+    redacted = pii.redact_documents(documents)
+    assert redacted.columns == documents.columns and redacted.count() == len(rows)
+    masked = redacted.where("doc_id = 107").first()
+    assert "[EMAIL]" in masked.text and "4111" not in masked.text and masked.n_chars == len(masked.text)
+
+
+def test_the_field_adds_what_the_patterns_miss():
+    texts = [f"call +1 (212) 555-{i:04d} or ip 10.0.{i}.1 card 4111 1111 1111 1111 at a{i}@b.example.com id {i}{i}77" for i in range(60)]
+    field = pii.fit_field(texts)
+    base, spans = pii.all_spans("card 4111.1111.1111.1111 here", field)
+    assert not base and [pii.KINDS[k] for _, k, _ in spans] == ["card"]
+    assert pii.all_spans("in 1999 and 2024, page 77", field)[1] == []
+    island = pii.island_of("10.0.0.1")
+    marginals, _ = field.marginals(island, field.scores(island))
+    assert marginals.min() >= -1e-9 and marginals.sum() <= len(island.borders)
+
+
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_counts_at_every_prefix():
+    import random
+
+    rng, tokenizer, counter = random.Random(3), Tokenizer.from_file(BYTES), token_counts.counter(BYTES)
+    bits = ["a", "b", "'", "'s", "'re", " ", "  ", "\n", "\t", "é", "漢", "\U0001f600", "23", "!", "...", "<|endoftext|>", "\x1c", "\xa0", "the", "ing", " don't"]
+    for _ in range(120):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 20)))
+        want = [len(tokenizer.encode(text[:p], add_special_tokens=False).ids) for p in range(len(text) + 1)]
+        assert counter.prefixes(text) == want, text
+        assert counter.count(text) == want[-1]
+
+
+def test_token_counts_of_documents(documents, rows):
+    tokenizer = Tokenizer.from_file(BYTES)
+    got = token_counts.count_tokens(documents, BYTES, limit=50)
+    want = Counter((i, len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in rows)
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got.collect()) == want
+    by_id = {i: t or "" for i, t, _ in rows}
+    for r in got.where("over_limit").collect():
+        assert r.n_tokens > 50 and len(tokenizer.encode(by_id[r.doc_id][: r.limit_chars], add_special_tokens=False).ids) <= 50
