@@ -43,13 +43,13 @@ def nearest(obs: DataFrame, k: int) -> DataFrame:
     ranked = lambda pairs: pairs.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("dist", "j"))).where(F.col("rank") <= k)
     pair = (F.col("a.obs_id").alias("i"), F.col("b.obs_id").alias("j"), _distance().alias("dist"))
     near = _around(grid).alias("a").join(grid.alias("b"), (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.obs_id") != F.col("b.obs_id")))
-    near = ranked(near.select(*pair))
+    near = ranked(near.select(*pair, F.col("a.cell").alias("cell")))
     # the nine cells reach at least one cell beyond the point
-    sure = near.groupBy("i").agg(F.max("dist").alias("far"), F.count("*").alias("n"))
-    left = grid.join(sure, grid["obs_id"] == sure["i"], "left").where(F.col("i").isNull() | (F.col("n") < k) | (F.col("far") >= F.col("cell"))).select(*points.columns)
+    own = Window.partitionBy("i")
+    sure = near.withColumn("n", F.count("*").over(own)).withColumn("far", F.max("dist").over(own)).where((F.col("n") == k) & (F.col("far") < F.col("cell"))).select("i", "j", "dist")
+    left = points.join(sure.select(F.col("i").alias("obs_id")).distinct(), "obs_id", "left_anti")
     whole = left.alias("a").join(points.alias("b"), (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.obs_id") != F.col("b.obs_id")))
-    near = near.join(left.select(F.col("obs_id").alias("i")), "i", "left_anti")
-    return near.select("i", "j", "dist").unionByName(ranked(whole.select(*pair)).select("i", "j", "dist"))
+    return sure.unionByName(ranked(whole.select(*pair)).select("i", "j", "dist"))
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

@@ -44,9 +44,8 @@ def tv_weight_stats(weighted: DataFrame, clip: float = 1000.0) -> DataFrame:
 
 def laplacian_terms(lap: DataFrame, w: DataFrame) -> DataFrame:
     """(obs_id, k, lw, d): L W and the diagonal of L."""
-    product = lap.join(w.withColumnRenamed("obs_id", "j"), "j").groupBy(F.col("i").alias("obs_id"), "k").agg(F.sum(F.col("v") * F.col("w")).alias("lw"))
-    diagonal = lap.where("i = j").select(F.col("i").alias("obs_id"), F.col("v").alias("d"))
-    return product.join(diagonal, "obs_id")
+    own = F.max(F.when(F.col("i") == F.col("j"), F.col("v")))
+    return lap.join(w.withColumnRenamed("obs_id", "j"), "j").groupBy(F.col("i").alias("obs_id"), "k").agg(F.sum(F.col("v") * F.col("w")).alias("lw"), own.alias("d"))
 
 
 def update_w(expr: DataFrame, w: DataFrame, q: DataFrame, spatial: DataFrame | None = None, alpha: float = 0.0, l1: DataFrame | None = None) -> DataFrame:
