@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship_package
+
 
 def triangulate(points: np.ndarray) -> set[tuple[int, int]]:
     """Edges (i < j) of a Delaunay triangulation of distinct points in the plane; collinear points form a path."""
@@ -54,4 +56,5 @@ def delaunay_graph(obs: DataFrame) -> DataFrame:
         rows = [(ids[a], ids[b], 1.0, float(np.hypot(*(points[a] - points[b])))) for i, j in sorted(triangulate(points)) for a, b in ((i, j), (j, i))]
         return pd.DataFrame(rows, columns=["i", "j", "a", "dist"]).astype({"i": "int64", "j": "int64", "a": "float64", "dist": "float64"})
 
-    return obs.select(F.coalesce(F.col("sample_id").cast("string"), F.lit("")).alias("s"), "obs_id", "x", "y").groupBy("s").applyInPandas(lambda f: one(f), "i bigint, j bigint, a double, dist double")
+    ship_package(obs.sparkSession)
+    return obs.select(F.coalesce(F.col("sample_id").cast("string"), F.lit("")).alias("s"), "obs_id", "x", "y").groupBy("s").applyInPandas(one, "i bigint, j bigint, a double, dist double")
