@@ -15,6 +15,7 @@ import re
 import zlib
 from collections import deque
 from functools import cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from .common import map_rows, written
 from .mixing import hash32
 
-CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 #: A chunk that is a word and ASCII marks after it: letters of U+00C0 to U+024F have one form each and lower one by one.
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 #: Entries of each table of chunks or words that a worker remembers; there are two generations, the older one goes.
@@ -109,12 +109,12 @@ class Remembered:
     def __init__(self, most: int = REMEMBERED):
         self.most, self.new, self.old = most, {}, {}
 
-    def get(self, key: str) -> bytes | None:
+    def get(self, key: str | bytes) -> bytes | None:
         if (found := self.new.get(key)) is None and (found := self.old.get(key)) is not None:
             self.new[key] = found
         return found
 
-    def put(self, key: str, value: bytes) -> None:
+    def put(self, key: str | bytes, value: bytes) -> None:
         self.new[key] = value
 
     def tidy(self) -> None:
@@ -153,14 +153,13 @@ class Encoder:
         for word, part in zip(words, cut, strict=True):
             self.words.put(word, part.tobytes())
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [CHUNK.findall(t) for t in texts]
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        cut = [t.split() for t in texts]  # bytes split at the ASCII separators only
         self.chunks.tidy()
         self.words.tidy()
         known, get = self.chunks.new, self.chunks.get
-        missing = {c for chunks in cut for c in chunks if c not in known}
-        missing = [c for c in missing if get(c) is None]
-        plain = {c: (m[1].lower(), m[2]) for c in missing if (m := PLAIN.fullmatch(c))}
+        missing = {c: c.decode("utf-8", "replace") for c in set(chain.from_iterable(cut)).difference(known) if get(c) is None}
+        plain = {c: (m[1].lower(), m[2]) for c, text in missing.items() if (m := PLAIN.fullmatch(text))}
         parts = {w for pair in plain.values() for w in pair if w}
         new = [w for w in parts if self.words.get(w) is None]
         if letters := [w for w in new if w[0].isalpha()]:
@@ -171,7 +170,7 @@ class Encoder:
         for c, (word, rest) in plain.items():
             known[c] = self.words.new[word] + self.words.new[rest] if rest else self.words.new[word]
         other = [c for c in missing if c not in plain]
-        for c, got in zip(other, self.ids(other), strict=True):
+        for c, got in zip(other, self.ids([missing[c] for c in other]), strict=True):
             known[c] = got.tobytes()
         return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
 
@@ -188,7 +187,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: i
         coder, end = encoder(vocabulary), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("id", "piece", "start", "length", "ids_crc32")}
-            encoded = coder.encode([t or "" for t in batch["text"].to_pylist()])
+            encoded = coder.encode([d or b"" for d in batch["data"].to_pylist()])
             for key, ids in zip(batch["id"].to_pylist(), encoded, strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
@@ -197,7 +196,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: i
                         out[k].append(v)
             yield out
 
-    slim = docs.selectExpr(f"CAST(`{id_column}` AS BIGINT) AS id", f"`{text_column}` AS text")
+    slim = docs.selectExpr(f"CAST(`{id_column}` AS BIGINT) AS id", f"CAST(`{text_column}` AS BINARY) AS data")
     return map_rows(slim, rows, "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
