@@ -46,9 +46,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def words_column(text: Column) -> Column:
-    """Array of the words of ``text``, none for null, as a native expression."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def text_sample(rows: DataFrame, sample: int, text_column: str = "text") -> list:
+    """At most ``sample`` rows with different texts, those whose texts have the least hashes; of equal texts one row.
+
+    First only hashes are ordered, so the driver gets that many numbers from a task, not texts; then the rows up to the
+    last hash, of which copies fold into one.
+    """
+    keyed = rows.where(F.col(text_column).isNotNull()).withColumn("text_hash", F.xxhash64(text_column))
+    cut = keyed.select("text_hash").distinct().orderBy("text_hash").limit(sample).agg(F.max("text_hash").alias("cut")).first()["cut"]
+    if cut is None:
+        return []
+    picked = keyed.where(F.col("text_hash") <= F.lit(cut)).groupBy("text_hash").agg(F.min(F.struct(*[f"`{c}`" for c in rows.columns])).alias("row"))
+    return [r["row"] for r in sorted(picked.collect(), key=lambda r: r["text_hash"])]
 
 
 def word_count(text: Column) -> Column:

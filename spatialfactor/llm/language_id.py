@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, written
+from .common import map_rows, text_sample, written
 from .html_extract import blocks
 
 #: Buckets of trigrams. Share of a text's log-likelihood that counts, since its trigrams are not independent; trigrams
@@ -66,7 +66,7 @@ def fit_text_model(rows: list[tuple[str, str]]) -> TextModel | None:
 def training_rows(docs: DataFrame, sample: int, longest: int, lang_column: str = "lang", text_column: str = "text") -> list[tuple[str, str]]:
     """At most ``sample`` documents with a language and at most ``longest`` characters: those with the least hash."""
     some = docs.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text")).where(F.col("lang").isNotNull() & (F.length("text") <= longest))
-    return [(r["lang"], r["text"]) for r in some.orderBy(F.xxhash64("text"), "text", "lang").limit(sample).collect()]
+    return [(r["lang"], r["text"]) for r in text_sample(some, sample)]
 
 
 def identify_languages(pages: DataFrame, model: TextModel | None, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:

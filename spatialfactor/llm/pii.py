@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, map_rows
+from .common import ddl, map_rows, text_sample
 
 #: The kinds, in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -291,9 +291,8 @@ def all_spans(text: str, field: Field | None) -> tuple[list[tuple[int, int, int]
 
 def sample_texts(docs: DataFrame, sample: int, longest: int, text_column: str = "text") -> list[str]:
     """Texts with digits or at signs, at most ``sample``, of at most ``longest`` characters: those with the least hash."""
-    text = F.col(text_column)
-    some = docs.select(text.alias("text")).where((F.length("text") <= longest) & F.col("text").rlike("[0-9@]"))
-    return [r["text"] for r in some.orderBy(F.xxhash64("text"), "text").limit(sample).collect()]
+    some = docs.select(F.col(text_column).alias("text")).where((F.length("text") <= longest) & F.col("text").rlike("[0-9@]"))
+    return [r["text"] for r in text_sample(some, sample)]
 
 
 def find_personal_data(docs: DataFrame, sample: int = 300, longest: int = 5000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
