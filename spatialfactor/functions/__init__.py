@@ -1 +1 @@
-
+"""Numerical helpers of driver and tasks."""

@@ -1 +1 @@
-
+"""Reading and writing data sets and results."""

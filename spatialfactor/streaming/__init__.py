@@ -1 +1 @@
-
+"""Empty: the engine's subject has no streaming operators."""
