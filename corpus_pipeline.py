@@ -8,11 +8,11 @@ of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spatialfactor.llm import mixing, near_dedup, packing, pii, toxicity
-from spatialfactor.llm.common import table, written
+from spatialfactor.llm.common import table, word_count, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; sets of five-word shingles, similarity 0.8 or more."""
+    """The document with the smallest id of each group; sets of five-word shingles, similarity 0.8 or more.
+
+    An id with several rows goes only if none of them is kept; rows without id stay.
+    """
     found = near_dedup.near_duplicates(docs, width=5, percent=80)
-    gone = found.where("NOT kept").select("doc_id")
+    gone = found.groupBy("doc_id").agg(F.bool_or("kept").alias("stays")).where("NOT stays").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
@@ -33,10 +36,16 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them: a row for each copy, none where it takes none."""
-    taken = mixing.mix_sources(docs).select("doc_id", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0)).cast("int").alias("copies"))
-    taken = taken.where("copies > 0")
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """The documents as often as the mix takes them: a row for each copy, none where it takes none.
+
+    Rows that share an id are told apart by their place in the order of size.
+    """
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0)).cast("int")
+    taken = mixing.mix_sources(docs).withColumn("copies", copies).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "copies")))
+    sized = docs.withColumn("size", word_count(F.col("text")))
+    rows = sized.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "text")))
+    both = rows.alias("d").join(taken.where("copies > 0").alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.nth") == F.col("t.nth")))
+    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("t.copies")))).select([F.col(f"d.{c}") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
