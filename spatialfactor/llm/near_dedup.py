@@ -149,8 +149,16 @@ def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
 
 def plausible(left: np.ndarray, right: np.ndarray, left_size: np.ndarray, right_size: np.ndarray, similarity: float) -> np.ndarray:
     """Which pairs may reach the similarity, by the joint likelihood of their registers given the sizes of their sets."""
-    above, below = (left > right).sum(axis=1), (left < right).sum(axis=1)
-    equal = REGISTERS - above - below
+    # registers that agree are about as many as the similarity says; far too few settle most pairs
+    equal = (left == right).sum(axis=1)
+    least_equal = REGISTERS * similarity - np.sqrt(2.0 * DOUBT * REGISTERS * similarity * (1.0 - similarity)) - 4.0
+    if not (likely := equal >= least_equal).all():
+        out = np.zeros(len(left), dtype=bool)
+        if likely.any():
+            out[likely] = plausible(left[likely], right[likely], left_size[likely], right_size[likely], similarity)
+        return out
+    above = (left > right).sum(axis=1)
+    below = REGISTERS - above - equal
     u = left_size / (left_size + right_size)
     v = 1.0 - u
     top = np.minimum(u / v, v / u)
@@ -171,16 +179,19 @@ def plausible(left: np.ndarray, right: np.ndarray, left_size: np.ndarray, right_
     return (best >= least) | (likelihood(best) - likelihood(least) <= DOUBT)
 
 
+def enough(same: int, left: int, right: int, percent: int) -> bool:
+    return 100 * same >= percent * (int(left) + int(right) - same)
+
+
 def linked(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, exactly."""
     if not len(left) or not len(right) or 100 * min(len(left), len(right)) < percent * max(len(left), len(right)):
         return False
-    same = len(np.intersect1d(left, right, assume_unique=True))
-    return 100 * same >= percent * (len(left) + len(right) - same)
+    return enough(len(np.intersect1d(left, right, assume_unique=True)), len(left), len(right), percent)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) for the ids of links (a, b): the smallest id that links lead to.
+    """(id, component) for the ids of links (a, b) that have a smaller one: the smallest id that links lead to.
 
     Alternates large and small stars: each id's larger neighbours, then its smaller ones, are hung on the smallest of
     its neighbourhood. An id's neighbourhood is only ever reduced to its minimum, with partial sums before the shuffle.
@@ -267,13 +278,20 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: in
     return map_rows(both.select("a", "b", "ha", "hb", "da", "db"), rows, "a bigint, b bigint", slice_rows=256)
 
 
-def _across(members: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Plausible pairs (a, b) of different components among bucket members (key, id, component).
+def _is_text(data: bytes, digest: bytes, width: int) -> bool:
+    """Whether the text is the one of the class: an id may stand in several rows with different texts."""
+    return hashlib.blake2b(shingle_sets([data], width)[0].tobytes(), digest_size=16).digest() == digest
+
+
+def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components among bucket members (key, id, component).
 
     The bucket's largest component may be huge: its members meet only those of the others. Those are cut into blocks,
     each pair of which meets once; the largest component is cut into slices, each of which meets each block. A group of
-    blocks or of a block and a slice is bounded.
+    blocks or of a block and a slice is bounded. Pairs are compared where they meet, only in the first band that they
+    share, and only links leave the task, each of which joins two components: no more rows than members.
     """
+    similarity, rows_per_band = percent / 100, band_rows(percent / 100)
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     major = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"))
     part = lambda n, size: F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("int")
@@ -287,33 +305,48 @@ def _across(members: DataFrame, classes: DataFrame, similarity: float) -> DataFr
     with_slices = F.transform(upto("slices"), lambda o: F.struct(F.col("block").alias("x"), (-1 - o).alias("y")))
     from_slice = F.transform(upto("blocks"), lambda o: F.struct(o.alias("x"), (-1 - F.col("slice")).alias("y")))
     groups = placed.select("key", "id", "component", "minor", "block", F.explode(F.when(F.col("minor"), F.concat(pairs_of_blocks, with_slices)).otherwise(from_slice)).alias("g"))
-    groups = groups.select("key", "g.x", "g.y", "id", "component", "minor", "block").join(classes.select("id", "n", "registers"), "id")
-    groups = groups.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-
-    def met(group: list) -> tuple[np.ndarray, np.ndarray]:
-        y = group[0][2]
-        ids, comps, sizes = (np.asarray([r[k] for r in group], dtype=np.int64) for k in (3, 4, 7))
-        registers = np.frombuffer(b"".join(r[8] for r in group), dtype="<u2").reshape(-1, REGISTERS)
-        first = np.asarray([r[5] and r[6] == r[1] for r in group])
-        second = ~np.asarray([r[5] for r in group]) if y < 0 else np.asarray([r[6] == y for r in group])
-        one, two = np.flatnonzero(first), np.flatnonzero(second)
+    groups = groups.select("key", "g.x", "g.y", "id", "component", "minor", "block")
+    needed = classes.join(groups.select("id").distinct(), "id", "left_semi").join(texts, "id").select("id", "n", "digest", "registers", "data")
+    groups = groups.join(needed, "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    def met(group: list) -> tuple[list[int], list[int]]:
+        x, y = group[0][1:3]
+        group = list({(r[3], r[6], r[5]): r for r in group if _is_text(r[10], r[8], width)}.values())
+        ids, comps, sizes, blocks = (np.asarray([r[k] for r in group], dtype=np.int64) for k in (3, 4, 7, 6))
+        minor = np.asarray([r[5] for r in group], dtype=bool)
+        registers = np.frombuffer(b"".join(r[9] for r in group), dtype="<u2").reshape(-1, REGISTERS)
+        keys = band_keys(registers, rows_per_band)
+        one = np.flatnonzero(minor & (blocks == x))
+        two = np.flatnonzero(~minor if y < 0 else minor & (blocks == y))
+        sets: dict[int, frozenset[int]] = {}
+
+        def set_of(i: int) -> frozenset[int]:
+            if i not in sets:
+                sets[i] = frozenset(shingle_sets([group[i][10]], width)[0].tolist())
+            return sets[i]
+
         a, b = [], []
         for i in one:
-            others = two[(comps[two] != comps[i]) & ((y < 0) | (group[0][1] != y) | (two > i))]
-            least, most = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
-            others = others[least >= (similarity - 1e-9) * most]
-            if len(others):
-                fits = plausible(registers[np.full(len(others), i)], registers[others], np.full(len(others), float(sizes[i])), sizes[others].astype(float), similarity)
-                others = others[fits]
-                a.append(np.minimum(ids[i], ids[others]))
-                b.append(np.maximum(ids[i], ids[others]))
-        none = np.empty(0, dtype=np.int64)
-        return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+            others = two[(comps[two] != comps[i]) & ((y != x) | (two > i))]
+            others = others[np.minimum(sizes[i], sizes[others]) >= (similarity - 1e-9) * np.maximum(sizes[i], sizes[others])]
+            if not len(others):
+                continue
+            same = keys[others] == keys[i]
+            others = others[keys[i][same.argmax(axis=1)] == group[i][0]]
+            if not len(others):
+                continue
+            fits = plausible(registers[np.full(len(others), i)], registers[others], np.full(len(others), float(sizes[i])), sizes[others].astype(float), similarity)
+            for o in others[fits]:
+                if comps[o] != comps[i] and enough(len(set_of(int(i)) & set_of(int(o))), sizes[i], sizes[o], percent):
+                    a.append(int(min(ids[i], ids[o])))
+                    b.append(int(max(ids[i], ids[o])))
+                    comps[comps == comps[o]] = comps[i]
+        return a, b
 
     def rows(batches):
         group: list = []
         for batch in batches:
-            for row in zip(*(batch[k].to_pylist() for k in ("key", "x", "y", "id", "component", "minor", "block", "n", "registers")), strict=True):
+            for row in zip(*(batch[k].to_pylist() for k in ("key", "x", "y", "id", "component", "minor", "block", "n", "digest", "registers", "data")), strict=True):
                 if group and row[:3] != group[0][:3]:
                     a, b = met(group)
                     yield {"a": a, "b": b}
@@ -323,7 +356,7 @@ def _across(members: DataFrame, classes: DataFrame, similarity: float) -> DataFr
             a, b = met(group)
             yield {"a": a, "b": b}
 
-    return map_rows(groups.select("key", "x", "y", "id", "component", "minor", "block", "n", "registers"), rows, "a bigint, b bigint", slice_rows=4096).distinct()
+    return map_rows(groups.select("key", "x", "y", "id", "component", "minor", "block", "n", "digest", "registers", "data"), rows, "a bigint, b bigint", slice_rows=512)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -335,10 +368,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     of others: their component is that of the documents with their set, else null, and they are not kept. Other columns
     are ignored, whatever their names.
 
-    Documents with equal sets form a class, from then on one row with the smallest id. In each bucket of a band, all
-    members are compared with the smallest id (a star, never all pairs); confirmed links give components. Then members
-    of different components of one bucket are compared, in blocks, so no link among candidates is lost, and members of
-    one component, however many, are not compared with one another.
+    Documents with equal sets form a class, from then on one row with the smallest id. The smallest id in a bucket of a
+    band is its hub. Each member is compared with the smallest hub it meets, then with the smallest of another component
+    (stars, never all pairs); confirmed links give components. Then members of different components of one bucket are
+    compared, in blocks, so no link among candidates is lost, and members of one component, however many, are not
+    compared with one another.
     """
     similarity = percent / 100
     rows_per_band = band_rows(similarity)
@@ -352,18 +386,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     banded = _banded(classes, rows_per_band)
     buckets = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
     member = written(banded.join(buckets, "key"), "members")
-    stars = member.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    stars = written(_sifted(stars, classes, similarity), "stars")
-    texts = slim.where("id IS NOT NULL")
-    links = written(_confirmed(stars, classes, texts, width, percent), "star-links")
-    joined = components(links)
+    texts = slim.where("id IS NOT NULL AND data IS NOT NULL")
 
-    labelled = member.where("members > 2").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    def stars_of(rows: DataFrame) -> DataFrame:
+        """Of each member the smallest hub of its buckets: one pair a member, however many buckets and hubs."""
+        pairs = rows.groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        return written(_sifted(pairs, classes, similarity), "stars")
+
+    tried = stars_of(member.where("id <> hub"))
+    links = written(_confirmed(tried, classes, texts, width, percent), "star-links")
+    joined = components(links)
+    # once more with hubs of other components, since the smallest hub may have been a chance neighbour
+    of = lambda k: joined.select(F.col("id").alias(k), F.col("component").alias(f"{k}_component"))
+    apart = member.where("id <> hub").join(of("id"), "id", "left").join(of("hub"), "hub", "left")
+    apart = apart.where("coalesce(id_component, id) <> coalesce(hub_component, hub)").join(tried.select(F.col("a").alias("hub"), F.col("b").alias("id")), ["hub", "id"], "left_anti")
+    second = stars_of(apart)
+    if not second.isEmpty():
+        links = written(links.union(_confirmed(second, classes, texts, width, percent)), "star-links")
+        joined = components(links)
+
+    labelled = member.join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    across = written(_across(labelled.join(several, "key", "left_semi"), classes, similarity).join(stars, ["a", "b"], "left_anti"), "across")
+    across = written(_across(labelled.join(several, "key", "left_semi"), classes, texts, width, percent), "across")
     if not across.isEmpty():
-        more = _confirmed(across, classes, texts, width, percent)
-        joined = components(links.union(more))
+        joined = components(links.union(across))
 
     found = sets.join(joined, sets["class"] == joined["id"], "left").select("digest", F.coalesce("component", "class").alias("component"))
     out = sketches.select("id", "n", "digest").join(found, "digest", "left")
