@@ -30,8 +30,10 @@ FRAME_WORDS = frozenset(
     " share sharing social related recommended recommendations sidebar side menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar topbar masthead header footer comment comments disqus"
     " reply replies respond contentinfo complementary search searchform widget copyright legal skip hidden".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]{0,8192}\"|'[^']{0,8192}'|[^'\">])*)(?:>|\Z)|[^<]+|<", re.DOTALL)
-ATTRIBUTE = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: A quote opens a value only after an equals sign and where its mate follows, however far; else it is an ordinary character.
+#: Nothing is matched twice: only the last quote of a kind can lack its mate, so a page takes linear time.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+|))*+)(?:>|\Z)|[^<]+|<", re.DOTALL)
+ATTRIBUTE = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 WORDS = re.compile(r"[A-Za-z]+")
 #: Lines times lines up to which one table of bits aligns two pages; beyond it the alignment is halved.
 TABLE = 1 << 28

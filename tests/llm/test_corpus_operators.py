@@ -177,6 +177,16 @@ def test_pages(spark, monkeypatch):
     assert html_extract.extract_main_text(pages).count() == len(rows) and html_extract.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_tags_with_long_values_and_unpaired_quotes():
+    uri = "data:image/png;base64," + "QUJD" * 25_000
+    page = f'<p>out<img src="{uri}">side</p><div class="nav" data-x=\'{uri}\'>menu</div><article><p>in<img alt=x src="{uri}">side</p></article>'
+    assert html_extract.blocks(page) == [("outside", False, False), ("menu", False, True), ("inside", True, False)]
+    page = "<div title=\"x>a</div><p title=John's>b</p><p class='nav>c</p><a href=/q?a=1>d</a>"
+    assert html_extract.blocks(page) == [("a", False, False), ("b", False, False), ("c", False, True), ("d", False, False)]
+    assert html_extract.blocks('<p title="a>b">t</p><a href=/q?a="x>y</a>') == [("t", False, False), ("y", False, False)]
+    assert html_extract.blocks("<a b=\"c' " * 50_000) == []
+
+
 def test_languages_fuse_evidence(spark):
     rng = random.Random(4)
     words = {"xx": ("zor", "vek", "plin"), "yy": ("aou", "eia", "oio")}
