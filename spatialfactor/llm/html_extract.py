@@ -3,8 +3,9 @@
 Pages stand in the order of host, path and id. A page is compared with the neighbour on its host whose path shares the
 longer start; their lines of text are aligned by longest common subsequence and lines that both have are deleted, since
 a site repeats its frame from page to page. A line is the text of one block. Two rules keep this right: what the markup
-itself marks as frame (navigation, footers, forms, adverts, comments and the like) goes also where no neighbour repeats
-it, and lines inside the markup's article stay also where a neighbour repeats them, since sites hold copies of articles.
+itself marks as frame (navigation, footers, forms, adverts, comments and the like), or puts outside its article where
+it has one, goes also where no neighbour repeats it; and a neighbour that repeats half of the article's text or more
+deletes nothing there, since sites hold copies of articles.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ ATTRIBUTE = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(?:"([^"]*)"|'(
 WORDS = re.compile(r"[A-Za-z]+")
 #: Lines times lines up to which one table of bits aligns two pages; beyond it the alignment is halved.
 TABLE = 1 << 28
+#: Share of a main part's characters from which on a page that has them too counts as a copy of the article.
+COPY = 0.5
 #: Pages of a range, about: the unit in which neighbours are found.
 RANGE_ROWS, MOST_RANGES = 500, 4096
 
@@ -212,14 +215,27 @@ def main_lines(page: list[tuple[str, bool, bool]], path: str, neighbours: list[t
     """The page's lines of main text, and how many lines the neighbour shares.
 
     ``neighbours`` are paths and lines of the pages before and after it on its host. The nearer one is taken; one with
-    the very same lines, or none, tells nothing, so then the other is.
+    the very same lines, or none, tells nothing, so then the other is. Where the page has a main part, one that shares
+    ``COPY`` of its text or more holds a copy of the article and tells nothing about it either; if both do, the whole
+    main part stays.
     """
     lines = [x[0] for x in page]
+    inside = [is_main and not frame for _, is_main, frame in page]
+    has_main = any(inside)
+    size = sum(len(x) for x, i in zip(lines, inside, strict=True) if i)
     ranked = sorted(neighbours, key=lambda n: -common_start(path, n[0]))
-    other = next((n for _, n in ranked if n and n != lines), None)
-    shared = lcs_shared(lines, other) if other else [False] * len(lines)
-    has_main = any(is_main and not frame for _, is_main, frame in page)
-    kept = [x for (x, is_main, frame), s in zip(page, shared, strict=True) if not frame and (is_main if has_main else not s)]
+    first, told = None, False
+    for _, other in ranked:
+        if not other or other == lines:
+            continue
+        shared = lcs_shared(lines, other)
+        first = first or shared
+        told = not has_main or sum(len(x) for x, i, s in zip(lines, inside, shared, strict=True) if i and s) < COPY * size
+        if told:
+            break
+    if not told:
+        shared = first or [False] * len(lines)
+    kept = [x for (x, _, frame), i, s in zip(page, inside, shared, strict=True) if not frame and (i or not has_main) and not (s and told)]
     return kept, sum(shared)
 
 

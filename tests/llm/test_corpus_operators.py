@@ -187,6 +187,16 @@ def test_tags_with_long_values_and_unpaired_quotes():
     assert html_extract.blocks("<a b=\"c' " * 50_000) == []
 
 
+def test_differencing_inside_the_main_part(spark):
+    page = "<nav>n</nav><main><div>Home</div><div>News</div><h1>Title {0}</h1><p>The whole story number {0}, told at length</p><div>Tell your friends</div></main>"
+    rows = [(i, f"http://m.example.com/{i}", page.format(i)) for i in range(4)]
+    rows += [(10, "http://c.example.com/a", page.format("x")), (11, "http://c.example.com/b", page.format("x") + "<footer>other</footer>"), (12, "http://c.example.com/c", page.format("y"))]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\n\nThe whole story number {i}, told at length" for i in range(4))
+    # a copy of the article deletes nothing of it, but the page beyond it does
+    assert "The whole story number x, told at length" in got[10] and got[11] == "Title x\n\nThe whole story number x, told at length"
+
+
 def test_languages_fuse_evidence(spark):
     rng = random.Random(4)
     words = {"xx": ("zor", "vek", "plin"), "yy": ("aou", "eia", "oio")}
