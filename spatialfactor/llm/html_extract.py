@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterable
+from hashlib import blake2b
 from html import unescape
+from itertools import chain, groupby, islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -214,7 +217,7 @@ def common_start(a: str, b: str) -> int:
 def main_lines(page: list[tuple[str, bool, bool]], path: str, neighbours: list[tuple[str, list[str]]]) -> tuple[list[str], int]:
     """The page's lines of main text, and how many lines the neighbour shares.
 
-    ``neighbours`` are paths and lines of the pages before and after it on its host. The nearer one is taken; one with
+    ``neighbours`` are paths and lines of the nearest pages of other content before and after it on its host. The nearer one is taken; one with
     the very same lines, or none, tells nothing, so then the other is. Where the page has a main part, one that shares
     ``COPY`` of its text or more holds a copy of the article and tells nothing about it either; if both do, the whole
     main part stays.
@@ -239,14 +242,53 @@ def main_lines(page: list[tuple[str, bool, bool]], path: str, neighbours: list[t
     return kept, sum(shared)
 
 
+def content(page: list[tuple[str, bool, bool]]) -> list[str]:
+    """The lines that stay where no neighbour shares any: those inside the main part, or all where there is none."""
+    has_main = any(is_main and not frame for _, is_main, frame in page)
+    return [x for x, is_main, frame in page if not frame and (is_main or not has_main)]
+
+
+def mark(page: list[tuple[str, bool, bool]]) -> bytes | None:
+    """Pages with the same content have the same mark; a page without lines, which tells its neighbours nothing, has none."""
+    return blake2b("\n".join(content(page)).encode("utf-8", "surrogatepass"), digest_size=16).digest() if page else None
+
+
+def last_two(pages: Iterable[tuple]) -> tuple[tuple | None, tuple | None]:
+    """Of pages (host, mark, ...) in order: the last one, and the last before it on its host that has another mark."""
+    last = other = None
+    for page in pages:
+        if last is None or page[0] != last[0]:
+            other = None
+        elif page[1] != last[1]:
+            other = last
+        last = page
+    return last, other
+
+
+def beyond(ends: list[tuple[tuple | None, tuple | None]]) -> list[list[tuple]]:
+    """Per range, the pages of the ranges before it among which its first pages find their neighbour.
+
+    ``ends`` are ``last_two`` of each range in order; those of all ranges up to one follow from them.
+    """
+    out, held = [], (None, None)
+    for last, other in ends:
+        out.append([page for page in held if page is not None])
+        if last is not None:
+            before = [page for page in held[::-1] if page is not None and page[0] == last[0]]
+            held = (last, other) if other is not None else last_two([*before, last])
+    return out
+
+
 def extract_main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Per page: url, text (lines of main text joined by two line feeds), n_chars, and n_shared (lines of the neighbour).
 
     A null or empty html gives an empty text. A null url, or one without host, has no neighbours. Ids may be null or
     repeated and rows keep their multiplicity. Other columns are ignored. Pages are dealt into ranges of the order host,
-    path, id, so a host, however large, is spread over many; html is read and parsed once, and its lines are shuffled
-    once. The first and last page of each range go to the ranges beside it as well, so a page's neighbours do not depend
-    on the ranges. The driver holds the ranges' borders only, at most ``MOST_RANGES``, from a sample of the keys.
+    path, id, so a host, however large, is spread over many. Neighbours are the nearest pages with other content: a run
+    of copies is compared with the pages before and after all of it. html is parsed twice, first for marks of content,
+    which show the pages of other ranges that a range's first and last pages need, so that neighbours do not depend on
+    the ranges; lines are shuffled once. The driver holds the ranges' borders and four keys of each range, at most
+    ``MOST_RANGES``.
     """
     url = F.coalesce(F.col(url_column).cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
@@ -265,15 +307,34 @@ def extract_main_text(pages: DataFrame, id_column: str = "page_id", url_column:
     def place(batches):
         for batch in batches:
             keys = map(key, batch["host"].to_pylist(), batch["path"].to_pylist(), batch["id"].to_pylist())
-            yield dict(batch) | {"pid": [bisect_right(borders, k) for k in keys]}
-
-    # the first and last page of each range, and the ranges beside it
-    placed = map_rows(narrow, place, "id bigint, url string, host string, path string, pid int", slice_rows=65536)
-    order = F.struct("host", "path", F.col("id").isNotNull().alias("known"), "id", "url")
-    ends = placed.groupBy("pid").agg(F.min(order).alias("first"), F.max(order).alias("last"))
-    beside = Window.orderBy("pid")
-    ends = ends.select("first", "last", F.lead("pid").over(beside).alias("after"), F.lag("pid").over(beside).alias("before"))
-    ghosts = ends.selectExpr("stack(2, last, after, first, before) AS (page, pid)").where("pid IS NOT NULL").select("page.id", "page.url", "pid")
+            marks = [mark(blocks(h or "")) for h in batch["html"].to_pylist()]
+            yield {k: batch[k] for k in ("id", "url", "host", "path")} | {"mark": marks, "pid": [bisect_right(borders, k) for k in keys]}
+
+    # the pages of other ranges among which the first and last pages of each find their neighbours
+    marked = map_rows(keyed, place, "id bigint, url string, host string, path string, mark binary, pid int", slice_rows=256)
+    marked = marked.where("mark IS NOT NULL AND host != ''").repartition("pid").sortWithinPartitions("pid", "host", "path", "id", "url")
+
+    def summarise(batches):
+        rows = chain.from_iterable(zip(*(b[k].to_pylist() for k in ("pid", "host", "mark", "id", "url")), strict=True) for b in batches)
+        for pid, of_range in groupby(rows, lambda r: r[0]):
+            first, other, back = [], None, (None, None)
+            for row in of_range:
+                row = row[1:]
+                if not first:
+                    first.append(row)
+                elif other is None and row[:2] != first[0][:2]:
+                    other = row
+                back = last_two([*(p for p in back[::-1] if p is not None), row])
+            found = [(pid, side, *row) for side, row in enumerate((first[0], other if other and other[0] == first[0][0] else None, *back)) if row is not None]
+            yield dict(zip(("pid", "side", "host", "mark", "id", "url"), zip(*found, strict=True), strict=True))
+
+    ends: dict[int, list] = {}
+    for r in map_rows(marked, summarise, "pid int, side int, host string, mark binary, id bigint, url string", slice_rows=65536).collect():
+        ends.setdefault(r["pid"], [None] * 4)[r["side"]] = (r["host"], bytes(r["mark"]), r["id"], r["url"])
+    pids = sorted(ends)
+    before, after = beyond([(ends[p][2], ends[p][3]) for p in pids]), beyond([(ends[p][0], ends[p][1]) for p in reversed(pids)])[::-1]
+    ghosts = sorted({(page[2], page[3], pid) for pid, *sides in zip(pids, before, after, strict=True) for page in chain(*sides)}, key=str)
+    ghosts = pages.sparkSession.createDataFrame(ghosts, "id bigint, url string, pid int")
     ghosts = keyed.alias("k").join(F.broadcast(ghosts.alias("g")), F.col("k.id").eqNullSafe(F.col("g.id")) & F.col("k.url").eqNullSafe(F.col("g.url")))
     ghosts = ghosts.select("k.*", "g.pid").dropDuplicates(["id", "url", "pid"]).withColumn("ghost", F.lit(True))
     every_page = keyed.withColumn("pid", F.lit(None).cast("int")).withColumn("ghost", F.lit(False)).unionByName(ghosts)
@@ -297,30 +358,35 @@ def extract_main_text(pages: DataFrame, id_column: str = "page_id", url_column:
             for batch in batches:
                 yield from zip(*(batch[k].to_pylist() for k in ("pid", "host", "path", "id", "url", "ghost", "lines", "marks")), strict=True)
 
+        def page_of(row):
+            return [(x, m in "13", m in "23") for x, m in zip(row[6].split("\n"), row[7], strict=True)] if row[7] else []
+
         def done(before, row, after):
-            page = [(x, m in "13", m in "23") for x, m in zip(row[6].split("\n"), row[7], strict=True)] if row[7] else []
-            near = [(r[2], r[6].split("\n") if r[7] else []) for r in (before, after) if r is not None and row[1] and r[:2] == row[:2]]
-            kept, shared = main_lines(page, row[2], near)
+            near = [(r[2], r[6].split("\n")) for r in (before, after) if r is not None and r[:2] == row[:2]]
+            kept, shared = main_lines(page_of(row), row[2], near)
             text = "\n\n".join(kept)
             return row[3], row[4], text, len(text), shared
 
-        def batched(found):
-            names = ("id", "url", "text", "n_chars", "n_shared")
-            return dict(zip(names, zip(*found, strict=True), strict=True))
-
-        before = row = None
-        found = []
-        for after in rows():
-            if row is not None and not row[5]:
-                found.append(done(before, row, after))
-                if len(found) >= 256:
-                    yield batched(found)
-                    found = []
-            before, row = row, after
-        if row is not None and not row[5]:
-            found.append(done(before, row, None))
-        if found:
-            yield batched(found)
+        def results():
+            before, run, held = None, [], None
+            for row in rows():
+                if not row[7] or not row[1]:
+                    if not row[5]:
+                        yield done(None, row, None)
+                    continue
+                key = (*row[:2], mark(page_of(row)))
+                if run and key != held:
+                    yield from (done(before, r, row) for r in run if not r[5])
+                    before, run = run[-1], []
+                # copies wait for the next page that differs; they hold their lines once
+                run.append((*row[:6], *run[-1][6:]) if run and run[-1][6:] == row[6:] else row)
+                held = key
+            yield from (done(before, r, None) for r in run if not r[5])
+
+        names = ("id", "url", "text", "n_chars", "n_shared")
+        found = results()
+        while part := list(islice(found, 256)):
+            yield dict(zip(names, zip(*part, strict=True), strict=True))
 
     out = map_rows(parsed, difference, "id bigint, url string, text string, n_chars bigint, n_shared bigint", slice_rows=256)
     return out.select(F.col("id").alias(id_column), F.col("url").alias(url_column), "text", "n_chars", "n_shared")

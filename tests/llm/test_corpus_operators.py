@@ -197,6 +197,33 @@ def test_differencing_inside_the_main_part(spark):
     assert "The whole story number x, told at length" in got[10] and got[11] == "Title x\n\nThe whole story number x, told at length"
 
 
+def test_runs_of_copies_meet_the_pages_beyond(spark, monkeypatch):
+    frame = "<div>Home</div><p>Text {}</p><div>All about us</div>"
+    rows = [(i, f"http://h.example.com/a?x={i}", frame.format("one")) for i in range(40)]
+    rows += [(50 + i, f"http://h.example.com/b{i}", frame.format("two")) for i in range(20)] + [(80, "http://h.example.com/b5", ""), (90, None, "<p>alone")]
+    rows += [(100 + i, f"http://g.example.com/{i}", frame.format("copy")) for i in range(9)]
+    for n in (2, 5, 500):
+        monkeypatch.setattr(html_extract, "RANGE_ROWS", n)
+        got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+        assert len(got) == len(rows) and got[80] == "" and got[90] == "alone"
+        assert all(got[i] == "Text one" for i in range(40)) and all(got[50 + i] == "Text two" for i in range(20))
+        assert all(got[100 + i] == "Home\n\nText copy\n\nAll about us" for i in range(9))
+
+
+def test_pages_beyond_a_range_are_the_nearest_that_differ():
+    rng = random.Random(5)
+    for _ in range(300):
+        pages = sorted((rng.choice("gh"), i) for i in range(rng.randint(1, 14)))
+        pages = [(host, rng.choice("xy"), i) for host, i in pages]
+        cuts = sorted(rng.randint(0, len(pages)) for _ in range(4))
+        ranges = [pages[i:j] for i, j in zip([0, *cuts], [*cuts, len(pages)], strict=True)]
+        held = html_extract.beyond([html_extract.last_two(r) for r in ranges])
+        for at, (own, before) in enumerate(zip(ranges, held, strict=True)):
+            for n, page in enumerate(own):
+                nearest = lambda among: next((p for p in reversed(among) if p[0] == page[0] and p[1] != page[1]), None)  # noqa: B023, E731
+                assert nearest(sorted(before, key=pages.index) + own[:n]) == nearest([p for r in ranges[:at] for p in r] + own[:n])
+
+
 def test_languages_fuse_evidence(spark):
     rng = random.Random(4)
     words = {"xx": ("zor", "vek", "plin"), "yy": ("aou", "eia", "oio")}
