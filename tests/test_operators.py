@@ -190,3 +190,22 @@ def test_fit_recovers_planted_factors(spark, tmp_path):
         load_result(spark, str(tmp_path / "none"))
     with pytest.raises(TypeError):
         fit.fit(expr, obs, expr, config, alpha=1.0)
+
+
+def test_registered_fits_run_with_the_defaults(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from spatialfactor.plans import model_queries, queries
+
+    seen = []
+    monkeypatch.setattr(queries, "rounded", lambda df: df)
+    monkeypatch.setattr(model_queries, "laplacian_of", lambda v, k: None)
+    monkeypatch.setattr(fit, "fit", lambda expr, obs, lap, config: seen.append(config) or SimpleNamespace(w=None, q=None))
+    monkeypatch.setattr(fit, "Blocks", lambda *a: SimpleNamespace(long_w=lambda state: state))
+    monkeypatch.setattr(fit, "initialize", lambda blocks, config: (seen.append(config), None))
+    for features in (30, 10):
+        v = SimpleNamespace(expr=spark.range(features).withColumnRenamed("id", "var_id"), obs=None)
+        monkeypatch.setattr(queries, "Views", lambda spark, sf_dir, v=v: v)
+        for name in ("fit_w", "fit_q", "symnmf_init"):
+            queries.QUERIES[name](None, "")
+    assert seen == [FitConfig()] * 3 + [FitConfig(n_components=10)] * 3
