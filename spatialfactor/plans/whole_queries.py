@@ -1,0 +1,58 @@
+"""Operators over whole tables whose queries with SQL run on a part of the ids: tests hold these against brute force."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import analysis, plotdata, posthoc, preprocess, samples
+from .queries import register
+
+
+@register("reconstruct_whole")
+def _(v):
+    return analysis.reconstruct(v.w, v.q, v.obs, v.var)
+
+
+@register("recon_error_per_obs_whole")
+def _(v):
+    return analysis.reconstruction_error(v.expr, v.w, v.q, "obs")
+
+
+@register("plot_spatial_reconstruction_whole")
+def _(v):
+    return plotdata.spatial_reconstruction(v.expr, v.w, v.q, v.var)
+
+
+@register("signature_overlap_whole")
+def _(v):
+    return posthoc.signature_overlap(v.var, v.signatures)
+
+
+@register("expand_genes_whole")
+def _(v):
+    return preprocess.expand_genes(v.q, v.var)
+
+
+@register("hvg_validation_whole")
+def _(v):
+    return preprocess.validate_hvg(v.expr, v.obs.count(), v.var.select("var_id"))
+
+
+def merged(v, join: str):
+    """All observations and genes in two parts, those of the first and of the second half of the samples."""
+    obs = v.obs.withColumn("sample_id", F.coalesce("sample_id", F.lit("")))
+    named = v.expr.join(obs.select("obs_id", "obs_name", "sample_id"), "obs_id").join(v.var, "var_id")
+    ids = sorted(r["sample_id"] for r in obs.select("sample_id").distinct().collect())
+    second = F.col("sample_id") >= F.lit(ids[len(ids) // 2])
+    parts = [(named.where(own).select("obs_name", "var_name", "x"), obs.where(own).drop("sample_id")) for own in (~second, second)]
+    return samples.merge_samples(parts, join)[0]
+
+
+@register("merge_inner_whole")
+def _(v):
+    return merged(v, "inner")
+
+
+@register("merge_outer_whole")
+def _(v):
+    return merged(v, "outer")

@@ -209,3 +209,39 @@ def test_registered_fits_run_with_the_defaults(spark, monkeypatch):
         for name in ("fit_w", "fit_q", "symnmf_init"):
             queries.QUERIES[name](None, "")
     assert seen == [FitConfig()] * 3 + [FitConfig(n_components=10)] * 3
+
+
+def test_whole_table_queries_against_brute_force(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import __spark_entry__
+    from spatialfactor.plans import queries
+
+    rng = np.random.default_rng(3)
+    n, p = 61, 23
+    w, q, x = rng.random((n, 2)), rng.normal(size=(p, 2)), np.where(rng.random((n, p)) < 0.6, rng.integers(1, 9, (n, p)), 0).astype(float)
+    x[7] = 0
+    x[::2, 4] = 0
+    long = lambda m, names: spark.createDataFrame([(i, j, float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1]) if names[-1] != "x double" or m[i, j]], ", ".join(names))
+    v = SimpleNamespace(
+        w=long(w, ["obs_id bigint", "k int", "w double"]),
+        q=long(q, ["var_id bigint", "k int", "q double"]),
+        expr=long(x, ["obs_id bigint", "var_id bigint", "x double"]),
+        obs=spark.createDataFrame([(i, f"o{i}", f"s{i % 2}", float(i), 0.0) for i in range(n)], "obs_id bigint, obs_name string, sample_id string, x double, y double"),
+        var=spark.createDataFrame([(j, f"G{j}") for j in range(p)], "var_id bigint, var_name string"),
+        signatures=spark.createDataFrame([("s", f"g{j}", 1.0, 1.0, 1.0) for j in range(p)], "signature string, gene string, avg_logfc double, pct_1 double, pct_2 double"),
+    )
+    monkeypatch.setattr(queries, "Views", lambda spark, sf_dir: v)
+    run = lambda name: __spark_entry__.queries()[name + "_whole"](spark, "").collect()
+    r = w @ q.T
+    got = {(t.obs_id, t.var_id): t.x for t in run("reconstruct")}
+    assert len(got) == n * p and all(abs(got[i, j] - r[i, j]) < 1e-5 for i in range(n) for j in range(p))
+    errors = np.linalg.norm(x - r, axis=1) / (np.linalg.norm(x, axis=1) + 1e-10)
+    got = {t.obs_id: t.error for t in run("recon_error_per_obs")}
+    assert len(got) == n and np.allclose([got[i] for i in range(n)], errors, rtol=1e-4)
+    assert {(t.obs_id, t.var_id): t.original for t in run("plot_spatial_reconstruction")} == {(i, j): x[i, j] for i in range(n) for j in range(p)}
+    assert [(t.n_genes, t.n_matched) for t in run("signature_overlap")] == [(p, p)]
+    assert all(abs(t.q - q[t.var_id, t.k]) < 1e-5 for t in run("expand_genes")) and len(run("expand_genes")) == 2 * p
+    assert {t.var_id for t in run("hvg_validation")} == set(range(p))
+    cells = {(f"s{i % 2}", i, j) for i, j in zip(*np.nonzero(x), strict=True)}
+    assert len(run("merge_outer")) == len(cells) and len(run("merge_inner")) == sum(j != 4 for _, _, j in cells)
