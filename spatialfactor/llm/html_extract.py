@@ -5,13 +5,15 @@ longer start; their lines of text are aligned by longest common subsequence and
 a site repeats its frame from page to page. A line is the text of one block. Two rules keep this right: what the markup
 itself marks as frame (navigation, footers, forms, adverts, comments and the like), or puts outside its article where
 it has one, goes also where no neighbour repeats it; and a neighbour that repeats half of the article's text or more
-deletes nothing there, since sites hold copies of articles.
+deletes nothing there, since sites hold copies of articles. A mark that encloses the article, or nearly all text of a page,
+is a wrapper and no frame, and an article that holds little of what differs from the neighbour is a teaser.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterable
 from hashlib import blake2b
 from html import unescape
@@ -34,6 +36,11 @@ FRAME_WORDS = frozenset(
     " share sharing social related recommended recommendations sidebar side menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar topbar masthead header footer comment comments disqus"
     " reply replies respond contentinfo complementary search searchform widget copyright legal skip hidden".split()
 )
+#: Words that names of frames hold beside these; elements that wrap whole pages, marked or not.
+FILLER_WORDS = frozenset("site page main global top bottom left right section box bar block list item items container wrapper wrap area inner outer col column nav the js".split())
+WRAPPERS = frozenset("form div section fieldset table tbody tr td center span".split())
+#: Share of a page's text from which on a marked element wraps it; share of the differing text that a main part has at least.
+WRAPS, LEAST_MAIN = 0.8, 0.2
 #: A quote opens a value only after an equals sign and where its mate follows, however far; else it is an ordinary character.
 #: Nothing is matched twice: only the last quote of a kind can lack its mate, so a page takes linear time.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+|))*+)(?:>|\Z)|[^<]+|<", re.DOTALL)
@@ -44,32 +51,39 @@ TABLE = 1 << 28
 #: Share of a main part's characters from which on a page that has them too counts as a copy of the article.
 COPY = 0.5
 #: Pages of a range, about: the unit in which neighbours are found.
-RANGE_ROWS, MOST_RANGES = 500, 4096
+RANGE_ROWS, MOST_RANGES = 500, 16384
+#: Ranges of a task, about.
+TASK_RANGES = 8
 
 
 def blocks(html: str) -> list[tuple[str, bool, bool]]:
     """The page's lines in order: (text, inside an article or main part, inside a frame). Empty lines are left out."""
-    out: list[tuple[str, bool, bool]] = []
+    out: list[tuple[str, tuple[int, ...], tuple[int, ...]]] = []
     text: list[str] = []
-    # open elements: name, whether it is the main part, whether it is a frame
-    stack: list[tuple[str, bool, bool]] = []
-    main = frame = 0
+    # open elements: name, and numbers of the main part and the frame that they are, or 0
+    stack: list[tuple[str, int, int]] = []
+    mains: list[int] = []
+    frames: list[int] = []
+    # of each main part the frames around it, of each frame the element
+    around: dict[int, tuple[int, ...]] = {}
+    element: dict[int, str] = {}
 
     def flush() -> None:
         if text:
             line = " ".join(unescape("".join(text)).split())
             text.clear()
             if line:
-                out.append((line, main > 0, frame > 0))
+                out.append((line, tuple(mains), tuple(frames)))
 
     def close(upto: int) -> None:
-        nonlocal main, frame
         while len(stack) > upto:
             name, is_main, is_frame = stack.pop()
             if name in BLOCK:
                 flush()
-            main -= is_main
-            frame -= is_frame
+            if is_main:
+                mains.pop()
+            if is_frame:
+                frames.pop()
 
     at, size = 0, len(html)
     while at < size:
@@ -124,20 +138,40 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
             given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(token[3])}
             role = given.get("role", "").lower()
             is_main |= role in ("main", "article")
-            marks = {w.lower() for k in ("class", "id", "role") for w in WORDS.findall(given.get(k, ""))}
-            is_frame |= name not in ("body", "html", "article", "main") and (not FRAME_WORDS.isdisjoint(marks) or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", ""))
+            is_frame |= name not in ("body", "html", "article", "main") and (any(marks_frame(w) for k in ("class", "id", "role") for w in given.get(k, "").split()) or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", ""))
         # a header is a frame but where it opens an article
-        is_frame |= name == "header" and not main
-        # a remark inside the comments may be an article too; it stays a frame
-        is_main &= not frame
+        is_frame |= name == "header" and not mains
         if token[0].endswith("/>") and name not in BLOCK:
             continue
-        stack.append((name, is_main, is_frame))
-        main += is_main
-        frame += is_frame
+        if is_main:
+            mains.append(len(around) + 1)
+            around[mains[-1]] = tuple(frames)
+        if is_frame:
+            frames.append(len(element) + 1)
+            element[frames[-1]] = name
+        stack.append((name, mains[-1] if is_main else 0, frames[-1] if is_frame else 0))
     close(0)
     flush()
-    return out
+    return settled(out, around, element)
+
+
+def marks_frame(token: str) -> bool:
+    """Whether a class, id or role names a frame: all its words do, but for fillers such as in site-header."""
+    words = [w.lower() for w in WORDS.findall(token)]
+    return not FRAME_WORDS.isdisjoint(words) and FRAME_WORDS.union(FILLER_WORDS).issuperset(words)
+
+
+def settled(lines: list[tuple[str, tuple[int, ...], tuple[int, ...]]], around: dict[int, tuple[int, ...]], element: dict[int, str]) -> list[tuple[str, bool, bool]]:
+    """Lines with their main parts and frames; frames that wrap the page don't count, nor main parts inside frames (a
+    remark among the comments may be an article) unless they hold half of the page's text."""
+    total = sum(len(x) for x, _, _ in lines)
+    held: Counter[tuple[bool, int]] = Counter()
+    for x, mains, frames in lines:
+        held.update({**{(True, m): len(x) for m in mains}, **{(False, f): len(x) for f in frames}})
+    wrapping = {f for f, name in element.items() if name in WRAPPERS and held[False, f] >= WRAPS * total}
+    wrapping |= {f for m, fs in around.items() if 2 * held[True, m] >= total for f in fs if element[f] in WRAPPERS}
+    inside = {m for m, fs in around.items() if wrapping.issuperset(fs)}
+    return [(x, not inside.isdisjoint(mains), not wrapping.issuperset(frames)) for x, mains, frames in lines]
 
 
 def lcs_shared(a: list[str], b: list[str]) -> list[bool]:
@@ -223,7 +257,7 @@ def main_lines(page: list[tuple[str, bool, bool]], path: str, neighbours: list[t
     main part stays.
     """
     lines = [x[0] for x in page]
-    inside = [is_main and not frame for _, is_main, frame in page]
+    inside = main_part(page, [False] * len(page))
     has_main = any(inside)
     size = sum(len(x) for x, i in zip(lines, inside, strict=True) if i)
     ranked = sorted(neighbours, key=lambda n: -common_start(path, n[0]))
@@ -238,14 +272,25 @@ def main_lines(page: list[tuple[str, bool, bool]], path: str, neighbours: list[t
             break
     if not told:
         shared = first or [False] * len(lines)
+    inside = main_part(page, shared if told else [False] * len(page))
+    has_main = any(inside)
     kept = [x for (x, _, frame), i, s in zip(page, inside, shared, strict=True) if not frame and (i or not has_main) and not (s and told)]
     return kept, sum(shared)
 
 
+def main_part(page: list[tuple[str, bool, bool]], shared: list[bool]) -> list[bool]:
+    """Which lines stand in the page's main part; none if that holds less than ``LEAST_MAIN`` of what is not shared."""
+    inside = [is_main and not frame for _, is_main, frame in page]
+    own = sum(len(x) for (x, _, _), i, s in zip(page, inside, shared, strict=True) if i and not s)
+    rest = sum(len(x) for (x, _, frame), s in zip(page, shared, strict=True) if not frame and not s)
+    return inside if own >= LEAST_MAIN * rest else [False] * len(page)
+
+
 def content(page: list[tuple[str, bool, bool]]) -> list[str]:
     """The lines that stay where no neighbour shares any: those inside the main part, or all where there is none."""
-    has_main = any(is_main and not frame for _, is_main, frame in page)
-    return [x for x, is_main, frame in page if not frame and (is_main or not has_main)]
+    inside = main_part(page, [False] * len(page))
+    has_main = any(inside)
+    return [x for (x, _, frame), i in zip(page, inside, strict=True) if not frame and (i or not has_main)]
 
 
 def mark(page: list[tuple[str, bool, bool]]) -> bytes | None:
@@ -299,8 +344,9 @@ def extract_main_text(pages: DataFrame, id_column: str = "page_id", url_column:
     narrow = keyed.select("id", "url", "host", "path")
     n = narrow.count()
     ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
-    every = max(1, n // (ranges * 20))
-    sample = narrow.where(F.pmod(F.xxhash64("id", "url"), F.lit(every)) == 0).select("host", "path", "id").limit(ranges * 60).collect()
+    tasks = max(ranges // TASK_RANGES, min(ranges, pages.sparkSession.sparkContext.defaultParallelism))
+    every = max(1, n // (ranges * 10))
+    sample = narrow.where(F.pmod(F.xxhash64("id", "url"), F.lit(every)) == 0).select("host", "path", "id").limit(ranges * 30).collect()
     sample = sorted(key(r["host"], r["path"], r["id"]) for r in sample)
     borders = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
 
@@ -312,7 +358,7 @@ def extract_main_text(pages: DataFrame, id_column: str = "page_id", url_column:
 
     # the pages of other ranges among which the first and last pages of each find their neighbours
     marked = map_rows(keyed, place, "id bigint, url string, host string, path string, mark binary, pid int", slice_rows=256)
-    marked = marked.where("mark IS NOT NULL AND host != ''").repartition("pid").sortWithinPartitions("pid", "host", "path", "id", "url")
+    marked = marked.where("mark IS NOT NULL AND host != ''").repartition(tasks, "pid").sortWithinPartitions("pid", "host", "path", "id", "url")
 
     def summarise(batches):
         rows = chain.from_iterable(zip(*(b[k].to_pylist() for k in ("pid", "host", "mark", "id", "url")), strict=True) for b in batches)
@@ -351,7 +397,7 @@ def extract_main_text(pages: DataFrame, id_column: str = "page_id", url_column:
             }
 
     parsed = map_rows(every_page, parse, "id bigint, url string, host string, path string, ghost boolean, pid int, lines string, marks string", slice_rows=256)
-    parsed = parsed.repartition("pid").sortWithinPartitions("pid", "host", "path", "id", "url")
+    parsed = parsed.repartition(tasks, "pid").sortWithinPartitions("pid", "host", "path", "id", "url")
 
     def difference(batches):
         def rows():

@@ -24,6 +24,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 MISS = 1e-6
 #: A candidate goes on to the full sets unless the likelihood of the threshold is below the best one's by this exponent.
 DOUBT = 14.0
+#: Groups over which the pairs of one hub are dealt.
+HUB_PARTS = 64
 #: Members of a bucket's minor components that meet in one block.
 BLOCK = 256
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -255,27 +257,37 @@ def _sifted(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFram
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar enough. The first one's set is kept while its rows follow one another."""
+    """Pairs (a hub, b) whose full sets are similar enough.
 
-    def side(k: str) -> DataFrame:
-        needed = classes.select("id", "digest").join(pairs.select(F.col(k).alias("id")).distinct(), "id", "left_semi")
-        return texts.join(needed, "id").select(F.col("id").alias(k), F.col("data").alias(f"d{k}"), F.col("digest").alias(f"h{k}"))
-
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    A hub's pairs are dealt over ``HUB_PARTS`` groups; a group holds the hub's text once and streams the others past it,
+    so neither a task nor the copies of a text grow with the hub.
+    """
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(HUB_PARTS)).cast("int").alias("part"))
+    needed = classes.select("id", "digest").join(dealt.selectExpr("explode(array(a, b)) AS id").distinct(), "id", "left_semi")
+    held = texts.join(needed, "id").select("id", "data", "digest")
+    hubs = dealt.select("a", "part").distinct().join(held.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("bigint").alias("b"), "data", "digest")
+    members = dealt.join(held.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "data", "digest")
+    both = hubs.union(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def rows(batches):
-        held: tuple = (None, None)
-        own = lambda data, digest: s if hashlib.blake2b((s := shingle_sets([data], width)[0]).tobytes(), digest_size=16).digest() == digest else s[:0]
+        hub, own = None, np.empty(0, dtype=np.uint64)
         for batch in batches:
-            a, b, keep = batch["a"].to_pylist(), batch["b"].to_pylist(), []
-            for i, key in enumerate(a):
-                first = batch["ha"][i].as_py(), batch["da"][i].as_py()
-                if held[0] != (key, first):
-                    held = (key, first), own(first[1], first[0])
-                keep.append(linked(held[1], own(batch["db"][i].as_py(), batch["hb"][i].as_py()), percent))
-            yield {"a": [x for x, k in zip(a, keep, strict=True) if k], "b": [x for x, k in zip(b, keep, strict=True) if k]}
+            a, b = [], []
+            for x, part, y, data, digest in zip(*(batch[k].to_pylist() for k in ("a", "part", "b", "data", "digest")), strict=True):
+                if hub != (x, part):
+                    hub, own = (x, part), own[:0]
+                shingles = shingle_sets([data], width)[0]
+                # an id may stand in several rows with different texts: only the one of its class counts
+                if hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() != digest:
+                    continue
+                if y is None:
+                    own = shingles
+                elif linked(own, shingles, percent):
+                    a.append(x)
+                    b.append(y)
+            yield {"a": a, "b": b}
 
-    return map_rows(both.select("a", "b", "ha", "hb", "da", "db"), rows, "a bigint, b bigint", slice_rows=256)
+    return map_rows(both, rows, "a bigint, b bigint", slice_rows=256)
 
 
 def _is_text(data: bytes, digest: bytes, width: int) -> bool:
@@ -289,7 +301,8 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int
     The bucket's largest component may be huge: its members meet only those of the others. Those are cut into blocks,
     each pair of which meets once; the largest component is cut into slices, each of which meets each block. A group of
     blocks or of a block and a slice is bounded. Pairs are compared where they meet, only in the first band that they
-    share, and only links leave the task, each of which joins two components: no more rows than members.
+    share: first by registers alone, then, of the members that keep a partner, by full sets. Only links leave the task,
+    each of which joins two components: no more rows than members.
     """
     similarity, rows_per_band = percent / 100, band_rows(percent / 100)
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -306,57 +319,82 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int
     from_slice = F.transform(upto("blocks"), lambda o: F.struct(o.alias("x"), (-1 - F.col("slice")).alias("y")))
     groups = placed.select("key", "id", "component", "minor", "block", F.explode(F.when(F.col("minor"), F.concat(pairs_of_blocks, with_slices)).otherwise(from_slice)).alias("g"))
     groups = groups.select("key", "g.x", "g.y", "id", "component", "minor", "block")
-    needed = classes.join(groups.select("id").distinct(), "id", "left_semi").join(texts, "id").select("id", "n", "digest", "registers", "data")
-    groups = groups.join(needed, "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    columns = ("key", "x", "y", "id", "component", "minor", "block", "n", "digest", "registers")
 
-    def met(group: list) -> tuple[list[int], list[int]]:
+    def grouped(batches, names: tuple[str, ...]):
+        """Rows of one group at a time: at most two blocks, or a block and a slice."""
+        group: list = []
+        for batch in batches:
+            for row in zip(*(batch[k].to_pylist() for k in names), strict=True):
+                if group and row[:3] != group[0][:3]:
+                    yield group
+                    group = []
+                group.append(row)
+        if group:
+            yield group
+
+    def partners(group: list):
+        """Of each member of the first block, in turn: its plausible partners on the other side, by place in the group."""
         x, y = group[0][1:3]
-        group = list({(r[3], r[6], r[5]): r for r in group if _is_text(r[10], r[8], width)}.values())
-        ids, comps, sizes, blocks = (np.asarray([r[k] for r in group], dtype=np.int64) for k in (3, 4, 7, 6))
+        comps, sizes, blocks = (np.asarray([r[k] for r in group], dtype=np.int64) for k in (4, 7, 6))
         minor = np.asarray([r[5] for r in group], dtype=bool)
         registers = np.frombuffer(b"".join(r[9] for r in group), dtype="<u2").reshape(-1, REGISTERS)
         keys = band_keys(registers, rows_per_band)
         one = np.flatnonzero(minor & (blocks == x))
         two = np.flatnonzero(~minor if y < 0 else minor & (blocks == y))
-        sets: dict[int, frozenset[int]] = {}
-
-        def set_of(i: int) -> frozenset[int]:
-            if i not in sets:
-                sets[i] = frozenset(shingle_sets([group[i][10]], width)[0].tolist())
-            return sets[i]
-
-        a, b = [], []
         for i in one:
             others = two[(comps[two] != comps[i]) & ((y != x) | (two > i))]
             others = others[np.minimum(sizes[i], sizes[others]) >= (similarity - 1e-9) * np.maximum(sizes[i], sizes[others])]
             if not len(others):
                 continue
             same = keys[others] == keys[i]
+            # a pair meets in the first band that it shares only
             others = others[keys[i][same.argmax(axis=1)] == group[i][0]]
-            if not len(others):
+            if len(others):
+                fits = plausible(registers[np.full(len(others), i)], registers[others], np.full(len(others), float(sizes[i])), sizes[others].astype(float), similarity)
+                yield int(i), others[fits]
+
+    def sifted(batches):
+        for group in grouped(batches, columns):
+            found: set[int] = set()
+            for i, others in partners(group):
+                if len(others):
+                    found |= {i, *others.tolist()}
+            if found:
+                yield dict(zip(columns, zip(*(group[i] for i in sorted(found)), strict=True), strict=True))
+
+    met = groups.join(classes.join(groups.select("id").distinct(), "id", "left_semi"), "id").select(*columns)
+    met = met.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
+    types = "key bigint, x int, y int, id bigint, component bigint, minor boolean, block int, n bigint, digest binary, registers binary"
+    # texts go only to groups in which their registers leave a link possible
+    met = written(map_rows(met, sifted, types, slice_rows=2048), "across-sifted")
+    with_texts = texts.join(met.select("id").distinct(), "id", "left_semi").join(met, "id").select(*columns, "data")
+    with_texts = with_texts.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
+
+    def confirmed(batches):
+        for group in grouped(batches, (*columns, "data")):
+            group = list({(r[3], r[6], r[5]): r for r in group if _is_text(r[10], r[8], width)}.values())
+            if not group:
                 continue
-            fits = plausible(registers[np.full(len(others), i)], registers[others], np.full(len(others), float(sizes[i])), sizes[others].astype(float), similarity)
-            for o in others[fits]:
-                if comps[o] != comps[i] and enough(len(set_of(int(i)) & set_of(int(o))), sizes[i], sizes[o], percent):
-                    a.append(int(min(ids[i], ids[o])))
-                    b.append(int(max(ids[i], ids[o])))
-                    comps[comps == comps[o]] = comps[i]
-        return a, b
-
-    def rows(batches):
-        group: list = []
-        for batch in batches:
-            for row in zip(*(batch[k].to_pylist() for k in ("key", "x", "y", "id", "component", "minor", "block", "n", "digest", "registers", "data")), strict=True):
-                if group and row[:3] != group[0][:3]:
-                    a, b = met(group)
-                    yield {"a": a, "b": b}
-                    group = []
-                group.append(row)
-        if group:
-            a, b = met(group)
+            sets: dict[int, frozenset[int]] = {}
+
+            def set_of(i: int) -> frozenset[int]:
+                if i not in sets:
+                    sets[i] = frozenset(shingle_sets([group[i][10]], width)[0].tolist())  # noqa: B023
+                return sets[i]
+
+            comps = np.asarray([r[4] for r in group], dtype=np.int64)
+            a, b = [], []
+            for i, others in partners(group):
+                for o in others.tolist():
+                    # members that earlier links of this group have joined need no more of them
+                    if comps[o] != comps[i] and enough(len(set_of(i) & set_of(o)), group[i][7], group[o][7], percent):
+                        a.append(min(group[i][3], group[o][3]))
+                        b.append(max(group[i][3], group[o][3]))
+                        comps[comps == comps[o]] = comps[i]
             yield {"a": a, "b": b}
 
-    return map_rows(groups.select("key", "x", "y", "id", "component", "minor", "block", "n", "digest", "registers", "data"), rows, "a bigint, b bigint", slice_rows=512)
+    return map_rows(with_texts, confirmed, "a bigint, b bigint", slice_rows=512)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

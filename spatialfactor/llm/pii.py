@@ -4,7 +4,8 @@ The field scores whole spans: how many digits, which groups and separators, chec
 programming over an island of text (words with digits or an at sign, and what stands between) sums over all ways to cut it
 into plain atoms and entities of bounded length, so boundaries and types are chosen jointly. Weights are fitted by maximum
 likelihood on islands of a bounded sample of documents, labelled by the exact patterns, and on copies of them written in
-ways that the patterns miss.
+ways that the patterns miss. Secrets (keys, tokens, passwords) have no exact pattern of their own: the field learns them
+from values that the sample's texts name as such, and finds them by their letters and their surroundings.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import ddl, map_rows, text_sample
 
 #: The kinds, in the order in which spans of one start are listed.
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+EXACT_KINDS = KINDS[:4]
+SECRET = 4
 TRIGGER = re.compile(r"[0-9@]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -30,10 +33,18 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 #: Islands: words with a digit or an at sign, single spaces between them.
 ISLAND = re.compile(r"(?<![^\s])[^\s0-9@]*[0-9@][^\s]*(?: [^\s0-9@]*[0-9@][^\s]*)*")
-ATOM = re.compile(r"[0-9]+|[^\W\d_]+|\s|.", re.DOTALL)
+#: Atoms: a long run of letters and digits mixed, digits, letters, or one other character.
+ATOM = re.compile(r"(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{12,}|[0-9]+|[^\W\d_]+|\s|.", re.DOTALL)
+#: Names that texts give to secrets, and the form of a cloud key's id; the field's examples of secrets.
+NAMED_SECRET = re.compile(r"\b(?:password|passwd|pwd|token|secret|api[_-]?key)\s*[=:]\s*[\"']?([A-Za-z0-9]{12,})(?![A-Za-z0-9])|\b(AKIA[0-9A-Z]{16})\b", re.IGNORECASE)
+NAME = re.compile(r"([^\W\d_]+)[^\w]{0,6}$")
+#: Characters before an island in which its name is looked for.
+BEFORE = 24
+#: Decoded islands that a worker remembers; all are forgotten when there are more.
+REMEMBERED = 50_000
 #: Atoms of an entity, at most. Posterior from which on a span is added.
 LONGEST, SURE = 16, 0.9
-SHOWN = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+SHOWN = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]"}
 
 
 def luhn(digits: str) -> bool:
@@ -92,15 +103,30 @@ def char_class(c: str) -> str:
     return "end" if not c else "digit" if c.isdigit() else "letter" if c.isalpha() else "space" if c.isspace() else c
 
 
-def island_of(text: str) -> Island:
+def named_secrets(text: str) -> list[tuple[int, int, int]]:
+    """Spans that a text names as secrets, for the fit; values without a digit or without a letter are none."""
+    spans = [m.span(1 if m[1] else 2) for m in NAMED_SECRET.finditer(text)]
+    return [(a, SECRET, b) for a, b in spans if not text[a:b].isdigit() and not text[a:b].isalpha()]
+
+
+def letters_of(value: str) -> list[str]:
+    """Features of a long run of letters and digits."""
+    letters, n = [c for c in value if c.isalpha()], sum(c.isdigit() for c in value)
+    case = "upper" if all(c.isupper() for c in letters) else "lower" if all(c.islower() for c in letters) else "mixed"
+    hexadecimal = all(c in "0123456789abcdefABCDEF" for c in value)
+    return ["run", f"run={case}{hexadecimal}", f"runlength={min(len(value), 64) // 4}", f"rundigits={10 * n // len(value)}", f"runstart={value[:4] if value[:4].isalpha() else '-'}"]
+
+
+def island_of(text: str, before: str = "") -> Island:
+    """``before``: the text that precedes the island."""
     atoms = ATOM.findall(text)
     borders = [0]
     for a in atoms:
         borders.append(borders[-1] + len(a))
-    kind = ["d" if a[0] in "0123456789" else "a" if a[0].isalpha() else "s" if a[0].isspace() else a for a in atoms]
+    kind = ["m" if len(a) > 1 and a.isalnum() and not a.isdigit() and not a.isalpha() else "d" if a[0] in "0123456789" else "a" if a[0].isalpha() else "s" if a[0].isspace() else a for a in atoms]
     segments = []
     for i, first in enumerate(kind):
-        if first not in ("d", "a", "+", "("):
+        if first not in ("d", "a", "m", "+", "("):
             continue
         digits, groups, shape = "", 0, []
         for j in range(i, min(len(atoms), i + LONGEST)):
@@ -109,19 +135,27 @@ def island_of(text: str) -> Island:
                 digits += atoms[j]
                 groups += 1
                 shape.append(f"d{min(len(atoms[j]), 5)}")
+            elif k == "m":
+                digits += NOT_DIGIT.sub("", atoms[j])
+                shape.append(k)
             elif not shape or shape[-1] != k:
                 shape.append(k)
             # an entity ends with a word character and holds digits or an at sign
-            if k not in ("d", "a") or not (digits or "@" in shape):
+            if k not in ("d", "a", "m") or not (digits or "@" in shape):
                 continue
             used = set(kind[i : j + 1])
             n, a, b = len(digits), borders[i], borders[j + 1]
             left, right = char_class(text[a - 1 : a] if a else ""), char_class(text[b : b + 1])
             features = ["bias", f"digits={min(n, 20)}", f"groups={min(groups, 8)}", f"seps={''.join(sorted(used - {'d', 'a'}))}", f"letters={'a' in used}", f"L={left}", f"R={right}", f"first={first}", f"last={k}"]
             features.append(f"R2={right}{char_class(text[b + 1 : b + 2])}")
+            if k == "m" and j == i:
+                features += letters_of(atoms[i])
+                name = NAME.search((before + text[:a])[-BEFORE:])
+                features.append(f"name={name[1].lower() if name else '-'}")
+            # longer shapes are too rare to learn from
             if len(shape) <= 12:
                 features.append("shape=" + "".join(shape))
-            if 12 <= n <= 19 and "a" not in used:
+            if 12 <= n <= 19 and used.isdisjoint("am"):
                 features.append(f"luhn={luhn(digits)}")
             parts = "".join(atoms[i : j + 1]).split(".")
             if len(parts) == 4 and all(p.isdigit() and p.isascii() for p in parts):
@@ -198,7 +232,7 @@ class Field:
 
 def otherwise_written(kind: int, span: str, turn: int) -> str | None:
     """The span in a way that the exact pattern misses."""
-    if kind == 0:
+    if kind in (0, SECRET):
         return None
     if kind == 2:
         digits = NOT_DIGIT.sub("", span)
@@ -209,11 +243,13 @@ def otherwise_written(kind: int, span: str, turn: int) -> str | None:
     return span.replace(".", " . ") if turn % 4 == 0 else None
 
 
-def fit_field(texts: list[str], rounds: int = 6, rate: float = 0.5, penalty: float = 1e-3, most: int = 500) -> Field | None:
+def fit_field(texts: list[str], rounds: int = 6, rate: float = 0.5, penalty: float = 1e-3, most: int = 1000) -> Field | None:
     """Maximum likelihood by adaptive gradient steps, island by island, in the order given."""
     examples: list[tuple[Island, set[tuple[int, int, int]]]] = []
     for text in texts:
         spans = base_spans(text)
+        touched = lambda a, b: any(x < b and a < y for x, _, y in spans)  # noqa: B023, E731
+        spans = sorted(spans + [s for s in named_secrets(text) if not touched(s[0], s[2])])
         for m in ISLAND.finditer(text):
             if m.end() - m.start() > 200 or len(examples) >= most:
                 continue
@@ -222,7 +258,8 @@ def fit_field(texts: list[str], rounds: int = 6, rate: float = 0.5, penalty: flo
             if len(clear) < len(inside):
                 continue
             # the island with the characters around it, so that what stands next to a span is seen
-            examples.append((island_of(m[0]), set(clear)))
+            before = text[max(0, m.start() - BEFORE) : m.start()]
+            examples.append((island_of(m[0], before), set(clear)))
             if clear:
                 built, moved, at = "", set(), 0
                 for a, k, b in clear:
@@ -230,7 +267,7 @@ def fit_field(texts: list[str], rounds: int = 6, rate: float = 0.5, penalty: flo
                     built += m[0][at:a]
                     moved.add((len(built), k, len(built) + len(new)))
                     built, at = built + new, b
-                examples.append((island_of(built + m[0][at:]), moved))
+                examples.append((island_of(built + m[0][at:], before), moved))
     if not examples:
         return None
     names: dict[str, int] = {}
@@ -265,6 +302,22 @@ def fit_field(texts: list[str], rounds: int = 6, rate: float = 0.5, penalty: flo
     return field
 
 
+#: Decoded islands of the field that this worker applies, by text and what stands before.
+_decoded: dict[tuple[str, str], list[tuple[int, int, int, float]]] = {}
+_decoded_by: list[int] = []
+
+
+def decoded(field: Field, island: str, before: str) -> list[tuple[int, int, int, float]]:
+    """The island's entities; islands that come again are decoded once."""
+    key = hash(field.weights.tobytes())
+    if _decoded_by != [key] or len(_decoded) > REMEMBERED:
+        _decoded.clear()
+        _decoded_by[:] = [key]
+    if (found := _decoded.get((island, before))) is None:
+        found = _decoded[island, before] = field.decode(island_of(island, before))
+    return found
+
+
 def all_spans(text: str, field: Field | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The exact patterns' spans, and these with the field's that touch none of them."""
     base = base_spans(text)
@@ -281,7 +334,7 @@ def all_spans(text: str, field: Field | None) -> tuple[list[tuple[int, int, int]
         # an island that the exact patterns cover has nothing to add
         if low < len(starts) and starts[low] == m.start() and furthest[low + 1] >= m.end() and taken[low][1] >= m.end():
             continue
-        for a, k, b, sure in field.decode(island_of(m[0])) if m.end() - m.start() >= 7 else ():
+        for a, k, b, sure in decoded(field, m[0], text[max(0, m.start() - BEFORE) : m.start()]):
             a, b = a + m.start(), b + m.start()
             before = int(np.searchsorted(starts, b, side="left"))
             if sure >= SURE and furthest[before] <= a:
@@ -295,12 +348,14 @@ def sample_texts(docs: DataFrame, sample: int, longest: int, text_column: str =
     return [r["text"] for r in text_sample(some, sample)]
 
 
-def find_personal_data(docs: DataFrame, sample: int = 300, longest: int = 5000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def find_personal_data(docs: DataFrame, sample: int = 600, longest: int = 5000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: numbers of the exact patterns' spans by kind, their digest, and all spans.
 
     A null text is empty; ids may be null or repeated and rows keep their multiplicity; other columns are ignored. The
-    field is fitted on at most ``sample`` texts of at most ``longest`` characters and applied to whole texts of any
-    length; without texts to fit on, only the patterns apply. One pass, no shuffle.
+    field is fitted on at most ``sample`` texts of at most ``longest`` characters, of which it learns from the first 1,000
+    islands of at most 200 characters and from shapes of at most 12 parts, and is applied to whole texts of any length;
+    without texts to fit on, only the patterns apply. ``spans`` are those of the exact patterns and the field's, which
+    may also be of kind secret. One pass, no shuffle.
     """
     field = fit_field(sample_texts(docs, sample, longest, text_column))
 
@@ -309,7 +364,7 @@ def find_personal_data(docs: DataFrame, sample: int = 300, longest: int = 5000,
             got = [all_spans(t or "", field) for t in batch["text"].to_pylist()]
             yield {
                 "id": batch["id"],
-                **{f"n_{kind}": [sum(s[1] == k for s in base) for base, _ in got] for k, kind in enumerate(KINDS)},
+                **{f"n_{kind}": [sum(s[1] == k for s in base) for base, _ in got] for k, kind in enumerate(EXACT_KINDS)},
                 "base_sha256": [hashlib.sha256(show(base).encode()).hexdigest() for base, _ in got],
                 "spans": [show(spans) for _, spans in got],
             }
@@ -329,8 +384,12 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact_documents(docs: DataFrame, sample: int = 300, longest: int = 5000, text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
-    """``docs`` with the spans in its texts replaced by marks and the length column brought up to date."""
+def redact_documents(docs: DataFrame, sample: int = 600, longest: int = 5000, text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
+    """``docs`` with the spans in its texts replaced by marks and the length column brought up to date.
+
+    Null and empty texts, repeated rows and rows without id stay as they are, texts of any length are read whole, and an
+    empty table stays empty; without a length column none is added.
+    """
     field = fit_field(sample_texts(docs, sample, longest, text_column))
 
     def rows(batches):

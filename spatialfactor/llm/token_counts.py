@@ -196,18 +196,17 @@ class PrefixCounter:
 
     def prefixes(self, text: str) -> list[int]:
         """Token counts at every prefix, in code points; a prefix that cuts a special string sees ordinary text."""
-        out = [0]
+        out, last = [0], 0
         for section, special in self._sections(text):
             base = out[-1]
             if special:
                 # the cut string joins what stands before it, so only here is a prefix counted from the last unit on
-                head = text[: len(out) - 1]
-                tail = next((m.start() for m in reversed(list(UNIT.finditer(head[-4096:])))), 0) + max(0, len(head) - 4096) if head else 0
-                known = out[tail]
-                out += [known + self.count(head[tail:] + section[:i]) for i in range(1, len(section))] + [base + 1]
+                head, known = text[last : len(out) - 1], out[last]
+                out += [known + self.count(head + section[:i]) for i in range(1, len(section))] + [base + 1]
+                last = len(out) - 1
             else:
                 for unit in UNIT.findall(section):
-                    base = out[-1]
+                    base, last = out[-1], len(out) - 1
                     out += [base + n for n in self.unit_prefixes(unit)[1:]]
                 out[-1] = base + self.unit_count(unit)
         return out
