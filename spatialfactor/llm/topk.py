@@ -1,9 +1,11 @@
 """Exact top-k by integer inner product: KD-trees per shard, searched best first.
 
-A shard's vectors are split at the median of their widest dimension down to leaves; each node keeps the tight box of its
+Space is cut into cells by the median splits of a small KD-tree of a sample; a cell's vectors, dealt by a hash of the id
+into blocks of bounded size, are shards. A shard's vectors are split at the median of their widest dimension down to leaves; each node keeps the tight box of its
 vectors. No vector in a box scores above the sum, over the dimensions, of the larger of the query's products with the
 box's two ends. A query visits nodes by falling bound and stops where the bound is below the k-th score that it has. Each
-query first searches the shard of its own vector; the k-th score found there goes with it to all other shards.
+query first searches the shard of its own vector; the k-th score found there goes with it to the other shards, but only
+to those of cells whose tight box reaches it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,13 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, written
 
-LEAF, SHARD_ROWS = 64, 4096
+LEAF, SHARD_ROWS = 64, 32_768
+#: Rows of a cell, about, until there are ``MOST_CELLS``; vectors of the sample that cuts the cells, for each of them.
+CELL_ROWS, MOST_CELLS, CELL_SAMPLE = 4096, 1024, 32
+#: Numbers in the boxes of all cells, at most: what each task that routes queries holds.
+BOX_NUMBERS = 1 << 20
+#: The cell of vectors whose length is not the most common one; it has no box.
+ODD = -1
 #: Sums below this are exact in double precision.
 EXACT = float(1 << 53)
 LONG = (1 << 63) - 1
@@ -92,16 +100,124 @@ def search(tree: Tree, queries: np.ndarray, own: np.ndarray, known: np.ndarray,
 def search_large(vectors: np.ndarray, ids: np.ndarray, q: np.ndarray, me: int, k: int) -> tuple[list[int], list[int]]:
     """The same in unbounded integers, for components whose products double precision can't hold; scores that a long
     can't hold are cut to its range."""
-    whole = [int(x) for x in q]
-    scored = sorted((-sum(a * int(b) for a, b in zip(whole, v, strict=True)), int(i)) for v, i in zip(vectors, ids, strict=True) if i != me)[:k]
+    exact = [int(x) for x in q]
+    scored = sorted((-sum(a * int(b) for a, b in zip(exact, v, strict=True)), int(i)) for v, i in zip(vectors, ids, strict=True) if i != me)[:k]
     return [i for _, i in scored], [max(-LONG - 1, min(LONG, -s)) for s, _ in scored]
 
 
+def cut_cells(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Median splits of the widest dimensions, as a full binary tree in breadth-first order: dimensions and thresholds."""
+    dims, at = np.zeros((1 << depth) - 1, dtype=np.int64), np.zeros((1 << depth) - 1)
+    parts = {0: sample}
+    for node in range(len(dims)):
+        part = parts.pop(node)
+        if len(part):
+            dims[node] = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
+            at[node] = np.median(part[:, dims[node]])
+        above = part[:, dims[node]] > at[node]
+        parts[2 * node + 1], parts[2 * node + 2] = part[~above], part[above]
+    return dims, at
+
+
+def cell_of(vectors: np.ndarray, dims: np.ndarray, at: np.ndarray) -> np.ndarray:
+    node = np.zeros(len(vectors), dtype=np.int64)
+    every = np.arange(len(vectors))
+    for _ in range((len(dims) + 1).bit_length() - 1):
+        node = 2 * node + 1 + (vectors[every, dims[node]] > at[node])
+    return node - len(dims)
+
+
+def whole(values: list) -> np.ndarray:
+    return np.floor(1024.0 * np.asarray(values, dtype=np.float64))
+
+
+def _placed(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Vectors (id, x, cell) and their most common length."""
+    common = rows.groupBy(F.size("x").alias("length")).count().orderBy(F.desc("count"), "length").first()
+    length, n = (common["length"], common["count"]) if common else (1, 0)
+    depth = 0
+    while depth < 30 and CELL_ROWS << depth < n and 1 << depth < MOST_CELLS and (2 << depth) * 2 * length <= BOX_NUMBERS:
+        depth += 1
+    if not depth:
+        return rows.withColumn("cell", F.when(F.size("x") == length, F.lit(0)).otherwise(F.lit(ODD))), length
+    sample = rows.where(F.size("x") == length).orderBy(F.xxhash64("id"), "id").limit(CELL_SAMPLE << depth).collect()
+    dims, at = cut_cells(whole([r["x"] for r in sample]), depth)
+
+    def place(batches):
+        for batch in batches:
+            x = batch["x"].to_pylist()
+            usual = [i for i, v in enumerate(x) if len(v) == length]
+            cells = np.full(len(x), ODD, dtype=np.int32)
+            if usual:
+                cells[usual] = cell_of(whole([x[i] for i in usual]), dims, at)
+            yield {"id": batch["id"], "x": batch["x"], "cell": cells}
+
+    return map_rows(rows, place, "id bigint, x array<double>, cell int", slice_rows=4096), length
+
+
+def _boxes(placed: DataFrame) -> dict[int, tuple[int, np.ndarray | None, np.ndarray | None]]:
+    """Of each cell the number of its rows and the tight box of its vectors, none for those of other lengths.
+
+    Tasks reduce their own rows first; the driver gets a row a cell, ``BOX_NUMBERS`` numbers in all at most.
+    """
+
+    def merge(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            n = batch["n"].to_pylist() if "n" in batch else [1] * len(batch["cell"])
+            cells = batch["cell"].to_numpy(zero_copy_only=False)
+            low, high = (batch[k if k in batch else "x"].to_pylist() for k in ("low", "high"))
+            for cell in np.unique(cells):
+                mine = np.flatnonzero(cells == cell)
+                total = sum(n[i] for i in mine)
+                if cell == ODD:
+                    held.setdefault(ODD, [0, None, None])[0] += total
+                    continue
+                a, b = np.asarray([low[i] for i in mine]).min(axis=0), np.asarray([high[i] for i in mine]).max(axis=0)
+                got = held.setdefault(int(cell), [0, a, b])
+                held[int(cell)] = [got[0] + total, np.minimum(got[1], a), np.maximum(got[2], b)]
+        if held:
+            yield {"cell": list(held), "n": [h[0] for h in held.values()], "low": [h[1] if h[1] is None else h[1].tolist() for h in held.values()], "high": [h[2] if h[2] is None else h[2].tolist() for h in held.values()]}
+
+    types = "cell int, n bigint, low array<double>, high array<double>"
+    parts = map_rows(placed.select("cell", "x"), merge, types, slice_rows=4096)
+    found = map_rows(parts.repartition("cell"), merge, types, slice_rows=512).collect()
+    return {r["cell"]: (r["n"], None if r["low"] is None else whole(r["low"]), None if r["high"] is None else whole(r["high"])) for r in found}
+
+
+def _routed(queries: DataFrame, boxes: dict, blocks: dict[int, int]) -> DataFrame:
+    """Queries (id, x, known, cell, block) for each shard but their own whose cell's box reaches the k-th score so far."""
+    usual = sorted(c for c in boxes if c != ODD)
+    low, high = (np.asarray([boxes[c][k] for c in usual]) for k in (1, 2))
+
+    def rows(batches):
+        for batch in batches:
+            ids, xs, known, cells, own = (batch[k].to_pylist() for k in ("id", "x", "known", "cell", "block"))
+            out: dict[str, list] = {k: [] for k in ("id", "x", "known", "cell", "block")}
+            for i, x, least, cell, block in zip(ids, xs, known, cells, own, strict=True):
+                if cell == ODD:
+                    reached = [ODD]
+                else:
+                    q = whole(x)
+                    bound = high @ np.maximum(q, 0) + low @ np.minimum(q, 0)
+                    # a bound beyond 2^53 is rounded; then a little more than it is let through
+                    reached = usual if least is None else [usual[j] for j in np.flatnonzero(bound + 1e-12 * np.abs(bound) >= least)]
+                shards = [(c, b) for c in reached for b in range(blocks[c]) if (c, b) != (cell, block)]
+                out["id"] += [i] * len(shards)
+                out["x"] += [x] * len(shards)
+                out["known"] += [least] * len(shards)
+                out["cell"] += [c for c, _ in shards]
+                out["block"] += [b for _, b in shards]
+            yield out
+
+    return map_rows(queries.select("id", "x", "known", "cell", "block"), rows, "id bigint, x array<double>, known double, cell int, block int", slice_rows=64)
+
+
 def _searched(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Candidates (query_id, vec_id, score) of queries (id, x, shard, known) among the vectors (id, x, shard)."""
-    both = vectors.select("shard", F.lit(0).alias("kind"), "id", "x", F.lit(None).cast("double").alias("known"))
-    both = both.unionByName(queries.select("shard", F.lit(1).alias("kind"), "id", "x", "known"))
-    both = both.repartition("shard").sortWithinPartitions("shard", "kind")
+    """Candidates (query_id, vec_id, score) of queries (id, x, cell, block, known) among the vectors (id, x, cell, block)."""
+    both = vectors.select("cell", "block", F.lit(0).alias("kind"), "id", "x", F.lit(None).cast("double").alias("known"))
+    both = both.unionByName(queries.select("cell", "block", F.lit(1).alias("kind"), "id", "x", "known"))
+    both = both.repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
 
     def rows(batches):
         shard, held, trees = None, [], {}
@@ -112,7 +228,7 @@ def _searched(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 by_size.setdefault(len(x), []).append((i, x))
             held.clear()
             for size, group in by_size.items():
-                data = np.floor(1024.0 * np.asarray([x for _, x in group], dtype=np.float64))
+                data = whole([x for _, x in group])
                 trees[size] = build(data, np.asarray([i for i, _ in group], dtype=np.int64)), np.abs(data).max()
 
         for batch in batches:
@@ -124,7 +240,7 @@ def _searched(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     if size not in trees:
                         continue
                     tree, largest = trees[size]
-                    q = np.floor(1024.0 * np.asarray([x for _, x, _ in group], dtype=np.float64))
+                    q = whole([x for _, x, _ in group])
                     own, known = np.asarray([i for i, _, _ in group], dtype=np.int64), np.asarray([-np.inf if b is None else b for _, _, b in group])
                     if np.abs(q).max() * largest * size < EXACT:
                         got = search(tree, q, own, known, k)
@@ -136,10 +252,10 @@ def _searched(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                         found[2].extend(int(s) for s in scores)
                 asked.clear()
 
-            for s, kind, i, x, known in zip(*(batch[c].to_pylist() for c in ("shard", "kind", "id", "x", "known")), strict=True):
-                if s != shard:
+            for cell, block, kind, i, x, known in zip(*(batch[c].to_pylist() for c in ("cell", "block", "kind", "id", "x", "known")), strict=True):
+                if (cell, block) != shard:
                     answer()
-                    shard = s
+                    shard = cell, block
                     held.clear()
                     trees.clear()
                 if kind == 0:
@@ -167,21 +283,27 @@ def exact_top_k(embeddings: DataFrame, k: int = 10, every: int = 100, id_column:
     components, take no part; vectors are compared with those of their own length. Of several rows with one query id the
     least vector asks; each row of a repeated id is a candidate. Other columns are ignored.
 
-    Shards are of about ``SHARD_ROWS`` rows by a hash of the id, so equal vectors spread. A task holds one shard's tree
-    and streams the queries past it, so neither memory nor a broadcast grows with the queries. Of a shard each query
-    returns at most ``k`` rows.
+    Cells are cut by a sample of at most ``CELL_SAMPLE * MOST_CELLS`` vectors; every vector is placed in one. A cell's
+    rows are dealt into shards of about ``SHARD_ROWS`` by a hash of the id, so equal vectors, however many, spread. A task
+    holds one shard's tree and streams the queries past it. Each task that routes queries holds the cells' boxes, at most
+    ``BOX_NUMBERS`` numbers, so a query's vector is sent only to shards that may hold one of its ``k`` best. Of a shard
+    each query returns at most ``k`` rows.
     """
     x = F.col(vector_column).cast("array<double>")
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     rows = embeddings.select(F.col(id_column).cast("bigint").alias("id"), x.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & F.coalesce(sound, F.lit(False)))
-    shards = max(1, -(-embeddings.count() // SHARD_ROWS))
-    vectors = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    queries = vectors.where(F.col("id") % every == 0).groupBy("id", "shard").agg(F.min("x").alias("x"))
+    placed, _ = _placed(rows)
+    placed = written(placed, "top-k-cells")
+    boxes = _boxes(placed)
+    blocks = {c: max(1, -(-n // SHARD_ROWS)) for c, (n, _, _) in boxes.items()}
+    of_cell = embeddings.sparkSession.createDataFrame(list(blocks.items()) or [(0, 1)], "cell int, blocks int")
+    vectors = placed.join(F.broadcast(of_cell), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    queries = vectors.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("x", "cell", "block")).alias("q")).select("id", "q.*")
     home = written(_best(_searched(vectors, queries.withColumn("known", F.lit(None).cast("double")), k), k).select("query_id", "vec_id", "score"), "top-k-home")
-    if shards > 1:
+    if sum(blocks.values()) > 1:
         kth = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("known"))
-        far = queries.join(kth, queries["id"] == kth["query_id"], "left").select("id", "x", "known", F.col("shard").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-        home = home.union(_searched(vectors, far.where("shard <> own"), k))
+        asked = queries.join(kth, queries["id"] == kth["query_id"], "left").select("id", "x", "known", "cell", "block")
+        home = home.union(_searched(vectors, _routed(asked, boxes, blocks), k))
     return _best(home, k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -127,16 +127,14 @@ def test_components(spark):
     assert got == {i: find(i) for i in parent if find(i) != i}
 
 
-def test_exact_top_k(spark):
+def test_exact_top_k(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in rng.normal(size=6)], "x") for i in range(0, 700)]
     rows += [(1000 + i, [0.5] * 6, "x") for i in range(300)] + [(2000, None, "x"), (2001, [1.0, None, 0.0, 0.0, 0.0, 0.0], "x"), (2002, [float("nan")] * 6, "x"), (2003, [float("inf")] * 6, "x"), (2004, [1.0], "x"), (2100, [1.0, 2.0], "x"), (None, [9.0] * 6, "x"), (7, rows[7][1], "x")]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score string")
-    old, topk.SHARD_ROWS = topk.SHARD_ROWS, 128
-    try:
-        got = topk.exact_top_k(table).collect()
-    finally:
-        topk.SHARD_ROWS = old
+    monkeypatch.setattr(topk, "SHARD_ROWS", 128)
+    monkeypatch.setattr(topk, "CELL_ROWS", 64)
+    got = topk.exact_top_k(table).collect()
     sound = [(i, np.floor(1024 * np.asarray(x, dtype=np.float32).astype(float)).astype(int).tolist()) for i, x, _ in rows if i is not None and x is not None and None not in x and np.isfinite(x).all()]
     want = set()
     for q, x in dict((i, x) for i, x in sound if i % 100 == 0).items():
