@@ -8,22 +8,26 @@ of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spatialfactor.llm import mixing, near_dedup, packing, pii, toxicity
-from spatialfactor.llm.common import table, word_count, written
+from spatialfactor.llm.common import table, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't score as toxic; the model learns from the labels outside the held-out third."""
+    """Documents that don't score as toxic; the model learns from the labels outside the held-out third.
+
+    Rows with a null or empty text stay, repeated rows are judged alike, and without labels of both kinds all rows stay.
+    """
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group; sets of five-word shingles, similarity 0.8 or more.
 
-    An id with several rows goes only if none of them is kept; rows without id stay.
+    An id with several rows goes only if none of them is kept; rows without id, and rows with a null or empty text, stay.
+    Texts of any length are compared whole; an empty table stays empty.
     """
     found = near_dedup.near_duplicates(docs, width=5, percent=80)
     gone = found.groupBy("doc_id").agg(F.bool_or("kept").alias("stays")).where("NOT stays").select("doc_id")
@@ -31,25 +35,28 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with personal data replaced by marks; n_chars follows."""
+    """The documents with personal data replaced by marks; n_chars follows.
+
+    Rows with a null or empty text, repeated rows and rows without id stay as they are; whole texts of any length are read.
+    """
     return pii.redact_documents(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them: a row for each copy, none where it takes none.
 
-    Rows that share an id are told apart by their place in the order of size.
+    A row number, settled by being written, leads from the mix's narrow rows back to the documents, so rows without id or
+    with an id of several rows need no key of their own. Rows with a null or empty text have no words and go; an empty
+    table stays empty.
     """
-    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0)).cast("int")
-    taken = mixing.mix_sources(docs).withColumn("copies", copies).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "copies")))
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    rows = sized.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "text")))
-    both = rows.alias("d").join(taken.where("copies > 0").alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.nth") == F.col("t.nth")))
-    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("t.copies")))).select([F.col(f"d.{c}") for c in docs.columns])
+    keyed = written(docs.withColumn("mix_row", F.monotonically_increasing_id()), "mixing-rows")
+    taken = mixing.mix_sources(keyed, row_column="mix_row").where("taken > 0")
+    copies = taken.select("mix_row", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    return keyed.join(copies, "mix_row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of at most 2048 tokens."""
+    """Pieces of the documents and their places in sequences of at most 2048 tokens; a null or empty text is one piece."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 

@@ -25,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    The cluster names it in ``spark.checkpoint.dir``; where nothing is set, as in tests on one machine, a temporary
-    folder of this machine is chosen and set, so that later calls agree.
+    The cluster names it in ``spark.checkpoint.dir``; where nothing is set and Spark runs on this machine alone, as in
+    tests, a temporary folder is chosen and set, so that later calls agree. On a cluster that is an error.
     """
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spatialfactor-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named

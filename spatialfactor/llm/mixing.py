@@ -52,46 +52,57 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return level.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, seed: int = 17, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, seed: int = 17, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", row_column: str | None = None) -> DataFrame:
     """Per document: size (words), source_size, target (words its source should give) and taken (words, repeats counted).
 
     Rows keep their multiplicity; equal rows may get different numbers of copies, as neighbours in the order. A null
-    text has size 0 and nothing is taken of it; a null source is a source of its own, the last; a null id hashes as an
-    empty string. A source without words has target 0. Other columns of ``docs`` are ignored, whatever their names.
-
-    One pass over the texts writes the narrow rows (id, source, size) to the shared folder; three passes over those: sizes by source, cells (source, size class, hash range) by
-    count, and the rank within a cell. Sums are combined before the shuffle. No task holds a source: a cell holds about
-    ``CELL_ROWS`` rows, and only the cells' counts are summed along a source.
+    text has size 0 and nothing is taken of it; a null source is a source of its own, the last. Rows without id come first
+    in their class, by size; those of one size are alike, so their order says nothing and they are dealt at random. A
+    source without words has target 0. Other columns of ``docs`` are ignored, whatever their names; ``row_column``, which
+    tells rows apart, is handed through.
+
+    One pass over the texts writes the narrow rows (id, source, size) to the shared folder; three passes over those: sizes
+    by source, cells (source, size class, size of rows without id, hash range) by count, and the rank within a cell. Sums
+    are combined before the shuffle. No task holds a source: a cell holds about ``CELL_ROWS`` rows, the cells' counts are
+    summed along a size class, and those of the classes along a source.
     """
+    kept = [F.col(row_column).alias("row")] if row_column else []
     rows = docs.select(
         F.col(source_column).cast("string").alias("source"),
         F.col(id_column).cast("bigint").alias("doc"),
         word_count(F.col(text_column)).alias("size"),
+        *kept,
     ).withColumn("class", size_class(F.col("size")))
-    rows = rows.withColumn("mark", hash32(F.coalesce(F.col("doc").cast("string"), F.lit(""))))
+    # random numbers are settled by being written
+    chance = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 32))
+    rows = rows.withColumn("mark", F.coalesce(hash32(F.col("doc").cast("string")), chance))
+    rows = rows.withColumn("anonymous", F.when(F.col("doc").isNull(), F.col("size")))
     rows = written(rows, "mixing-sizes")
 
-    counts = rows.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    group = ("source", "class", "anonymous")
+    counts = rows.groupBy(*group).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     sizes = counts.groupBy("source").agg(F.sum("words").alias("source_size"))
     offset = hash32(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("\u0000")))) / F.lit(4294967296.0)
     sources = source_targets(sizes).withColumn("offset", offset)
-    # hash ranges of a class: as many as its count needs, all of the same width
-    ranges = counts.select("source", "class", F.ceil(F.col("n") / F.lit(CELL_ROWS)).cast("bigint").alias("ranges"))
-    celled = rows.alias("r").join(ranges.alias("g"), _all("r", "g", ("source", "class")), "left")
-    celled = celled.select("r.*", F.floor(F.col("mark") * F.col("ranges") / F.lit(4294967296)).cast("bigint").alias("cell"))
-    cells = celled.groupBy("source", "class", "cell").agg(F.count("*").alias("n"))
-    along = Window.partitionBy("source").orderBy("class", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0)))
+    # hash ranges of a group: as many as its count needs, all of the same width; the groups' counts along the source
+    along = Window.partitionBy("source").orderBy("class", F.col("anonymous").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    groups = counts.select(*group, F.ceil(F.col("n") / F.lit(CELL_ROWS)).cast("bigint").alias("ranges"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("earlier"))
+    celled = rows.alias("r").join(groups.alias("g"), _all("r", "g", group), "left")
+    celled = celled.select("r.*", "g.earlier", F.floor(F.col("mark") * F.col("ranges") / F.lit(4294967296)).cast("bigint").alias("cell"))
+    cells = celled.groupBy(*group, "cell").agg(F.count("*").alias("n"), F.min("earlier").alias("earlier"))
+    along = Window.partitionBy(*group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("before", F.col("earlier") + F.coalesce(F.sum("n").over(along), F.lit(0)))
     cells = cells.alias("c").join(sources.alias("s"), _all("c", "s", ("source",)), "left")
-    cells = cells.select("c.source", "c.class", "c.cell", "c.before", "s.source_size", "s.target", "s.offset")
+    cells = cells.select(*[f"c.{k}" for k in group], "c.cell", "c.before", "s.source_size", "s.target", "s.offset")
 
-    within = Window.partitionBy("source", "class", "cell").orderBy("mark", F.col("doc").asc_nulls_first(), "size")
+    within = Window.partitionBy(*group, "cell").orderBy("mark", "doc", "size")
     ranked = celled.withColumn("rank", F.row_number().over(within))
-    out = ranked.alias("r").join(cells.alias("c"), _all("r", "c", ("source", "class", "cell")), "left")
+    out = ranked.alias("r").join(cells.alias("c"), _all("r", "c", (*group, "cell")), "left")
     rank = F.col("c.before") + F.col("r.rank")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor(F.col("offset") + rate * rank) - F.floor(F.col("offset") + rate * (rank - 1))
-    return out.select(F.col("r.doc").alias(id_column), F.col("r.size").alias("size"), "source_size", "target", (crossed * F.col("r.size")).cast("bigint").alias("taken"))
+    kept = [F.col("r.row").alias(row_column)] if row_column else []
+    return out.select(F.col("r.doc").alias(id_column), F.col("r.size").alias("size"), "source_size", "target", (crossed * F.col("r.size")).cast("bigint").alias("taken"), *kept)
 
 
 def _all(left: str, right: str, keys: tuple[str, ...]) -> Column:
@@ -109,7 +120,7 @@ WITH sized AS (
   FROM documents
 ), marked AS (
   SELECT *, length(CAST(size AS VARCHAR)) * 100 + CAST(substr(CAST(size AS VARCHAR), 1, 2) AS INT) AS class,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS mark
+    CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS mark
   FROM sized
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM marked GROUP BY source
@@ -125,7 +136,7 @@ WITH sized AS (
     CAST('0x' || substr(md5('17:' || coalesce(source, chr(0))), 1, 8) AS BIGINT) / 4294967296e0 AS start
   FROM caps
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, mark, doc_id NULLS FIRST, size) AS rank FROM marked
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, CASE WHEN doc_id IS NULL THEN size END NULLS LAST, mark, doc_id, size) AS rank FROM marked
 )
 SELECT doc_id, size, source_size, target,
   CAST((floor(start + CASE WHEN source_size > 0 THEN target / source_size ELSE 0e0 END * rank)

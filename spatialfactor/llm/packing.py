@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, written
-from .mixing import hash32
 
 #: A chunk that is a word and ASCII marks after it: letters of U+00C0 to U+024F have one form each and lower one by one.
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
@@ -211,20 +210,21 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
     folder. The driver gets the number of pieces by length, at most ``capacity`` rows. Ranks within a length are settled
     in cells of about ``CELL_ROWS`` rows, so no length, however common, meets in one task.
     """
-    pieces = written(cut_pieces(docs, vocabulary, capacity, end_id, id_column, text_column), "packing-pieces")
+    # random numbers deal pieces into cells, equal ones too; they are settled by being written
+    pieces = cut_pieces(docs, vocabulary, capacity, end_id, id_column, text_column).withColumn("mark", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 32)))
+    pieces = written(pieces, "packing-pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     steps, _ = best_fit_plan(counts, capacity)
     # rank of a piece among those of its length: cells by hash, in order, and the row's place in its cell
     ranges = np.ones(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         ranges[length] = -(-n // CELL_ROWS)
-    mark = hash32(F.concat_ws(":", F.col("id").cast("string"), F.col("piece").cast("string"), F.col("ids_crc32").cast("string")))
-    cell = F.floor(mark * F.element_at(F.lit([int(r) for r in ranges]), (F.col("length") + 1).cast("int")) / F.lit(4294967296)).cast("bigint")
-    celled = pieces.withColumn("mark", mark).withColumn("cell", cell)
+    cell = F.floor(F.col("mark") * F.element_at(F.lit([int(r) for r in ranges]), (F.col("length") + 1).cast("int")) / F.lit(4294967296)).cast("bigint")
+    celled = pieces.withColumn("cell", cell)
     along = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     before = celled.groupBy("length", "cell").agg(F.count("*").alias("n"))
     before = before.select("length", "cell", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "cell").orderBy("mark", "id", "piece", "start")
+    within = Window.partitionBy("length", "cell").orderBy("mark", "id", "piece")
     ranked = celled.withColumn("place", F.row_number().over(within)).join(before, ["length", "cell"])
     ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place") - 1).alias("rank"))
 

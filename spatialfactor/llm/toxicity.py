@@ -112,7 +112,7 @@ class Model:
         cut = [words_of(t) for t in texts]
         new = sorted({w for ws in cut for w in ws} - _known.keys())
         _known.update(zip(new, gains(self.ordinary, self.toxic, new).tolist(), strict=True))
-        x = np.asarray([features([_known[w] for w in ws]) for ws in cut]).reshape(len(texts), -1)
+        x = np.asarray([features([_known[w] for w in ws]) for ws in cut]).reshape(len(texts), len(self.weights))
         return (1.0 / (1.0 + np.exp(-np.clip(x @ self.weights + self.shift, -30.0, 30.0)))).tolist() if texts else []
 
 

@@ -256,19 +256,83 @@ def test_toxicity_on_held_out_rows(spark, documents):
     assert toxicity.score_toxicity(documents, marks.limit(0)).count() == documents.count()
 
 
+def test_toxicity_of_odd_rows_with_a_model():
+    rng, rows = random.Random(9), []
+    for i in range(400):
+        words = prose(rng, 50).split()
+        for _ in range(3 * (i % 4 == 0)):
+            words[rng.randrange(50)] = rng.choice(("grubwick", "mofflet", "quazzer"))
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    model = toxicity.fit(rows)
+    clean, bad = prose(rng, 40_000), "you MOFFLET! " + prose(rng, 30) + " (Grubwick)"
+    scores = model.scores(["", "  \n", "12 34", clean[:300], bad, bad, "x" * 5_000_000, bad + " \U0001f600 \ud800", clean + " " + bad * 20])
+    assert max(scores[:4]) < 0.7 <= min(scores[4:6]) and scores[4] == scores[5] and scores[6] < 0.7 <= scores[7] and all(0 <= s <= 1 for s in scores)
+    assert model.scores([]) == [] and toxicity.fit(rows[1:4]) is None
+    # the two dictionaries are told apart by windows alone
+    assert toxicity.gains(model.ordinary, model.toxic, ["mofflet"])[0] >= toxicity.CHOSEN > max(toxicity.gains(model.ordinary, model.toxic, ["ba", "retion"]))
+
+
+def test_toxicity_lengths_are_those_of_single_compression():
+    words = ["alpha", "beta", "gamma delta", "x"]
+    data = b"".join(map(toxicity.wide, words)) * 3
+    assert toxicity.lengths(data, [toxicity.wide(w) for w in words]).tolist() == [len(toxicity.compressor(data).compress(toxicity.wide(w))) for w in words]
+
+
+def test_wrappers_and_teasers_do_not_empty_a_page():
+    text = "Text one that is long enough to count as the page"
+    content = lambda page: html_extract.content(html_extract.blocks(page))
+    assert content(f'<form id="aspnetForm"><div class="nav">menu</div><p>{text}</p></form>') == [text]
+    page = '<div class="page-with-sidebar"><div class=sidebar>links</div><article><p>Main</p><section id="search-methods"><p>How</p></section><section class="related-work"><p>Others</p></section><div class="site-footer">f</div></article></div>'
+    assert content(page) == ["Main", "How", "Others"]
+    assert content(f"<div><article class=teaser><p>Short</p></article><p>{text}</p></div>") == ["Short", text]
+    assert content(f'<div class="comments"><article><p>a remark</p></article></div><p>{text}</p>') == [text]
+    assert content('<div class="ad-banner box">x</div><nav>only</nav>') == []
+    assert content("<p>" + "word " * 1_000_000) == [("word " * 1_000_000).strip()]
+
+
+def test_cells_hold_every_vector():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 5))
+    dims, at = topk.cut_cells(x[:300], 3)
+    cells = topk.cell_of(x, dims, at)
+    assert set(cells.tolist()) == set(range(8)) and np.bincount(cells).max() < 600
+    same = topk.cell_of(np.zeros((10, 5)), *topk.cut_cells(np.zeros((4, 5)), 2))
+    assert len(set(same.tolist())) == 1
+
+
 def test_pipeline_stages(spark, documents, tmp_path):
     import corpus_pipeline
 
-    table = documents.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id IS NOT NULL")
+    rng = random.Random(3)
+    table = documents.select("doc_id", "text", "lang", "source", "n_chars")
+    bad = [(1000 + i, f"mofflet {prose(rng, 30)} grubwick {prose(rng, 9)} quazzer", "en", "s1", 9) for i in range(60)]
+    fine = [(2000 + i, prose(rng, 40), "en", "s2", 9) for i in range(200)]
+    table = table.union(spark.createDataFrame(bad + fine, table.schema))
     table.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, 0), (2, 0)], "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    marks = [(r[0], int(r[0] < 2000)) for r in bad + fine]
+    spark.createDataFrame(marks, "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
         assert name == "packing" or out.columns == docs.columns
+        if name == "toxicity":
+            kept = {r.doc_id for r in out.select("doc_id").collect()}
+            assert len([i for i in kept if i is not None and 1000 <= i < 2000]) <= 3 and {i for i, _, _, _, _ in fine} <= kept and {103, 104, None} <= kept
+        if name == "personal_data":
+            before, after = Counter(r.doc_id for r in docs.collect()), Counter(r.doc_id for r in out.collect())
+            assert before == after and "[EMAIL]" in out.where("doc_id = 107").first().text
+        if name == "mixing":
+            plain = mixing.mix_sources(docs).where("size > 0").selectExpr("doc_id", "cast(taken / size as int) AS n").collect()
+            want = Counter()
+            for r in plain:
+                want[r.doc_id] += r.n
+            assert Counter(r.doc_id for r in out.collect()) == +want
         if name == "near_dedup":
+            assert None in {r.doc_id for r in out.collect()}
             ids = [r.doc_id for r in out.select("doc_id").collect()]
             assert 100 not in ids and 101 not in ids and 102 not in ids and {0, 103, 104} <= set(ids)
         out.write.parquet(str(tmp_path / f"s{i}"))
         docs = spark.read.parquet(str(tmp_path / f"s{i}"))
     assert Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset").collect())) == Counter(map(tuple, docs.drop("sequence_id", "offset").collect()))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, table.limit(0), str(tmp_path)).count() == 0

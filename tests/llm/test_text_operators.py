@@ -159,9 +159,62 @@ def test_the_field_adds_what_the_patterns_miss():
     assert marginals.min() >= -1e-9 and marginals.sum() <= len(island.borders)
 
 
+def every_cut(n, segments):
+    """All ways to cut n atoms into plain ones and segments: lists of the segments' numbers."""
+    if n == 0:
+        return [[]]
+    return every_cut(n - 1, segments) + [cut + [s] for s, (i, j, _) in enumerate(segments) if j == n for cut in every_cut(i, segments)]
+
+
+def test_marginals_and_best_cut_against_all_cuts():
+    from itertools import product
+
+    texts = [f"call +1 (212) 555-{i:04d} or ip 10.0.{i}.1 key token = ab12cd34ef56{i:02d} at a{i}@b.example.com" for i in range(30)]
+    field = pii.fit_field(texts)
+    for text in ("10.0.0.1", "a1@b.c", "+1 (2", "7", "x9 8"):
+        island = pii.island_of(text)
+        scores, n = field.scores(island), len(island.borders) - 1
+        weights = {}
+        for cut in every_cut(n, island.segments):
+            for kinds in product(range(len(pii.KINDS)), repeat=len(cut)):
+                weights[tuple(zip(cut, kinds, strict=True))] = sum(scores[s, k] for s, k in zip(cut, kinds, strict=True))
+        total = np.log(sum(np.exp(w) for w in weights.values()))
+        marginals, log_sum = field.marginals(island, scores)
+        assert np.isclose(log_sum, total)
+        want = np.zeros_like(marginals)
+        for cut, w in weights.items():
+            for s, k in cut:
+                want[s, k] += np.exp(w - total)
+        assert np.allclose(marginals, want)
+        best = max(weights, key=weights.get)
+        got = {(a, k, b) for a, k, b, _ in field.decode(island)}
+        assert got == {(island.borders[island.segments[s][0]], k, island.borders[island.segments[s][1]]) for s, k in best} or np.isclose(weights[best], 0)
+
+
+def test_secrets_without_a_name_and_long_texts():
+    rng = np.random.default_rng(4)
+    value = lambda: "".join("0123456789abcdef"[i] for i in rng.integers(0, 16, 40))
+    texts = [f"some words token = {value()} and more, version 3.0 of {2000 + i}" for i in range(60)]
+    field = pii.fit_field(texts)
+    secret = value()
+    long = "word " * 400_000 + f'the token = "{secret}" ' + "1999 " * 300_000 + "me@x.example.com"
+    base, spans = pii.all_spans(long, field)
+    at = long.index(secret)
+    assert [k for _, k, _ in base] == [0] and (at, pii.SECRET, at + 40) in spans and len(spans) == 2
+    assert pii.redact(f"token = {secret}.", pii.all_spans(f"token = {secret}.", field)[1]) == "token = [SECRET]."
+
+
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
+@pytest.mark.parametrize("n", [8_193, 100_000])
+def test_prefix_counts_behind_long_units(n):
+    tokenizer, counter = Tokenizer.from_file(BYTES), token_counts.counter(BYTES)
+    text = "q" * n + "<|endoftext|>x"
+    want = [len(tokenizer.encode(text[:p], add_special_tokens=False).ids) for p in range(n, len(text) + 1)]
+    assert counter.prefixes(text)[n:] == want
+
+
 def test_counts_at_every_prefix():
     import random
 
