@@ -50,10 +50,9 @@ def _(v):
     return analysis.reconstruction_error(v.expr, v.w, v.q, "gene")
 
 
-@register("recon_error_per_obs", f"WITH {FULL}, t AS (SELECT obs_id, {r6(ERROR)} AS error FROM full_x GROUP BY obs_id) SELECT t.obs_id, error FROM t JOIN (SELECT DISTINCT obs_id FROM fx_expr) e ON t.obs_id = e.obs_id")
+@register("recon_error_per_obs", f"WITH {FULL} SELECT obs_id, {r6(ERROR)} AS error FROM full_x GROUP BY obs_id")
 def _(v):
-    found = analysis.reconstruction_error(v.expr, v.w, v.q, "obs")
-    return found.join(v.expr.select("obs_id").distinct(), "obs_id", "left_semi")
+    return analysis.reconstruction_error(v.expr, v.w, v.q, "obs")
 
 
 @register("corr_pearson", f"SELECT k, key, {r6('corr(w, value)')} AS correlation FROM fx_w w JOIN (SELECT obs_id, 'x' AS key, x AS value FROM fx_obs UNION ALL SELECT obs_id, 'p_retailprice', p_retailprice FROM fx_obs) o ON w.obs_id = o.obs_id GROUP BY k, key")
@@ -98,9 +97,9 @@ def _(v):
     return analysis.normalize_components(v.w, v.q, "both")[0]
 
 
-@register("reconstruct_slice", f"SELECT obs_id, var_id, {r6('sum(w * q)')} AS x FROM fx_w w JOIN fx_q q ON w.k = q.k WHERE obs_id <= 50 AND var_id <= 20 GROUP BY obs_id, var_id")
+@register("reconstruct_slice", f"SELECT obs_id, var_id, {r6('sum(w * q)')} AS x FROM fx_w w JOIN fx_q q ON w.k = q.k GROUP BY obs_id, var_id")
 def _(v):
-    return analysis.reconstruct(v.w, v.q, v.obs.where("obs_id <= 50"), v.var.where("var_id <= 20"))
+    return analysis.reconstruct(v.w, v.q, v.obs, v.var)
 
 
 @register("qscore", f"SELECT var_id, k, {r6('q / sqrt(sum(q * q) OVER (PARTITION BY k))')} AS qscore FROM fx_q")
@@ -165,12 +164,13 @@ def _(v):
     return downstream.component_categories(downstream.classify_components(v.wc, v.obs))
 
 
-STATS = """sig AS (SELECT a.k AS k1, b.k AS k2, covar_samp(a.w, b.w) AS s FROM fx_wc a JOIN fx_wc b ON a.obs_id = b.obs_id GROUP BY a.k, b.k),
-mm AS (SELECT var_id, k2 AS k, sum(q * s) AS m FROM fx_qc JOIN sig ON k = k1 GROUP BY var_id, k2),
-st0 AS (SELECT q.var_id, q.k, q.q, m, s, s > 1e-10 AS active, sum(m * q.q) OVER (PARTITION BY q.var_id) AS v FROM fx_qc q JOIN mm ON q.var_id = mm.var_id AND q.k = mm.k JOIN sig ON q.k = k1 AND q.k = k2),
+STATS = """wcm AS MATERIALIZED (SELECT * FROM fx_wc), qcm AS MATERIALIZED (SELECT * FROM fx_qc),
+sig AS MATERIALIZED (SELECT a.k AS k1, b.k AS k2, covar_samp(a.w, b.w) AS s FROM wcm a JOIN wcm b ON a.obs_id = b.obs_id GROUP BY a.k, b.k),
+mm AS MATERIALIZED (SELECT var_id, k2 AS k, sum(q * s) AS m FROM qcm JOIN sig ON k = k1 GROUP BY var_id, k2),
+st0 AS (SELECT q.var_id, q.k, q.q, m, s, s > 1e-10 AS active, sum(m * q.q) OVER (PARTITION BY q.var_id) AS v FROM qcm q JOIN mm ON q.var_id = mm.var_id AND q.k = mm.k JOIN sig ON q.k = k1 AND q.k = k2),
 st1 AS (SELECT *, CASE WHEN active THEN q * q * s / (v + 1e-10) ELSE 0e0 END AS r_var, CASE WHEN active THEN greatest(least(sign(q) * m / (sqrt(greatest(v, 0e0)) * sqrt(greatest(s, 0e0)) + 1e-10), 1e0), -1e0) ELSE 0e0 END AS c_recon FROM st0),
 st2 AS (SELECT *, row_number() OVER (PARTITION BY var_id ORDER BY r_var DESC, k) AS nth FROM st1),
-st AS (SELECT a.*, a.r_var - CASE WHEN a.nth = 1 THEN c.r_var ELSE b.r_var END AS exclusivity, b.k AS top_k FROM st2 a JOIN st2 b ON a.var_id = b.var_id AND b.nth = 1 JOIN st2 c ON a.var_id = c.var_id AND c.nth = 2)"""
+st AS MATERIALIZED (SELECT *, r_var - CASE WHEN nth = 1 THEN max(CASE WHEN nth = 2 THEN r_var END) OVER gene ELSE max(CASE WHEN nth = 1 THEN r_var END) OVER gene END AS exclusivity, max(CASE WHEN nth = 1 THEN k END) OVER gene AS top_k FROM st2 WINDOW gene AS (PARTITION BY var_id))"""
 
 
 @register("precompute_stats", f"WITH {STATS} SELECT var_id, k, {r6('q')} AS q, {r6('m')} AS m, {r6('s')} AS s, active, {r6('v')} AS v FROM st")
@@ -228,9 +228,9 @@ def _(v):
     return posthoc.score_signatures(v.q.withColumnRenamed("q", "coef"), v.var, v.signatures)
 
 
-@register("signature_overlap", "WITH s AS (SELECT DISTINCT signature, upper(gene) AS gene FROM fx_signatures), h AS (SELECT s.*, v.g FROM s LEFT JOIN (SELECT DISTINCT upper(var_name) AS g FROM fx_var WHERE var_id % 2 = 0) v ON s.gene = v.g) SELECT signature, count(*) AS n_genes, count(g) AS n_matched, coalesce(string_agg(g, ',' ORDER BY g), '') AS genes FROM h GROUP BY signature")
+@register("signature_overlap", "WITH s AS (SELECT DISTINCT signature, upper(gene) AS gene FROM fx_signatures), h AS (SELECT s.*, v.g FROM s LEFT JOIN (SELECT DISTINCT upper(var_name) AS g FROM fx_var) v ON s.gene = v.g) SELECT signature, count(*) AS n_genes, count(g) AS n_matched, coalesce(string_agg(g, ',' ORDER BY g), '') AS genes FROM h GROUP BY signature")
 def _(v):
-    return posthoc.signature_overlap(v.var.where("var_id % 2 = 0"), v.signatures)
+    return posthoc.signature_overlap(v.var, v.signatures)
 
 
 @register("zscore_columns", f"SELECT obs_id, k, {r6('(w - avg(w) OVER (PARTITION BY k)) / CASE WHEN stddev_pop(w) OVER (PARTITION BY k) > 0 THEN stddev_pop(w) OVER (PARTITION BY k) ELSE 1e0 END')} AS w FROM fx_w")
@@ -248,11 +248,11 @@ def _(v):
     return plotdata.signature_heatmap(v.q, 10)
 
 
-@register("plot_spatial_reconstruction", f"""WITH r AS (SELECT w.obs_id, q.var_id, sum(w * q) AS r FROM fx_w w JOIN fx_q q ON w.k = q.k WHERE var_id <= 3 GROUP BY w.obs_id, q.var_id),
+@register("plot_spatial_reconstruction", f"""WITH r AS (SELECT w.obs_id, q.var_id, sum(w * q) AS r FROM fx_w w JOIN fx_q q ON w.k = q.k GROUP BY w.obs_id, q.var_id),
 t AS (SELECT r.obs_id, r.var_id, coalesce(x, 0e0) AS original, r AS reconstructed FROM r LEFT JOIN fx_expr e ON r.obs_id = e.obs_id AND r.var_id = e.var_id)
 SELECT obs_id, var_id, original, {r6('reconstructed')} AS reconstructed, {r6('least(min(original) OVER (PARTITION BY var_id), min(reconstructed) OVER (PARTITION BY var_id))')} AS low, {r6('greatest(max(original) OVER (PARTITION BY var_id), max(reconstructed) OVER (PARTITION BY var_id))')} AS high FROM t""")
 def _(v):
-    return plotdata.spatial_reconstruction(v.expr, v.w, v.q, v.var.where("var_id <= 3"))
+    return plotdata.spatial_reconstruction(v.expr, v.w, v.q, v.var)
 
 
 @register("export_top_genes", f"SELECT k, v.var_name AS gene, rank, score FROM ({top_sql('positive', 50)}) t JOIN fx_var v ON t.var_id = v.var_id")

@@ -290,26 +290,27 @@ def _(v):
     return preprocess.matrix_stats(v.expr, v.obs.count(), v.var.count())
 
 
-@register("hvg_validation", f"SELECT var_id FROM ({GENES}) t WHERE var_id % 3 = 0 AND mean >= 0 AND n_cells >= greatest(5, CAST(floor((SELECT count(*) FROM fx_obs) * 0.01e0) AS BIGINT))")
+@register("hvg_validation", f"SELECT var_id FROM ({GENES}) t WHERE mean >= 0 AND n_cells >= greatest(5, CAST(floor((SELECT count(*) FROM fx_obs) * 0.01e0) AS BIGINT))")
 def _(v):
-    return preprocess.validate_hvg(v.expr, v.obs.count(), v.var.where("var_id % 3 = 0").select("var_id"))
+    return preprocess.validate_hvg(v.expr, v.obs.count(), v.var.select("var_id"))
 
 
-@register("expand_genes", f"SELECT v.var_id, c.k, {r6('coalesce(q, 0e0)')} AS q FROM fx_var v CROSS JOIN (SELECT DISTINCT k FROM fx_q) c LEFT JOIN (SELECT * FROM fx_q WHERE var_id % 2 = 0) q ON v.var_id = q.var_id AND c.k = q.k")
+@register("expand_genes", f"SELECT v.var_id, c.k, {r6('coalesce(q, 0e0)')} AS q FROM fx_var v CROSS JOIN (SELECT DISTINCT k FROM fx_q) c LEFT JOIN fx_q q ON v.var_id = q.var_id AND c.k = q.k")
 def _(v):
-    return preprocess.expand_genes(v.q.where("var_id % 2 = 0"), v.var)
+    return preprocess.expand_genes(v.q, v.var)
 
 
-NAMED = "SELECT p.p_name AS obs_name, s.s_name AS var_name, l.x, p.p_partkey AS id, s.s_suppkey AS vid FROM fx_expr l JOIN part p ON l.obs_id = p.p_partkey JOIN supplier s ON l.var_id = s.s_suppkey"
-PARTS = f"named AS ({NAMED}), a AS (SELECT '0' AS sample_id, obs_name, var_name, x FROM named WHERE id % 2 = 0 AND vid % 3 <> 0), b AS (SELECT '1' AS sample_id, obs_name, var_name, x FROM named WHERE id % 2 = 1 AND vid % 3 <> 1)"
+NAMED = "SELECT o.obs_name, g.var_name, l.x, o.sample_id AS own FROM fx_expr l JOIN fx_obs o ON l.obs_id = o.obs_id JOIN fx_var g ON l.var_id = g.var_id"
+#: All observations and genes in two parts: the samples up to the middle one by name, and the rest.
+HALVES = "cut AS (SELECT sample_id AS middle FROM (SELECT sample_id, row_number() OVER (ORDER BY sample_id) AS nth, count(*) OVER () AS n FROM (SELECT DISTINCT sample_id FROM fx_obs) d) s WHERE nth = n // 2 + 1)"
+PARTS = f"named AS ({NAMED}), {HALVES}, a AS (SELECT '0' AS sample_id, obs_name, var_name, x FROM named, cut WHERE own < middle), b AS (SELECT '1' AS sample_id, obs_name, var_name, x FROM named, cut WHERE own >= middle)"
 
 
 def merged(v: Views, join: str) -> DataFrame:
-    named = v.expr.join(v.obs.select("obs_id", "obs_name"), "obs_id").join(v.var, "var_id")
-    parts = []
-    for half, gone in ((0, 0), (1, 1)):
-        part = named.where(f"obs_id % 2 = {half} AND var_id % 3 <> {gone}")
-        parts.append((part.select("obs_name", "var_name", "x"), v.obs.where(f"obs_id % 2 = {half}").drop("sample_id")))
+    named = v.expr.join(v.obs.select("obs_id", "obs_name", "sample_id"), "obs_id").join(v.var, "var_id")
+    ids = sorted(r["sample_id"] for r in v.obs.select("sample_id").distinct().collect())
+    second = F.col("sample_id") >= F.lit(ids[len(ids) // 2])
+    parts = [(named.where(own).select("obs_name", "var_name", "x"), v.obs.where(own).drop("sample_id")) for own in (~second, second)]
     return samples.merge_samples(parts, join)[0]
 
 
