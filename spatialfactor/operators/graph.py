@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Points wanted in a grid cell, in multiples of the number of neighbours.
-CELL_FILL = 2.0
+CELL_FILL = 1.0
 
 
 def _distance() -> Column:
@@ -59,6 +59,14 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("i", "j", "dist").unionByName(back).groupBy("i", "j").agg((F.sum("dist") / 2).alias("dist")).select("i", "j", F.lit(1.0).alias("a"), "dist")
 
 
+def tv_structures(lap: DataFrame) -> tuple[DataFrame, dict]:
+    """What total variation needs of a Laplacian: its edges (i, j, weight) and their number, mean weight and degree."""
+    edges = edges_from_laplacian(lap)
+    r = edges.agg(F.count("*").alias("n_edges"), F.avg("weight").alias("mean_weight")).first()
+    nodes = edges.selectExpr("explode(array(i, j)) AS i").distinct().count()
+    return edges, {"n_edges": r["n_edges"], "mean_weight": r["mean_weight"], "n_nodes": nodes, "mean_degree": 2.0 * r["n_edges"] / nodes if nodes else 0.0}
+
+
 def knn_graph(obs: DataFrame, k: int = 6, skip_small: bool = False) -> DataFrame:
     """Symmetric k-nearest-neighbour graph. Samples of ``k`` points or fewer raise, or are left out."""
     small = obs.groupBy("sample_id").agg(F.count("*").alias("n")).where(F.col("n") < k + 1)
@@ -122,19 +130,27 @@ def average_degree(edges: DataFrame, obs: DataFrame) -> DataFrame:
     return all_of.agg(F.avg(F.coalesce("degree", F.lit(0.0))).alias("average_degree"))
 
 
-def laplacian(edges: DataFrame, obs: DataFrame, normalized: bool = True) -> DataFrame:
-    """(i, j, v): I - D^-1/2 A D^-1/2, with 1 on the diagonal also where the degree is 0; or D - A."""
-    degree = degrees(edges)
-    nodes = obs.select(F.col("obs_id").alias("i")).join(degree, "i", "left").withColumn("degree", F.coalesce("degree", F.lit(0.0)))
-    loops = edges.where("i = j").select("i", F.col("a").alias("loop"))
+def laplacian(edges: DataFrame, obs: DataFrame, normalized: bool = True, symmetric: bool = False) -> DataFrame:
+    """(i, j, v): I - D^-1/2 A D^-1/2, with 1 on the diagonal also where the degree is 0; or D - A.
+
+    ``edges`` are read once where they are known to be symmetric, since the degree of an edge's end is then a sum over the
+    edges that it ends; else degrees are joined.
+    """
+    nodes = obs.select(F.col("obs_id").alias("i"), F.col("obs_id").alias("j"))
     if not normalized:
-        off = edges.where("i <> j").select("i", "j", (-F.col("a")).alias("v"))
-        diagonal = nodes.join(loops, "i", "left").select("i", F.col("i").alias("j"), (F.col("degree") - F.coalesce("loop", F.lit(0.0))).alias("v"))
-        return off.unionByName(diagonal)
-    at_j = degree.select(F.col("i").alias("j"), F.col("degree").alias("dj"))
-    off = edges.where("i <> j").join(degree, "i").join(at_j, "j").select("i", "j", (-F.col("a") / F.sqrt(F.col("degree") * F.col("dj"))).alias("v"))
-    diagonal = nodes.join(loops, "i", "left").select("i", F.col("i").alias("j"), (F.lit(1.0) - F.coalesce(F.try_divide("loop", "degree"), F.lit(0.0))).alias("v"))
-    return off.unionByName(diagonal)
+        ends = F.array(F.struct("j", (-F.col("a")).alias("v")), F.struct(F.col("i").alias("j"), F.col("a").alias("v")))
+        parts = edges.where("i <> j").select("i", F.explode(ends).alias("e")).select("i", "e.j", "e.v")
+        parts = parts.unionByName(nodes.withColumn("v", F.lit(0.0)))
+    else:
+        if symmetric:
+            sums = edges.withColumn("di", F.sum("a").over(Window.partitionBy("i"))).withColumn("dj", F.sum("a").over(Window.partitionBy("j")))
+        else:
+            degree = degrees(edges)
+            sums = edges.join(degree.withColumnRenamed("degree", "di"), "i").join(degree.select(F.col("i").alias("j"), F.col("degree").alias("dj")), "j", "left")
+        parts = sums.select("i", "j", F.coalesce(F.try_divide(-F.col("a"), F.sqrt(F.col("di") * F.col("dj"))), F.lit(0.0)).alias("v"))
+        # a loop's share of its degree is a / sqrt(d * d)
+        parts = parts.unionByName(nodes.withColumn("v", F.lit(1.0)))
+    return parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def per_sample_laplacian(obs: DataFrame, k: int = 8) -> DataFrame:
@@ -145,7 +161,7 @@ def per_sample_laplacian(obs: DataFrame, k: int = 8) -> DataFrame:
         raise ValueError("sample ids must not be null")
     small = obs.groupBy("sample_id").agg(F.count("*").alias("n")).where(F.col("n") < k + 1).select("sample_id")
     large = obs.join(small, "sample_id", "left_anti")
-    return laplacian(symmetric(nearest(large, k)), large)
+    return laplacian(symmetric(nearest(large, k)), large, symmetric=True)
 
 
 def edges_from_laplacian(lap: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,11 +10,15 @@ def smooth_with_graph(expr: DataFrame, weights: DataFrame, center: float = 0.5)
     """c * X + (1 - c) * rownorm(A) X for edges (i, j, a). Rows without edges become c * X."""
     if not 0.0 <= center <= 1.0:
         raise ValueError("the centre's weight must lie in 0 to 1")
-    total = weights.groupBy("i").agg(F.sum("a").alias("total"))
-    rows = weights.join(total, "i").select("i", "j", F.when(F.col("total") == 0, F.col("a")).otherwise(F.col("a") / F.when(F.col("total") == 0, F.lit(1.0)).otherwise(F.col("total"))).alias("share"))
-    around = rows.join(expr.withColumnRenamed("obs_id", "j"), "j").select(F.col("i").alias("obs_id"), "var_id", (F.lit(1.0 - center) * F.col("share") * F.col("x")).alias("x"))
-    own = expr.select("obs_id", "var_id", (F.lit(center) * F.col("x")).alias("x"))
-    return own.unionByName(around).groupBy("obs_id", "var_id").agg(F.sum("x").alias("x"))
+    # an observation's entries travel together, so an edge is one row in both shuffles
+    packed = expr.groupBy("obs_id").agg(F.collect_list(F.struct("var_id", "x")).alias("entries"))
+    total = F.sum("a").over(Window.partitionBy("i"))
+    share = F.when(total == 0, F.col("a")).otherwise(F.col("a") / F.when(total == 0, F.lit(1.0)).otherwise(total))
+    edges = weights.select("i", F.col("j").alias("obs_id"), (F.lit(1.0 - center) * share).alias("share"))
+    around = edges.join(packed, "obs_id").select("i", "share", "entries")
+    own = packed.select(F.col("obs_id").alias("i"), F.lit(center).alias("share"), "entries")
+    entries = around.unionByName(own).repartition("i").select("i", "share", F.explode("entries").alias("e"))
+    return entries.groupBy(F.col("i").alias("obs_id"), F.col("e.var_id").alias("var_id")).agg(F.sum(F.col("share") * F.col("e.x")).alias("x"))
 
 
 def adjacency_of(lap: DataFrame) -> DataFrame:

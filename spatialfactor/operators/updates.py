@@ -44,8 +44,11 @@ def tv_weight_stats(weighted: DataFrame, clip: float = 1000.0) -> DataFrame:
 
 def laplacian_terms(lap: DataFrame, w: DataFrame) -> DataFrame:
     """(obs_id, k, lw, d): L W and the diagonal of L."""
+    # an observation's row of W travels as one array; entries that meet at i stay there
+    packed = w.groupBy(F.col("obs_id").alias("j")).agg(F.collect_list(F.struct("k", "w")).alias("row"))
+    met = lap.join(packed, "j").select("i", "j", "v", "row").repartition("i").select("i", "j", "v", F.explode("row").alias("e"))
     own = F.max(F.when(F.col("i") == F.col("j"), F.col("v")))
-    return lap.join(w.withColumnRenamed("obs_id", "j"), "j").groupBy(F.col("i").alias("obs_id"), "k").agg(F.sum(F.col("v") * F.col("w")).alias("lw"), own.alias("d"))
+    return met.groupBy(F.col("i").alias("obs_id"), F.col("e.k").alias("k")).agg(F.sum(F.col("v") * F.col("e.w")).alias("lw"), own.alias("d"))
 
 
 def update_w(expr: DataFrame, w: DataFrame, q: DataFrame, spatial: DataFrame | None = None, alpha: float = 0.0, l1: DataFrame | None = None) -> DataFrame:
