@@ -6,6 +6,7 @@ number of components for all features at once.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,15 +44,30 @@ def simple_regression(expr: DataFrame, w: DataFrame, component: int = 0) -> Data
     return rows.select("var_id", ((F.col("sx") - coef * F.col("sw")) / F.col("n")).alias("intercept"), coef.alias("coef"), F.try_divide(coef * swx, sxx).alias("r2"))
 
 
+def checked(expr: DataFrame, w: DataFrame, var: DataFrame) -> None:
+    """ValueError unless all entries are finite, W is complete, and features have one row and, if named, one name each."""
+    odd = lambda c: F.bool_or(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    if expr.agg(odd("x")).first()[0] or w.agg(odd("w")).first()[0]:
+        raise ValueError("entries must be finite")
+    r = w.agg(F.count("*").alias("rows"), F.count_distinct("obs_id").alias("n"), F.count_distinct("k").alias("r"), F.count_distinct("obs_id", "k").alias("cells")).first()
+    if r["rows"] != r["cells"] or r["cells"] != r["n"] * r["r"]:
+        raise ValueError("every observation needs one activity of each component")
+    names = ["var_id", *(["var_name"] if "var_name" in var.columns else [])]
+    r = var.agg(F.count("*").alias("rows"), *[F.count_distinct(c).alias(c) for c in names]).first()
+    if any(r[c] != r["rows"] for c in names):
+        raise ValueError("features and their names must be unique")
+
+
 def posthoc_regression(expr: DataFrame, w: DataFrame, var: DataFrame, add_intercept: bool = True, standardize_w: bool = False, standardize_x: bool = False, ridge: float = 0.0) -> Regression:
     """Least squares or ridge of every feature on all components; the intercept is not penalised.
 
     The pseudo-inverse gives the solution of least norm where activities are collinear. R2 is against the centred sum of
     squares also without intercept; features without variance have none. Without degrees of freedom there are no errors.
     """
-    if ridge < 0:
-        raise ValueError("ridge must not be negative")
+    if not 0 <= ridge < float("inf"):
+        raise ValueError("ridge must be a number that is not negative")
     spark = expr.sparkSession
+    checked(expr, w, var)
     if standardize_w:
         w = zscore_columns(w, "w")
     ks = sorted(r["k"] for r in w.select("k").distinct().collect())
@@ -60,6 +76,8 @@ def posthoc_regression(expr: DataFrame, w: DataFrame, var: DataFrame, add_interc
     a = np.zeros((len(ks), len(ks)))
     for r in gram(w, "obs_id", "w").collect():
         a[at[r["k1"]], at[r["k2"]]] = r["v"]
+    if (rank := int(np.linalg.matrix_rank(a))) < len(ks):
+        warnings.warn(f"activities have rank {rank} of {len(ks)}: the solution of least norm is given", stacklevel=2)
     sums = {r["k"]: r["s"] for r in w.groupBy("k").agg(F.sum("w").alias("s")).collect()}
     sw = np.asarray([sums[k] for k in ks])
     genes = [r["var_id"] for r in var.select("var_id").distinct().orderBy("var_id").collect()]

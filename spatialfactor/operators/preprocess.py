@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship_package
+
 
 def filter_cells(expr: DataFrame, obs: DataFrame, min_genes: int = 200) -> DataFrame:
     """Observations with at least ``min_genes`` positive entries, with N_genes; an existing N_genes column is used."""
@@ -62,27 +64,32 @@ def matrix_stats(expr: DataFrame, n_obs: int, n_var: int) -> DataFrame:
 def highly_variable(expr: DataFrame, obs: DataFrame, n_top: int = 2000, span: float = 0.3) -> DataFrame:
     """(var_id, rank, highly_variable) by the variance of standardised, clipped entries, batch by batch.
 
-    Per sample: a local quadratic fit of log10 variance on log10 mean over the genes, on the driver (a few numbers a
-    gene), gives the expected deviation; entries standardised by it are clipped at sqrt(n) and their variance ranks the
+    Per sample (all rows are one where there is no sample_id): a local quadratic fit of log10 variance on log10 mean over
+    the genes, in one task for a sample (three numbers a gene), gives the expected deviation; entries standardised by it are clipped at sqrt(n) and their variance ranks the
     genes. Genes are ordered by the number of samples in which they rank among the top, then by the median rank.
     """
-    import numpy as np
-
-    spark = expr.sparkSession
-    sizes = {r["sample_id"]: r["n"] for r in obs.groupBy("sample_id").agg(F.count("*").alias("n")).collect()}
+    if "sample_id" not in obs.columns:
+        obs = obs.withColumn("sample_id", F.lit("all"))
+    sizes = obs.groupBy("sample_id").agg(F.count("*").alias("n"))
     at = expr.join(obs.select("obs_id", "sample_id"), "obs_id")
-    sums = at.groupBy("sample_id", "var_id").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss")).collect()
-    fitted = []
-    for sample, n in sizes.items():
-        rows = [r for r in sums if r["sample_id"] == sample]
-        mean = np.asarray([r["s"] / n for r in rows])
-        var = np.asarray([max((r["ss"] - r["s"] ** 2 / n) / max(n - 1, 1), 0.0) for r in rows])
-        ok = (var > 0) & (mean > 0)
-        expected = np.zeros(len(rows))
+    moments = at.groupBy("sample_id", "var_id").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss")).join(F.broadcast(sizes), "sample_id")
+    moments = moments.select("sample_id", "var_id", "n", (F.col("s") / F.col("n")).alias("mean"), F.greatest((F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / F.greatest(F.col("n") - 1, F.lit(1)), F.lit(0.0)).alias("var"))
+    ship_package(expr.sparkSession)
+
+    def deviations(frame):
+        import numpy as np
+
+        frame = frame.sort_values("var_id")
+        ok = ((frame["var"] > 0) & (frame["mean"] > 0)).to_numpy()
+        expected = np.zeros(len(frame))
         if ok.sum() > 3:
-            expected[ok] = 10 ** local_quadratic(np.log10(mean[ok]), np.log10(var[ok]), span)
-        fitted += [(sample, r["var_id"], float(m), float(np.sqrt(e)), float(np.sqrt(n)), n) for r, m, e in zip(rows, mean, expected, strict=True) if e > 0]
-    table = spark.createDataFrame(fitted, "sample_id string, var_id bigint, mean double, sd double, top double, n bigint")
+            expected[ok] = 10 ** local_quadratic(np.log10(frame["mean"].to_numpy()[ok]), np.log10(frame["var"].to_numpy()[ok]), span)
+        frame = frame.assign(sd=np.sqrt(expected), top=np.sqrt(frame["n"].astype(float)))
+        return frame.loc[expected > 0, ["sample_id", "var_id", "mean", "sd", "top", "n"]]
+
+    # a group is a sample's genes, one row each
+    table = moments.withColumn("sample_id", F.col("sample_id").cast("string")).groupBy("sample_id").applyInPandas(deviations, "sample_id string, var_id bigint, mean double, sd double, top double, n bigint")
+    at = at.withColumn("sample_id", F.col("sample_id").cast("string"))
     clipped = F.least("x", F.col("mean") + F.col("sd") * F.col("top"))
     sums = at.join(table, ["sample_id", "var_id"]).groupBy("sample_id", "var_id", "mean", "sd", "n").agg(F.sum(clipped).alias("s"), F.sum(clipped * clipped).alias("ss"))
     score = (F.col("n") * F.col("mean") ** 2 + F.col("ss") - 2 * F.col("s") * F.col("mean")) / (F.greatest(F.col("n") - 1, F.lit(1)) * F.col("sd") ** 2)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ def merge_samples(parts: list[tuple[DataFrame, DataFrame]], join: str = "inner",
     """One (expr, obs) of several, expr as (obs_name, var_name, x) and obs with obs_name.
 
     Inner keeps the genes that all have, outer all of them (what is absent is 0). The batch key is the position as text.
-    The first part's gene order is kept by ``var_id`` where its expr has it.
+    Genes are told by name; an order of columns does not exist in this form.
     """
     if len(parts) < 2:
         raise ValueError("merging takes two data sets or more")
@@ -44,7 +47,7 @@ def align_grid(obs: DataFrame, per_row: int = 5, normalize: bool = True, width:
     rows = box.groupBy("row").agg(F.max("sh").alias("high"))
     above = Window.orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.select("row", F.coalesce(F.sum(F.col("high") + F.lit(gap)).over(above), F.lit(0.0)).alias("oy"))
-    placed = obs.join(F.broadcast(box.join(rows, "row").select("sample_id", "x0", "y0", "scale", "ox", "oy")), "sample_id")
+    placed = obs.join((box.join(rows, "row").select("sample_id", "x0", "y0", "scale", "ox", "oy")), "sample_id")
     return placed.select("obs_id", "sample_id", ((F.col("x") - F.col("x0")) * F.col("scale") + F.col("ox")).alias("ax"), ((F.col("y") - F.col("y0")) * F.col("scale") + F.col("oy")).alias("ay"))
 
 
@@ -52,6 +55,24 @@ def alignment_signature(obs: DataFrame, per_row: int = 5, normalize: bool = True
     """Digest of observations, samples, coordinates and settings, the same for any order of rows."""
     one = F.xxhash64("obs_id", "obs_name", "sample_id", "x", "y")
     r = obs.agg(F.count("*").alias("n"), F.sum(one.cast("decimal(38,0)")).alias("s"), F.bit_xor(one).alias("b")).first()
-    import hashlib
-
     return hashlib.sha256(f"{r['n']}:{r['s']}:{r['b']}:{per_row}:{normalize}:{width}:{gap}".encode()).hexdigest()
+
+
+def cached_alignment(obs: DataFrame, path: str, **settings) -> DataFrame:
+    """``align_grid`` kept as a table: read back where the folder holds one of the same observations and settings.
+
+    The table's signature stands beside it; one of other observations, samples, coordinates or settings is a ValueError.
+    """
+    spark, signature = obs.sparkSession, alignment_signature(obs, **settings)
+    try:
+        held = json.loads(spark.read.text(f"{path}/signature").first()["value"])["signature"]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        if held != signature:
+            raise ValueError(f"the alignment at {path} does not match these observations and settings")
+        return spark.read.parquet(f"{path}/coordinates")
+    align_grid(obs, **settings).write.mode("overwrite").parquet(f"{path}/coordinates")
+    spark.createDataFrame([(json.dumps({"signature": signature}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/signature")
+    return spark.read.parquet(f"{path}/coordinates")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spatialfactor.config import FitConfig
 from spatialfactor.functions.linalg import RiemannianAdam, procrustes
@@ -185,7 +186,25 @@ def test_fit_recovers_planted_factors(spark, tmp_path):
     save_result(result, str(tmp_path / "r"))
     assert load_result(spark, str(tmp_path / "r")).config == config
     var = spark.createDataFrame([(i, f"g{i}") for i in range(12)], "var_id bigint, var_name string")
-    assert set(export_results(result, obs, var, str(tmp_path / "e"))) == {"loadings", "signatures", "coordinates", "top_genes", "metadata", "parameters"}
+    assert set(export_results(result, obs, var, str(tmp_path / "e"), normalized=True)) == {"loadings", "signatures", "genes", "scaling", "coordinates", "top_genes", "metadata", "parameters"}
+    error = np.linalg.norm(x - got_w @ got_q.T) / np.linalg.norm(x)
+    assert result.metadata["relative_error"] < 0.35 and result.metadata["max_cosine"] < 1e-6 and error > 0
+    # a warm start takes the given factors; wrong shapes and edges between samples are told
+    short = FitConfig(n_components=4, stage1_epochs=0, stage2_epochs=2, adam_steps=1, tv_update_freq=1, l1_scale="median_abs")
+    again = fit.Factorizer(short).fit(expr, obs, graph.per_sample_laplacian(obs, 4), w=result.w, q=result.q)
+    assert np.abs(dense(again.w, "obs_id", "k", (80, 4)) - got_w).max() < np.abs(got_w).max()
+    other = fit.fit(expr, obs, graph.per_sample_laplacian(obs, 4), FitConfig(**short.to_dict() | {"tv_update_freq": 5}), w=result.w, q=result.q)
+    assert not np.allclose(dense(other.w, "obs_id", "k", (80, 4)), dense(again.w, "obs_id", "k", (80, 4)), rtol=1e-12, atol=0)
+    lap = graph.per_sample_laplacian(obs, 4)
+    with pytest.raises(ValueError):
+        fit.fit(expr, obs, lap, short, w=result.w.where("k < 3"))
+    with pytest.raises(ValueError):
+        fit.fit(expr, obs, lap, short, auto_init=False)
+    with pytest.raises(ValueError):
+        fit.fit(expr, obs, lap.union(spark.createDataFrame([(0, 1, -0.1)], "i bigint, j bigint, v double")), short, w=result.w)
+    with pytest.raises(ValueError):
+        fit.FitResult.of_tables(result.w, result.q.where("k > 0"), config)
+    assert fit.FitResult.of_tables(result.w, result.q, config).component_names[0] == "Background"
     with pytest.raises(FileNotFoundError):
         load_result(spark, str(tmp_path / "none"))
     with pytest.raises(TypeError):
@@ -204,11 +223,11 @@ def test_registered_fits_run_with_the_defaults(spark, monkeypatch):
     monkeypatch.setattr(fit, "Blocks", lambda *a: SimpleNamespace(long_w=lambda state: state))
     monkeypatch.setattr(fit, "initialize", lambda blocks, config: (seen.append(config), None))
     for features in (30, 10):
-        v = SimpleNamespace(expr=spark.range(features).withColumnRenamed("id", "var_id"), obs=None)
+        v = SimpleNamespace(expr=spark.range(features).withColumnRenamed("id", "var_id"), obs=None, spark=spark, sf_dir=str(features))
         monkeypatch.setattr(queries, "Views", lambda spark, sf_dir, v=v: v)
         for name in ("fit_w", "fit_q", "symnmf_init"):
             queries.QUERIES[name](None, "")
-    assert seen == [FitConfig()] * 3 + [FitConfig(n_components=10)] * 3
+    assert seen == [FitConfig()] * 2 + [FitConfig(n_components=10)] * 2  # the two queries of a fit share it
 
 
 def test_whole_table_queries_against_brute_force(spark, monkeypatch):
@@ -245,3 +264,141 @@ def test_whole_table_queries_against_brute_force(spark, monkeypatch):
     assert {t.var_id for t in run("hvg_validation")} == set(range(p))
     cells = {(f"s{i % 2}", i, j) for i, j in zip(*np.nonzero(x), strict=True)}
     assert len(run("merge_outer")) == len(cells) and len(run("merge_inner")) == sum(j != 4 for _, _, j in cells)
+
+
+def test_symmetric_start_lowers_the_objective_and_knows_its_options(spark):
+    rng = np.random.default_rng(6)
+    obs = points(spark, [(i, "ab"[i % 2], *rng.random(2) * 5) for i in range(60)])
+    x = rng.random((60, 3)) @ rng.random((3, 14))
+    expr = long(spark, x, "obs_id bigint, var_id bigint, x double")
+    lap = graph.per_sample_laplacian(obs, 4)
+    blocks = fit.Blocks(expr, obs, lap, list(range(14)))
+    entries = {(r.i, r.j): r.v for r in lap.collect()}
+    s = np.zeros((60, 60))
+    for (i, j), v in entries.items():
+        if i != j:
+            s[i, j] = max(-v, 0)
+    s = 0.5 * np.eye(60) + 0.5 * s / np.maximum(s.sum(axis=1, keepdims=True), 1e-300)
+    y = s @ x
+    v = fit.leading(blocks, 3, 1)
+    want = np.linalg.svd(y)[2][:3].T
+    assert np.allclose(np.abs(v.T @ want), np.eye(3), atol=1e-5)
+    for rule in ("hals", "mult"):
+        state, q, wtw, ytw = fit.initialize(blocks, FitConfig(n_components=3, init_iterations=20), rule=rule)
+        w = dense(blocks.long_w(state), "obs_id", "k", (60, 3))
+        assert np.allclose(wtw, w.T @ w) and np.allclose(ytw, y.T @ w) and np.allclose(q.T @ q, np.eye(3), atol=1e-8)
+        assert np.linalg.norm(y @ y.T - w @ w.T) < 0.5 * np.linalg.norm(y @ y.T) and (w >= 0).all()
+    assert np.allclose(fit.initial_q(wtw, ytw, "lstsq"), ytw @ np.linalg.inv(wtw))
+    for bad in (lambda: fit.updater("x"), lambda: fit.initial_q(wtw, ytw, "x"), lambda: fit.oriented(np.zeros((3, 3)), 3, 3), lambda: fit.oriented(np.zeros((2, 9)), 5, 3)):
+        with pytest.raises(ValueError):
+            bad()
+    assert fit.oriented(np.zeros((3, 5)), 5, 3).shape == (5, 3)
+
+
+def test_total_variation_terms_two_ways(spark):
+    """Terms by joins and by the blocks' arrays are the same."""
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(7)
+    obs = points(spark, [(i, "a", *rng.random(2)) for i in range(20)])
+    lap = graph.per_sample_laplacian(obs, 3)
+    w = rng.random((20, 2))
+    edges, stats = graph.tv_structures(lap)
+    got = {(r.obs_id, r.k): (r.lw, r.d) for r in updates.tv_terms(updates.tv_weights(edges, long(spark, w, "obs_id bigint, k int, w double"), 1e-2)).collect()}
+    rows = [r.asDict() for r in lap.collect()]
+    block = fit.Block(SimpleNamespace(ids=list(range(20)), x=None, l=rows), 1)
+    lw, d = block.tv_terms(w, w, 1e-2)
+    assert stats["n_edges"] == edges.count() and len(got) == 40
+    assert all(np.allclose(got[i, k], (lw[i, k], d[i, k])) for i in range(20) for k in range(2))
+
+
+def test_end_to_end_run(spark):
+    from spatialfactor.operators.pipeline import run_pipeline
+
+    rng = np.random.default_rng(8)
+    obs = points(spark, [(i, "ab"[i % 2], *rng.random(2) * 5) for i in range(40)])
+    expr = long(spark, rng.integers(1, 9, (40, 12)), "obs_id bigint, var_id bigint, x double")
+    result = run_pipeline(expr, obs, min_genes=1, n_components=3, stage1_epochs=2, stage2_epochs=1, adam_steps=1, init_iterations=2, neighbours=4)
+    q = dense(result.q, "var_id", "k", (12, 3))
+    assert np.allclose(np.linalg.norm(q, axis=0), 1) and result.metadata["normalized"] and result.w.count() == 120
+    with pytest.raises(TypeError):
+        run_pipeline(expr, obs, colour="red")
+
+
+def test_alignment_is_kept_and_told_from_others(spark, tmp_path):
+    obs = points(spark, [(i, "ab"[i % 2], float(i), 1.0) for i in range(4)]).withColumn("obs_name", F.col("obs_id").cast("string"))
+    first = samples.cached_alignment(obs, str(tmp_path / "grid"))
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, samples.cached_alignment(obs, str(tmp_path / "grid")).collect()))
+    with pytest.raises(ValueError, match="does not match"):
+        samples.cached_alignment(obs.withColumn("obs_name", F.concat("obs_name", F.lit("x"))), str(tmp_path / "grid"))
+
+
+def test_variable_genes_without_samples_and_against_a_plain_version(spark):
+    rng = np.random.default_rng(9)
+    x = rng.poisson(3, (50, 16)).astype(float)
+    x[:, 3] = rng.poisson(0.5, 50) * 20
+    expr = long(spark, x, "obs_id bigint, var_id bigint, x double").where("x <> 0")
+    obs = spark.createDataFrame([(i,) for i in range(50)], "obs_id bigint")
+    got = {r.var_id: r["rank"] for r in preprocess.highly_variable(expr, obs, 4).collect()}
+    mean, var = x.mean(axis=0), x.var(axis=0, ddof=1)
+    sd = np.sqrt(10 ** preprocess.local_quadratic(np.log10(mean), np.log10(var), 0.3))
+    clipped = np.minimum(x, mean + sd * np.sqrt(50))
+    clipped[x == 0] = 0
+    score = (50 * mean**2 + (clipped**2).sum(axis=0) - 2 * clipped.sum(axis=0) * mean) / (49 * sd**2)
+    ordered = score[sorted(range(16), key=got.get)]
+    assert sorted(got.values()) == list(range(1, 17)) and (np.diff(ordered) <= 1e-9).all()
+
+
+def test_regression_statistics_and_checks(spark):
+    rng = np.random.default_rng(10)
+    w, n, r = rng.random((40, 2)), 40, 2
+    x = 2 + w @ np.asarray([[1.0, 0.0, -2.0], [0.5, 3.0, 0.0]]) + rng.normal(size=(40, 3))
+    expr, wl = long(spark, x, "obs_id bigint, var_id bigint, x double"), long(spark, w, "obs_id bigint, k int, w double")
+    var = spark.createDataFrame([(i, f"g{i}") for i in range(3)], "var_id bigint, var_name string")
+    found = posthoc.posthoc_regression(expr, wl, var)
+    a = np.hstack((np.ones((n, 1)), w))
+    b = np.linalg.lstsq(a, x, rcond=None)[0]
+    rest = x - a @ b
+    sigma = (rest**2).sum(axis=0) / (n - r - 1)
+    error = np.sqrt(np.diag(np.linalg.inv(a.T @ a))[:, None] * sigma)
+    for t in found.coefficients.collect():
+        assert np.isclose(t.coef, b[t.k + 1, t.var_id]) and np.isclose(t.stderr, error[t.k + 1, t.var_id]) and np.isclose(t.t, t.coef / t.stderr) and 0 <= t.pvalue <= 1
+    for t in found.features.collect():
+        assert np.isclose(t.r2, 1 - (rest[:, t.var_id] ** 2).sum() / ((x[:, t.var_id] - x[:, t.var_id].mean()) ** 2).sum())
+    with pytest.warns(UserWarning, match="rank"):
+        posthoc.posthoc_regression(expr, long(spark, np.repeat(w[:, :1], 2, axis=1), "obs_id bigint, k int, w double"), var)
+    for bad in ((expr, wl.where("obs_id > 0 OR k > 0"), var), (expr.union(expr.limit(1).selectExpr("obs_id", "var_id", "double('nan')")), wl, var), (expr, wl, var.union(var))):
+        with pytest.raises(ValueError):
+            posthoc.posthoc_regression(*bad)
+
+
+def test_triangles_have_empty_circles():
+    points_ = np.random.default_rng(11).random((40, 2))
+    edges = delaunay.triangulate(points_)
+    near = {i: {b if a == i else a for a, b in edges if i in (a, b)} for i in range(40)}
+    triangles = {tuple(sorted((a, b, c))) for a, b in edges for c in near[a] & near[b]}
+    empty = set()
+    for a, b, c in triangles:
+        (ax, ay), (bx, by), (cx, cy) = points_[a], points_[b], points_[c]
+        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
+        ux = ((ax**2 + ay**2) * (by - cy) + (bx**2 + by**2) * (cy - ay) + (cx**2 + cy**2) * (ay - by)) / d
+        uy = ((ax**2 + ay**2) * (cx - bx) + (bx**2 + by**2) * (ax - cx) + (cx**2 + cy**2) * (bx - ax)) / d
+        radius = np.hypot(ax - ux, ay - uy)
+        if (np.hypot(points_[:, 0] - ux, points_[:, 1] - uy) > radius - 1e-9).all():
+            empty |= {(a, b), (a, c), (b, c)}
+    assert {tuple(sorted(e)) for e in edges} == empty
+
+
+def test_sampled_error_and_normalising_modes(spark):
+    rng = np.random.default_rng(12)
+    w, q = rng.random((30, 2)), rng.normal(size=(8, 2))
+    x = w @ q.T + rng.normal(size=(30, 8)) * 0.1
+    wl, ql = long(spark, w, "obs_id bigint, k int, w double"), long(spark, q, "var_id bigint, k int, q double")
+    expr = long(spark, x, "obs_id bigint, var_id bigint, x double")
+    error = analysis.relative_error_sampled(expr, wl, ql, 30).first()[0]
+    assert np.isclose(error, np.linalg.norm(x - w @ q.T) / np.linalg.norm(x))
+    assert 0 < analysis.relative_error_sampled(expr, wl, ql, 10).first()[0] < 1
+    for mode in ("W", "Q", "both"):
+        a, b = analysis.normalize_components(wl, ql, mode)
+        got = dense(a, "obs_id", "k", (30, 2)) @ dense(b, "var_id", "k", (8, 2)).T
+        assert np.allclose(got, w @ q.T)
