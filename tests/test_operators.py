@@ -219,15 +219,13 @@ def test_registered_fits_run_with_the_defaults(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(queries, "rounded", lambda df: df)
     monkeypatch.setattr(model_queries, "laplacian_of", lambda v, k: None)
-    monkeypatch.setattr(fit, "fit", lambda expr, obs, lap, config: seen.append(config) or SimpleNamespace(w=None, q=None))
-    monkeypatch.setattr(fit, "Blocks", lambda *a: SimpleNamespace(long_w=lambda state: state))
-    monkeypatch.setattr(fit, "initialize", lambda blocks, config: (seen.append(config), None))
+    monkeypatch.setattr(fit, "fit", lambda expr, obs, lap, config: seen.append(config) or SimpleNamespace(w=None, q=None, start=None))
     for features in (30, 10):
         v = SimpleNamespace(expr=spark.range(features).withColumnRenamed("id", "var_id"), obs=None, spark=spark, sf_dir=str(features))
         monkeypatch.setattr(queries, "Views", lambda spark, sf_dir, v=v: v)
         for name in ("fit_w", "fit_q", "symnmf_init"):
             queries.QUERIES[name](None, "")
-    assert seen == [FitConfig()] * 2 + [FitConfig(n_components=10)] * 2  # the two queries of a fit share it
+    assert seen == [FitConfig(), FitConfig(n_components=10)]  # the queries of a fit share it
 
 
 def test_whole_table_queries_against_brute_force(spark, monkeypatch):
