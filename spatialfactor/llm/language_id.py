@@ -73,7 +73,9 @@ def identify_languages(pages: DataFrame, model: TextModel | None, id_column: str
     """Per page: url, lang, confidence (its posterior), text_lang (by text alone), declared, suffix.
 
     A null or empty html has even likelihoods, so host, declaration and suffix decide; a null url, or one without host,
-    has an empty host and suffix and shares them with the other such pages. Without a model lang is null. Ids may be
+    has an empty host and suffix and shares them with the other such pages. Without a model lang is null. All trigrams of
+    a text are read; beyond ``ENOUGH`` of them the sum is scaled down to that many, so that a long text's likelihoods do
+    not silence the other evidence. Ids may be
     null or repeated and rows keep their multiplicity; other columns are ignored. Pages are parsed once into narrow rows
     in the shared folder; sums by host, domain, suffix and declaration are combined before they are shuffled.
     """
