@@ -293,6 +293,22 @@ def test_symmetric_start_lowers_the_objective_and_knows_its_options(spark):
     assert fit.oriented(np.zeros((3, 5)), 5, 3).shape == (5, 3)
 
 
+def test_sums_of_blocks_in_one_level_and_in_two(spark, monkeypatch):
+    obs = points(spark, [(i, "abcde"[i % 5], float(i), 0.0) for i in range(20)])
+    expr = long(spark, np.arange(60.0).reshape(20, 3), "obs_id bigint, var_id bigint, x double")
+    blocks = fit.Blocks(expr, obs, graph.per_sample_laplacian(obs, 2), [0, 1, 2])
+    assert blocks.buckets > 1
+    work = lambda b, f: ({"w": np.ones((b.n, 2)), "u": np.full((b.n, 1), 3.0)}, {"wx": b.transposed(np.ones((b.n, 2))), "n": np.asarray([[b.n]])})
+    want = np.tile(np.arange(60.0).reshape(20, 3).sum(axis=0), (2, 1))
+    for grouped in (64, 1):
+        monkeypatch.setattr(fit, "GROUPED", grouped)
+        state, sums = blocks.run(work, None)
+        assert np.allclose(sums["wx"], want) and sums["n"] == 20
+    kept, sums = blocks.run(lambda b, f: (f, {"w": f["w"].sum(axis=0), "u": f["u"].sum(axis=0)}), state)
+    assert sums["w"].tolist() == [[20.0, 20.0]] and sums["u"].tolist() == [[60.0]]
+    assert sorted(tuple(r) for r in blocks.long_w(kept, "u").collect()) == [(i, 0, 3.0) for i in range(20)]
+
+
 def test_total_variation_terms_two_ways(spark):
     """Terms by joins and by the blocks' arrays are the same."""
     from types import SimpleNamespace
