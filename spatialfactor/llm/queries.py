@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, language_id, mixing, near_dedup, packing, pii, quality_rules, token_counts, topk, toxicity
+from . import alignment, html_extract, importance, language_id, mixing, near_dedup, packing, pii, quality_rules, token_counts, topk, toxicity, url_filter
 from .common import table
 
 
@@ -51,6 +51,27 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+URL_RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, width=3, buckets=10_000, seed=42, least_words=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_extraction": op2_html_extraction,
@@ -62,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_near_dedup": op10_near_dedup,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_url_filter": op12_url_filter,
+    "op13_importance": op13_importance,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_top_k": topk.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_top_k": topk.ORACLE, "op9_mixing": mixing.ORACLE, "op12_url_filter": url_filter.judge_sql(URL_RULES)}
