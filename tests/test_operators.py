@@ -319,8 +319,9 @@ def test_total_variation_terms_two_ways(spark):
     w = rng.random((20, 2))
     edges, stats = graph.tv_structures(lap)
     got = {(r.obs_id, r.k): (r.lw, r.d) for r in updates.tv_terms(updates.tv_weights(edges, long(spark, w, "obs_id bigint, k int, w double"), 1e-2)).collect()}
-    rows = [r.asDict() for r in lap.collect()]
-    block = fit.Block(SimpleNamespace(ids=list(range(20)), x=None, l=rows), 1)
+    rows = lap.collect()
+    row = SimpleNamespace(ids=list(range(20)), rim=[], owners=[], xi=[], xc=[], xv=[], li=[r.i for r in rows], lj=[r.j for r in rows], lv=[r.v for r in rows])
+    block = fit.Block(row, 1, max(-r.v for r in rows if r.i < r.j))
     lw, d = block.tv_terms(w, w, 1e-2)
     assert stats["n_edges"] == edges.count() and len(got) == 40
     assert all(np.allclose(got[i, k], (lw[i, k], d[i, k])) for i in range(20) for k in range(2))
