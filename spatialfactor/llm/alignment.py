@@ -9,18 +9,25 @@ joined by a shuffle in which no pair is large.
 
 from __future__ import annotations
 
+import re
 from functools import cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, written
+from .packing import Remembered
 
 #: A pair with at least this share of all links goes to all tasks; so there are at most as many as the inverse.
 HEAVY = 65_536
 #: Bytes of texts that are encoded and aligned at once.
 PORTION = 1 << 20
+#: A space before which both encodings end a token: it stands alone between marks, digits or letters up to U+024F.
+BORDER = re.compile("(?<=[!-~\u00c0-\u024f]) (?=[!-~\u00c0-\u024f])")
+#: Characters of the longest part that is remembered.
+LONGEST = 64
 GROUP_SCHEMA = "id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, pairs array<bigint>, times array<bigint>"
 
 
@@ -115,31 +122,75 @@ def written_ids(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray([len(b) for b in known], dtype=np.int64), texts
 
 
-def align_texts(texts: list[str | None], path_a: str, path_b: str) -> list[tuple]:
-    """(n_a, n_b, n_groups, n_links, groups, pairs, times) of each text.
+@cache
+def parts_stand_alone(path: str) -> bool:
+    """Whether no piece of a sentencepiece model goes on with a space after another character: then no token crosses a
+    single space between two characters from the left."""
+    return all("▁" not in p.lstrip("▁") for p in map(coder(path).inner.id_to_piece, range(len(coder(path).bytes))))
+
 
-    ``groups`` reads ``a1,a2|b1;a3|b2,b3``; a pair is a * 2^32 + b, and ``times`` counts its links in the text. Texts
-    that one of the encodings does not give back byte by byte have no tokens.
+def align_parts(parts: list[str], path_a: str, path_b: str) -> list[tuple]:
+    """(n_a, n_b, n_groups, groups, pairs of the links) of each part; zeros where an encoding doesn't give the bytes back.
+
+    ``groups`` reads ``a1,a2|b1;a3|b2,b3``; a pair is a * 2^32 + b.
     """
     a, b = coder(path_a), coder(path_b)
     (size_a, text_a), (size_b, text_b) = written_ids(path_a), written_ids(path_b)
-    out = []
-    held = [t or "" for t in texts]
-    for text, ids_a, ids_b in zip(held, a.encode(held), b.encode(held), strict=True):
+    out: list[tuple] = [(0, 0, 0, "", [])] * len(parts)
+    whole, held_a, held_b = [], [], []
+    for at, (text, ids_a, ids_b) in enumerate(zip(parts, a.encode(parts), b.encode(parts), strict=True)):
         data = b" " + text.encode()
-        if not text or b"".join([a.bytes[i] for i in ids_a]) != data or b"".join([b.bytes[i] for i in ids_b]) != data:
+        if b"".join([a.bytes[i] for i in ids_a]) == data and b"".join([b.bytes[i] for i in ids_b]) == data:
+            whole.append(at)
+            held_a.append(ids_a)
+            held_b.append(ids_b)
+    if not whole:
+        return out
+    # one after another the parts are one text: a part's end is an end of both encodings
+    ids_a, ids_b = (np.fromiter(chain.from_iterable(held), dtype=np.int64) for held in (held_a, held_b))
+    group_a, group_b, met, with_ = aligned(ids_a, ids_b, np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b]))
+    # a mark follows each id: a comma, at the end of a group's A ids a bar, at the end of its B ids a semicolon
+    mark_a, mark_b = np.zeros(len(ids_a), dtype=np.int64), np.zeros(len(ids_b), dtype=np.int64)
+    mark_a[np.append(np.flatnonzero(np.diff(group_a)), len(ids_a) - 1)] = 1
+    mark_b[np.append(np.flatnonzero(np.diff(group_b)), len(ids_b) - 1)] = 2
+    order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+    marked = np.concatenate((text_a[ids_a, mark_a], text_b[ids_b, mark_b]))[order].tolist()
+    pairs = ((ids_a[met] << 32) + ids_b[with_]).tolist()
+    n_a, n_b = ([len(ids) for ids in held] for held in (held_a, held_b))
+    end_a = np.cumsum(n_a)
+    end_group, end_pair = group_a[end_a - 1] + 1, np.searchsorted(met, end_a)
+    tokens = group = pair = 0
+    for at, x, y, to_group, to_pair in zip(whole, n_a, n_b, end_group.tolist(), end_pair.tolist(), strict=True):
+        out[at] = x, y, to_group - group, "".join(marked[tokens : tokens + x + y])[:-1], pairs[pair:to_pair]
+        tokens, group, pair = tokens + x + y, to_group, to_pair
+    return out
+
+
+def align_texts(texts: list[str | None], path_a: str, path_b: str, known: Remembered) -> list[tuple]:
+    """(n_a, n_b, n_groups, n_links, groups, pairs, times) of each text; ``times`` counts a pair's links in the text.
+
+    Texts that one of the encodings does not give back byte by byte have no tokens. Both encodings end a token before a
+    single space between two plain characters, so no component crosses it: a text is cut there, and what a part comes to
+    is remembered, up to a bounded number of parts, of which long ones are none.
+    """
+    cut = BORDER.split if parts_stand_alone(path_b) else lambda text: [text]
+    split = [cut(t) if t else [] for t in texts]
+    new = [p for p in set(chain.from_iterable(split)) if known.get(p) is None]
+    found: dict[str, tuple] = {}
+    for part, what in zip(new, align_parts(new, path_a, path_b), strict=True):
+        found[part] = what
+        if len(part) <= LONGEST:
+            known.put(part, what)
+    out, recent = [], known.new.get
+    for parts in split:
+        got = [recent(p) or found.get(p) for p in parts]
+        if not got or not all(g[0] for g in got):
             out.append((0, 0, 0, 0, "", [], []))
             continue
-        ids_a, ids_b = np.asarray(ids_a, dtype=np.int64), np.asarray(ids_b, dtype=np.int64)
-        group_a, group_b, met, with_ = aligned(ids_a, ids_b, np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b]))
-        # a mark follows each id: a comma, at the end of a group's A ids a bar, at the end of its B ids a semicolon
-        mark_a, mark_b = np.zeros(len(ids_a), dtype=np.int64), np.zeros(len(ids_b), dtype=np.int64)
-        mark_a[np.append(np.flatnonzero(np.diff(group_a)), len(ids_a) - 1)] = 1
-        mark_b[np.append(np.flatnonzero(np.diff(group_b)), len(ids_b) - 1)] = 2
-        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
-        groups = "".join(np.concatenate((text_a[ids_a, mark_a], text_b[ids_b, mark_b]))[order].tolist())[:-1]
-        pairs, times = np.unique((ids_a[met] << 32) + ids_b[with_], return_counts=True)
-        out.append((len(ids_a), len(ids_b), int(group_a[-1]) + 1, len(met), groups, pairs, times))
+        n_a, n_b, n_groups, groups, links = zip(*got, strict=True)
+        pairs = list(chain.from_iterable(links))
+        out.append((sum(n_a), sum(n_b), sum(n_groups), len(pairs), ";".join(groups), *np.unique(np.asarray(pairs, dtype=np.int64), return_counts=True)))
+    known.tidy()
     return out
 
 
@@ -151,6 +202,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_column: str =
     """
 
     def rows(batches):
+        known = Remembered()
         for batch in batches:
             ids, texts = batch["id"].to_pylist(), batch["data"].to_pylist()
             at = 0
@@ -159,7 +211,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_column: str =
                 while to < len(ids) and (to == at or size + len(texts[to] or "") <= PORTION):
                     size += len(texts[to] or "")
                     to += 1
-                found = align_texts(texts[at:to], path_a, path_b)
+                found = align_texts(texts[at:to], path_a, path_b, known)
                 n_a, n_b, n_groups, n_links, groups, pairs, times = zip(*found, strict=True)
                 yield {"id": ids[at:to], "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups": groups, "pairs": pairs, "times": times}
                 at = to

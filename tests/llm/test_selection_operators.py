@@ -180,3 +180,14 @@ def test_importance_against_a_plain_version(spark, documents, rows, monkeypatch)
     assert drawn.columns == docs.columns and Counter(r.doc_id for r in drawn.collect()) == Counter(w[0] for w in want.elements() if w[4])
     assert importance.importance_resample(docs.limit(0), target).collect() == []
     assert importance.importance_resample(docs, target.limit(0), percent=100).where("rank IS NOT NULL").count() > 20
+
+
+def test_parts_of_a_text_come_to_the_same_as_the_whole(monkeypatch):
+    rng = np.random.default_rng(4)
+    letters = list("ab eé.,'\"s<>|_-0123\n\t  ▁日😀Ωß ") + ["the ", " of ", "ing", "  ", "n't ", "<s> ", "<0x41> ", "don't", " ▁▁ "]
+    texts = ["".join(rng.choice(letters, rng.integers(1, 60))) for _ in range(600)]
+    rows = lambda: [(*r[:5], list(r[5]), list(r[6])) for r in alignment.align_texts(texts, A, B, alignment.Remembered(most=50))]
+    parted = rows()
+    monkeypatch.setattr(alignment, "BORDER", re.compile("(?!)"))
+    assert parted == rows() and sum(r[0] > 0 for r in parted) > 300
+    assert sum(r[0] == 0 for r in parted) > 20  # the sign of a space in a text
