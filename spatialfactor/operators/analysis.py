@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+from .order import average_rank
 from .updates import gram, wtx
 
+#: Features whose rows of Q are sent to all tasks.
+SENT_FEATURES = 200_000
 SCORES = {"abs": lambda q: F.abs(q), "positive": lambda q: q, "negative": lambda q: -q}
 
 
@@ -70,13 +74,6 @@ def relative_error_sampled(expr: DataFrame, w: DataFrame, q: DataFrame, sample:
     return reconstruction_error(expr.join(chosen.select("obs_id").distinct(), "obs_id", "left_semi"), chosen, q)
 
 
-def average_rank(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
-    """Ranks from 1, ties sharing their mean."""
-    at = Window.partitionBy(*by).orderBy(value)
-    tied = Window.partitionBy(*by, value)
-    return df.withColumn(out, F.rank().over(at) + (F.count("*").over(tied) - 1) / F.lit(2.0))
-
-
 def correlate(w: DataFrame, obs: DataFrame, keys: list[str], method: str = "pearson") -> DataFrame:
     """(k, key, correlation) of components with numeric columns of the observations; constant ones are left out."""
     numeric = [f.name for f in obs.schema if f.dataType.typeName() in ("double", "float", "integer", "long", "short", "byte", "decimal")]
@@ -86,10 +83,12 @@ def correlate(w: DataFrame, obs: DataFrame, keys: list[str], method: str = "pear
     if method not in ("pearson", "spearman"):
         raise ValueError(f"unknown method: {method}")
     long = obs.select("obs_id", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in keys])).alias("c")).select("obs_id", "c.key", "c.value")
-    rows = w.join(long, "obs_id")
+    rows = w.join(long.where("value IS NOT NULL"), "obs_id")
     a, b = "w", "value"
     if method == "spearman":
-        rows = average_rank(average_rank(rows, "w", ["k", "key"], "rw"), "value", ["k", "key"], "rv")
+        rows = written(rows.select("k", "key", "w", "value"), "correlated")
+        rows = written(average_rank(rows, "w", ["k", "key"], "rw"), "correlated")
+        rows = average_rank(rows, "value", ["k", "key"], "rv")
         a, b = "rw", "rv"
     return rows.groupBy("k", "key").agg(F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb"), F.corr(a, b).alias("correlation")).where("sa >= 1e-10 AND sb >= 1e-10").select("k", "key", "correlation")
 
@@ -139,7 +138,20 @@ def normalize_components(w: DataFrame, q: DataFrame, mode: str = "both") -> tupl
 
 
 def reconstruct(w: DataFrame, q: DataFrame, rows: DataFrame | None = None, genes: DataFrame | None = None) -> DataFrame:
-    """(obs_id, var_id, x): a slice of W Q^T."""
-    w = w if rows is None else w.join(F.broadcast(rows.select("obs_id")), "obs_id", "left_semi")
-    q = q if genes is None else q.join(F.broadcast(genes.select("var_id")), "var_id", "left_semi")
-    return w.join(q, "k").groupBy("obs_id", "var_id").agg(F.sum(F.col("w") * F.col("q")).alias("x"))
+    """(obs_id, var_id, x): a slice of W Q^T, absent entries of the factors being 0.
+
+    A row of either factor travels as one row with a column a component, so nothing is shuffled but the factors; the rows
+    of Q, features by components, go to all tasks where they are at most ``SENT_FEATURES``.
+    """
+    w = w if rows is None else w.join(rows.select("obs_id").distinct(), "obs_id", "left_semi")
+    q = q if genes is None else q.join(genes.select("var_id").distinct(), "var_id", "left_semi")
+    ks = sorted(r["k"] for r in q.select("k").distinct().collect())
+    wide = lambda f, key, value: f.groupBy(key).agg(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col(value))), F.lit(0.0)).alias(f"{value}{k}") for k in ks])
+    if not ks:
+        return w.join(q, "k").select("obs_id", "var_id", F.lit(0.0).alias("x"))
+    features = written(wide(q, "var_id", "q"), "wide-q")
+    features = F.broadcast(features) if features.count() <= SENT_FEATURES else features
+    total = F.lit(0.0)
+    for k in ks:
+        total = total + F.col(f"w{k}") * F.col(f"q{k}")
+    return wide(w, "obs_id", "w").crossJoin(features).select("obs_id", "var_id", total.alias("x"))

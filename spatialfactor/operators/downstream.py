@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import quantiles
+
 
 def qscore(q: DataFrame) -> DataFrame:
     """Columns of Q over their L2 norm (1 for a column of zeros)."""
@@ -60,9 +62,10 @@ def enrichment_quality(q: DataFrame, dom: DataFrame, n: int = 50, min_ratio: flo
 
 def classify_components(w: DataFrame, obs: DataFrame, threshold: float = 0.3, min_spots: int = 50) -> DataFrame:
     """Activity of components over samples: share active, variation between and within, bimodality, and classes."""
-    p99 = w.groupBy("k").agg(F.expr("percentile(w, 0.99)").alias("p99"))
+    p99 = quantiles(w, ["k"], F.col("w"), [0.99]).select("k", F.col("quantile").alias("p99"))
     rows = w.join(F.broadcast(p99), "k").join(obs.select("obs_id", "sample_id"), "obs_id").withColumn("v", F.when(F.col("p99") > 0, F.col("w") / F.col("p99")).otherwise(F.col("w")))
-    per = rows.groupBy("k", "sample_id").agg(F.expr("percentile(v, 0.95)").alias("p95"), F.avg("w").alias("m"), F.stddev_pop("w").alias("s"), F.count("*").alias("n"))
+    p95 = quantiles(rows, ["k", "sample_id"], F.col("v"), [0.95]).select("k", "sample_id", F.col("quantile").alias("p95"))
+    per = rows.groupBy("k", "sample_id").agg(F.avg("w").alias("m"), F.stddev_pop("w").alias("s"), F.count("*").alias("n")).join(p95, ["k", "sample_id"])
     z = (F.col("w") - F.col("m")) / (F.col("s") + F.lit(1e-10))
     moments = rows.join(per.select("k", "sample_id", "m", "s"), ["k", "sample_id"]).groupBy("k", "sample_id").agg(F.avg(F.pow(z, 2)).alias("m2"), F.avg(F.pow(z, 3)).alias("m3"), F.avg(F.pow(z, 4)).alias("m4"))
     per = per.join(moments, ["k", "sample_id"]).withColumn("active", F.col("p95") > threshold).withColumn("large", F.col("active") & (F.col("n") >= min_spots))

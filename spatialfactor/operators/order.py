@@ -83,10 +83,15 @@ def quantiles(df: DataFrame, by: list[str], value: Column, probabilities: list[f
     values of very different size don't share one for long. Groups of at most ``SMALL`` rows are settled in a task each.
     ``by`` must not use the names v, n, rank, low, high, below, p.
     """
-    slim = written(df.select(*by, value.cast("double").alias("v")).where("v IS NOT NULL"), "quantile-values")
-    sizes = written(slim.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")), "quantile-sizes")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    cut = max(SMALL, total // LARGE_GROUPS)
+    slim = df.select(*by, value.cast("double").alias("v")).where("v IS NOT NULL")
+    ps = F.array(*[F.lit(float(p)) for p in probabilities])
+    settle = lambda rows: rows.groupBy(*by).agg(F.percentile("v", ps).alias("qs")).select(*by, F.posexplode("qs").alias("p", "quantile")).select(*by, ps[F.col("p")].alias("probability"), "quantile")
+    sizes = slim.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    seen = sizes.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    cut = max(SMALL, (seen["total"] or 0) // LARGE_GROUPS)
+    if (seen["most"] or 0) <= cut:
+        return settle(slim)
+    slim, sizes = written(slim, "quantile-values"), written(sizes, "quantile-sizes")
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p")
     at = F.col("p") * (F.col("n") - 1)
     both = sizes.where(F.col("n") > cut).select("*", wanted).select("*", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))).alias("rank"))
@@ -122,6 +127,4 @@ def quantiles(df: DataFrame, by: list[str], value: Column, probabilities: list[f
     found = asked.alias("a").join(low, _same("a", "l", by) & (F.col("l.rank") == F.floor(at))).join(high, _same("a", "h", by) & (F.col("h.rank") == F.ceil(at)))
     large = found.select(*[F.col(f"a.`{b}`") for b in by], F.col("p").alias("probability"), (F.col("l.at") + (at - F.floor(at)) * (F.col("h.at") - F.col("l.at"))).alias("quantile"))
     few = slim.alias("s").join(sizes.where(F.col("n") <= cut).alias("t"), _same("s", "t", by), "left_semi")
-    ps = F.array(*[F.lit(float(p)) for p in probabilities])
-    small = few.groupBy(*by).agg(F.percentile("v", ps).alias("qs")).select(*by, F.explode(F.arrays_zip(ps.alias("probability"), F.col("qs").alias("quantile"))).alias("q"))
-    return large.unionByName(small.select(*by, F.col("q.probability").alias("probability"), F.col("q.quantile").alias("quantile")))
+    return large.unionByName(settle(few.select("s.*")))

@@ -1,19 +1,23 @@
 """Regression of every feature on the fitted activities, and what follows from its coefficients.
 
-One job gives the sufficient statistics W^T W, W^T X, sums of W, X and X^2; the driver solves a system of the size of the
-number of components for all features at once.
+Sufficient statistics are W^T W and the sums of W, which the driver inverts, and for each feature its column of W^T X and
+its sums of X and X^2, from which tasks solve a batch of features at once. Coefficients stay where they are computed.
 """
 
 from __future__ import annotations
 
+import re
 import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship_package
 from ..functions.special import student_two_sided
+from ..sources.store import written
 from .updates import gram, wtx
 
 
@@ -28,9 +32,10 @@ class Regression:
 
 def zscore_columns(factor: DataFrame, value: str) -> DataFrame:
     """Columns less their mean over their population deviation (1 for a constant column)."""
-    over = Window.partitionBy("k")
-    sd = F.stddev_pop(value).over(over)
-    return factor.withColumn(value, (F.col(value) - F.avg(value).over(over)) / F.when(sd > 0, sd).otherwise(F.lit(1.0)))
+    # a row a component
+    stats = factor.groupBy("k").agg(F.avg(value).alias("column_mean"), F.stddev_pop(value).alias("column_sd"))
+    scaled = (F.col(value) - F.col("column_mean")) / F.when(F.col("column_sd") > 0, F.col("column_sd")).otherwise(F.lit(1.0))
+    return factor.join(F.broadcast(stats), "k").withColumn(value, scaled).select(factor.columns)
 
 
 def simple_regression(expr: DataFrame, w: DataFrame, component: int = 0) -> DataFrame:
@@ -66,7 +71,6 @@ def posthoc_regression(expr: DataFrame, w: DataFrame, var: DataFrame, add_interc
     """
     if not 0 <= ridge < float("inf"):
         raise ValueError("ridge must be a number that is not negative")
-    spark = expr.sparkSession
     checked(expr, w, var)
     if standardize_w:
         w = zscore_columns(w, "w")
@@ -80,40 +84,72 @@ def posthoc_regression(expr: DataFrame, w: DataFrame, var: DataFrame, add_interc
         warnings.warn(f"activities have rank {rank} of {len(ks)}: the solution of least norm is given", stacklevel=2)
     sums = {r["k"]: r["s"] for r in w.groupBy("k").agg(F.sum("w").alias("s")).collect()}
     sw = np.asarray([sums[k] for k in ks])
-    genes = [r["var_id"] for r in var.select("var_id").distinct().orderBy("var_id").collect()]
-    where = {g: i for i, g in enumerate(genes)}
-    b, sx, sxx = np.zeros((len(ks), len(genes))), np.zeros(len(genes)), np.zeros(len(genes))
-    for r in wtx(expr, w).collect():
-        b[at[r["k"]], where[r["var_id"]]] = r["v"]
-    for r in expr.groupBy("var_id").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss")).collect():
-        sx[where[r["var_id"]]], sxx[where[r["var_id"]]] = r["s"], r["ss"]
-    if standardize_x:
-        mean, sd = sx / n, np.sqrt(np.maximum(sxx / n - (sx / n) ** 2, 0.0))
-        sd[sd == 0] = 1.0
-        b, sxx, sx = (b - np.outer(sw, mean)) / sd, (sxx - n * mean**2) / sd**2, np.zeros(len(genes))
-    if add_intercept:
-        a = np.block([[np.asarray([[float(n)]]), sw[None, :]], [sw[:, None], a]])
-        b = np.vstack((sx[None, :], b))
-    penalty = ridge * np.eye(len(a))
+    whole = np.block([[np.asarray([[float(n)]]), sw[None, :]], [sw[:, None], a]]) if add_intercept else a
+    penalty = ridge * np.eye(len(whole))
     if add_intercept:
         penalty[0, 0] = 0.0
-    inverse = np.linalg.pinv(a + penalty, hermitian=True)
-    beta = inverse @ b
-    sse = np.maximum(sxx - 2 * (beta * b).sum(axis=0) + (beta * (a @ beta)).sum(axis=0), 0.0)
-    tss = sxx - sx**2 / n
-    r2 = np.where(tss > 1e-12, 1.0 - sse / np.where(tss > 1e-12, tss, 1.0), np.nan)
-    df = n - np.linalg.matrix_rank(a, hermitian=True)
-    cover = inverse @ a @ inverse
-    sigma2 = sse / df if df > 0 else np.full(len(genes), np.nan)
-    se = np.sqrt(np.outer(np.maximum(np.diag(cover), 0.0), sigma2))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = beta / se
-    p = student_two_sided(t, df) if df > 0 else np.full(t.shape, np.nan)
-    first = int(add_intercept)
-    rows = [(g, k, *(float(m[first + i, j]) for m in (beta, se, t, p))) for j, g in enumerate(genes) for i, k in enumerate(ks)]
-    coefficients = spark.createDataFrame(rows, "var_id bigint, k int, coef double, stderr double, t double, pvalue double")
-    features = spark.createDataFrame([(g, float(beta[0, j]) if add_intercept else 0.0, float(r2[j])) for j, g in enumerate(genes)], "var_id bigint, intercept double, r2 double")
-    return Regression(coefficients, features, {"n": n, "df": int(df), "ridge": ridge, "add_intercept": add_intercept})
+    inverse = np.linalg.pinv(whole + penalty, hermitian=True)
+    spread = np.sqrt(np.maximum(np.diag(inverse @ whole @ inverse), 0.0))
+    df = int(n - np.linalg.matrix_rank(whole, hermitian=True))
+
+    def solve(frames):
+        """All features of a batch at once, from their sums."""
+        for f in frames:
+            b = np.zeros((len(ks), len(f)))
+            for j, (own, values) in enumerate(zip(f["ks"], f["vs"], strict=True)):
+                if own is not None:
+                    b[[at[k] for k in own], j] = values
+            sx, sxx = f["sx"].to_numpy(float), f["sxx"].to_numpy(float)
+            if standardize_x:
+                mean, sd = sx / n, np.sqrt(np.maximum(sxx / n - (sx / n) ** 2, 0.0))
+                sd[sd == 0] = 1.0
+                b, sxx, sx = (b - np.outer(sw, mean)) / sd, (sxx - n * mean**2) / sd**2, np.zeros(len(f))
+            if add_intercept:
+                b = np.vstack((sx[None, :], b))
+            beta = inverse @ b
+            sse = np.maximum(sxx - 2 * (beta * b).sum(axis=0) + (beta * (whole @ beta)).sum(axis=0), 0.0)
+            tss = sxx - sx**2 / n
+            r2 = np.where(tss > 1e-12, 1.0 - sse / np.where(tss > 1e-12, tss, 1.0), np.nan)
+            se = np.outer(spread, np.sqrt(sse / df if df > 0 else np.full(len(f), np.nan)))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t = beta / se
+            p = student_two_sided(t, df) if df > 0 else np.full(t.shape, np.nan)
+            first = int(add_intercept)
+            out = {"var_id": f["var_id"], "intercept": beta[0] if add_intercept else 0.0, "r2": r2}
+            yield pd.DataFrame(out | {name: list(m[first:].T) for name, m in (("coef", beta), ("stderr", se), ("t", t), ("pvalue", p))})
+
+    ship_package(expr.sparkSession)
+    packed = wtx(expr, w).groupBy("var_id").agg(F.collect_list(F.struct("k", "v")).alias("b")).select("var_id", F.col("b.k").alias("ks"), F.col("b.v").alias("vs"))
+    sums_x = expr.groupBy("var_id").agg(F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
+    rows = var.select(F.col("var_id").cast("bigint").alias("var_id")).join(packed, "var_id", "left").join(sums_x, "var_id", "left").na.fill(0.0, ["sx", "sxx"])
+    types = "var_id bigint, intercept double, r2 double, coef array<double>, stderr array<double>, t array<double>, pvalue array<double>"
+    solved = written(rows.select("var_id", "ks", "vs", "sx", "sxx").mapInPandas(solve, types), "regression")
+    each = F.posexplode(F.arrays_zip("coef", "stderr", "t", "pvalue")).alias("at", "c")
+    names = F.array(*[F.lit(k).cast("int") for k in ks])
+    coefficients = solved.select("var_id", each).select("var_id", names[F.col("at")].alias("k"), "c.coef", "c.stderr", "c.t", "c.pvalue")
+    return Regression(coefficients, solved.select("var_id", "intercept", "r2"), {"n": n, "df": df, "ridge": ridge, "add_intercept": add_intercept})
+
+
+DEFAULT_LABEL = "GEP{:02d}"
+
+
+def component_label(k: int, labels: dict[int, str] | None = None) -> str:
+    """A component's label: the given one, else GEP and its number."""
+    return (labels or {}).get(k) or DEFAULT_LABEL.format(k)
+
+
+def component_of(name: int | str, n_components: int, labels: dict[int, str] | None = None) -> int:
+    """A component by number, by its label or by its default label, upper or lower case; ValueError for others."""
+    if not isinstance(name, str):
+        if 0 <= name < n_components:
+            return int(name)
+        raise ValueError(f"component {name} is out of range")
+    for k in range(n_components):
+        if name == component_label(k, labels):
+            return k
+    if (found := re.fullmatch(r"(?i)GEP0*(\d+)", name)) and int(found[1]) < n_components:
+        return int(found[1])
+    raise ValueError(f"no component is called {name}")
 
 
 def rank_by_coefficient(coefficients: DataFrame, n_top: int = 50, n_bottom: int = 50, sort_by: str = "coef", min_abs: float = 0.0) -> DataFrame:

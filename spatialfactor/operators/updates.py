@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import quantiles
+
 
 def gram(factor: DataFrame, key: str, value: str, out: str = "v") -> DataFrame:
     """(k1, k2, out): inner products of a factor's columns over its rows."""
@@ -82,10 +84,13 @@ def l1_weights(factor: DataFrame, value: str, base: float, strategy: str = "adap
     if strategy != "adaptive":
         raise ValueError(f"unknown strategy: {strategy}")
     v = F.col(value)
-    by = {"l2_norm": F.sqrt(F.sum(v * v)), "mean_abs": F.avg(F.abs(v)), "median_abs": F.expr(f"percentile(abs({value}), 0.5)")}
-    if scale not in by:
+    by = {"l2_norm": F.sqrt(F.sum(v * v)), "mean_abs": F.avg(F.abs(v))}
+    if scale == "median_abs":
+        scales = quantiles(factor, ["k"], F.abs(v), [0.5]).select("k", F.col("quantile").alias("s"))
+    elif scale in by:
+        scales = factor.groupBy("k").agg(by[scale].alias("s"))
+    else:
         raise ValueError(f"unknown scale: {scale}")
-    scales = factor.groupBy("k").agg(by[scale].alias("s"))
     return scales.join(F.broadcast(scales.agg(F.avg("s").alias("mean")))).select("k", (F.lit(float(base)) * F.col("s") / (F.col("mean") + F.lit(1e-10))).alias("lambda"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spatialfactor.config import FitConfig
-from spatialfactor.functions.linalg import RiemannianAdam, procrustes
+from spatialfactor.functions.linalg import RiemannianAdam, polar, procrustes, signed_qr
 from spatialfactor.functions.special import student_two_sided
 from spatialfactor.operators import analysis, characterize, delaunay, downstream, fit, graph, posthoc, preprocess, samples, smooth, updates
 
@@ -119,6 +119,26 @@ def test_posthoc_recovers_planted_coefficients(spark):
     assert abs(float(student_two_sided(np.asarray(2.0), 10)) - 0.07338803) < 1e-7
 
 
+def test_component_labels():
+    assert posthoc.component_label(3) == "GEP03" and posthoc.component_label(3, {3: "Tumour"}) == "Tumour"
+    assert [posthoc.component_of(x, 12, {3: "Tumour"}) for x in (5, "GEP05", "gep5", "Tumour", "GEP11", "GEP03")] == [5, 5, 5, 3, 11, 3]
+    for bad in (12, -1, "GEP12", "other", ""):
+        with pytest.raises(ValueError):
+            posthoc.component_of(bad, 12)
+
+
+def test_spearman_against_ranks_of_numpy(spark):
+    rng = np.random.default_rng(14)
+    w = np.where(rng.random((40, 2)) < 0.4, 0, rng.random((40, 2)))
+    age = [None if i % 9 == 0 else float(rng.integers(0, 6)) for i in range(40)]
+    obs = spark.createDataFrame([(i, "x", a) for i, a in enumerate(age)], "obs_id bigint, name string, age double")
+    rank = lambda v: np.asarray([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    got = {r.k: r.correlation for r in analysis.correlate(long(spark, w, "obs_id bigint, k int, w double"), obs, ["age", "name"], "spearman").collect()}
+    known = np.asarray([i for i in range(40) if age[i] is not None])
+    for k in range(2):
+        assert np.isclose(got[k], np.corrcoef(rank(w[known, k]), rank(np.asarray([age[i] for i in known])))[0, 1])
+
+
 def test_merging(spark):
     expr = spark.createDataFrame([("o", "A", 1.0), ("o", "B", 2.0)], "obs_name string, var_name string, x double")
     obs = spark.createDataFrame([("o", 0.0)], "obs_name string, x double")
@@ -153,6 +173,10 @@ def test_linear_algebra():
     assert np.allclose(q.T @ q, np.eye(3))
     q = RiemannianAdam(1e-2).step(q, rng.normal(size=q.shape))
     assert np.allclose(q.T @ q, np.eye(3), atol=1e-6)
+    for m in (q + 1e-3 * rng.normal(size=q.shape), rng.normal(size=(10, 3)) * [1e-6, 1, 1e6], np.ones((4, 2))):
+        u, s, vt = np.linalg.svd(m, full_matrices=False)
+        assert np.allclose(polar(m).T @ polar(m), np.eye(m.shape[1]), atol=1e-9) and (s[-1] < 1e-9 or np.allclose(polar(m), u @ vt, atol=1e-8))
+    assert np.allclose(signed_qr(q), q) and np.allclose(signed_qr(-q), -q)
     assert delaunay.triangulate(np.asarray([[0, 0], [1, 0], [0, 1], [3, 3.0]])) >= {(0, 1), (0, 2), (1, 2), (1, 3), (2, 3)}
     assert delaunay.triangulate(np.asarray([[0, 0], [2, 0], [1, 0.0]])) == {(0, 2), (1, 2)}
 
@@ -249,13 +273,15 @@ def test_whole_table_queries_against_brute_force(spark, monkeypatch):
         signatures=spark.createDataFrame([("s", f"g{j}", 1.0, 1.0, 1.0) for j in range(p)], "signature string, gene string, avg_logfc double, pct_1 double, pct_2 double"),
     )
     monkeypatch.setattr(queries, "Views", lambda spark, sf_dir: v)
-    run = lambda name: __spark_entry__.queries()[name + "_whole"](spark, "").collect()
+    run = lambda name: __spark_entry__.queries()[{"reconstruct": "reconstruct_slice"}.get(name, name)](spark, "").collect()
     r = w @ q.T
     got = {(t.obs_id, t.var_id): t.x for t in run("reconstruct")}
     assert len(got) == n * p and all(abs(got[i, j] - r[i, j]) < 1e-5 for i in range(n) for j in range(p))
     errors = np.linalg.norm(x - r, axis=1) / (np.linalg.norm(x, axis=1) + 1e-10)
     got = {t.obs_id: t.error for t in run("recon_error_per_obs")}
     assert len(got) == n and np.allclose([got[i] for i in range(n)], errors, rtol=1e-4)
+    sliced = {(t.obs_id, t.var_id): t.x for t in analysis.reconstruct(v.w, v.q, v.obs.where("obs_id % 5 = 0"), v.var.where("var_id < 4")).collect()}
+    assert set(sliced) == {(i, j) for i in range(0, n, 5) for j in range(4)} and all(abs(x - r[i, j]) < 1e-9 for (i, j), x in sliced.items())
     assert {(t.obs_id, t.var_id): t.original for t in run("plot_spatial_reconstruction")} == {(i, j): x[i, j] for i in range(n) for j in range(p)}
     assert [(t.n_genes, t.n_matched) for t in run("signature_overlap")] == [(p, p)]
     assert all(abs(t.q - q[t.var_id, t.k]) < 1e-5 for t in run("expand_genes")) and len(run("expand_genes")) == 2 * p
