@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship_package
 from ..sources.store import written
-from .fit import SENT_SAMPLES, cut_into_tiles
+from .tiles import MARK, boxes_of, cut_into_tiles, near_tiles, sent
 
 #: Points of a tile; the margin around it, in mean distances of its points.
 TILE_POINTS, MARGIN = 4_000, 4.0
@@ -299,30 +299,22 @@ def answers(questions: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
 
 
 def tiled(obs: DataFrame, tile_points: int) -> tuple[DataFrame, DataFrame]:
-    """(points with their tile and its strip, boxes of the tiles); of points at one place the smallest id."""
+    """(points with their tiles, boxes of the tiles); of points at one place the smallest id."""
     s = F.coalesce(F.col("sample_id").cast("string"), F.lit(""))
     points = obs.where("x IS NOT NULL AND y IS NOT NULL AND obs_id IS NOT NULL").groupBy(s.alias("sample"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min("obs_id").alias("obs_id"))
     points = written(points, "delaunay-points")
     blocks = cut_into_tiles(points, tile_points)
     points = written(points.join(blocks.select("obs_id", "sample", "block"), ["obs_id", "sample"]).select("block", "sample", "obs_id", "x", "y"), "delaunay-tiles")
-    corner = [f(c).alias(f"{c}{n}") for c in ("x", "y") for f, n in ((F.min, 0), (F.max, 1))]
-    boxes = points.groupBy("sample", "block").agg(*corner, F.count("*").alias("n"))
     margin = F.lit(MARGIN) * F.sqrt(F.greatest((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(0.0)) / F.col("n"))
-    tiles = boxes.withColumn("strip", F.substring_index("block", "\u0001", 2)).withColumn("margin", margin)
-    return points, written(tiles, "delaunay-boxes")
+    return points, written(boxes_of(points).withColumn("margin", margin), "delaunay-boxes")
 
 
 def margins(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(block, obs_id, x, y): points of other tiles near a tile's box, by the smaller of the two tiles' margins.
-
-    Tiles meet through the strips that they reach, so their pairs are far fewer than all.
-    """
-    strips = boxes.groupBy("sample", "strip").agg(F.min("x0").alias("s0"), F.max("x1").alias("s1"))
-    reach = boxes.join(strips.withColumnRenamed("strip", "met"), "sample").where((F.col("s0") <= F.col("x1") + F.col("margin")) & (F.col("s1") >= F.col("x0") - F.col("margin")))
-    to = reach.select(F.col("met").alias("strip"), F.col("block").alias("to"), *[F.col(c).alias(f"t{c}") for c in ("x0", "x1", "y0", "y1", "margin")])
-    pairs = to.join(boxes.select("strip", "block", "y0", "y1", "margin"), "strip").where((F.col("to") != F.col("block")) & (F.col("y0") <= F.col("ty1") + F.col("tmargin")) & (F.col("y1") >= F.col("ty0") - F.col("tmargin")))
-    pairs = pairs.select("block", "to", "tx0", "tx1", "ty0", "ty1", F.least("margin", "tmargin").alias("m"))
-    near = points.join(pairs, "block").where(F.col("x").between(F.col("tx0") - F.col("m"), F.col("tx1") + F.col("m")) & F.col("y").between(F.col("ty0") - F.col("m"), F.col("ty1") + F.col("m")))
+    """(block, obs_id, x, y): points of other tiles near a tile's box, by the smaller of the two tiles' margins."""
+    own = boxes.select("block", F.col("margin").alias("m"))
+    to = boxes.select(F.col("block").alias("to"), "x0", "x1", "y0", "y1", "margin")
+    pairs = near_tiles(boxes, "margin").join(own, "block").join(to, "to").select("block", "to", "x0", "x1", "y0", "y1", F.least("margin", "m").alias("m"))
+    near = points.join(pairs, "block").where(F.col("x").between(F.col("x0") - F.col("m"), F.col("x1") + F.col("m")) & F.col("y").between(F.col("y0") - F.col("m"), F.col("y1") + F.col("m")))
     return near.select(F.col("to").alias("block"), "obs_id", "x", "y")
 
 
@@ -335,7 +327,7 @@ def delaunay_graph(obs: DataFrame, tile_points: int = TILE_POINTS) -> DataFrame:
     """
     ship_package(obs.sparkSession)
     points, boxes = tiled(obs, tile_points)
-    several = boxes.where(F.instr("block", "\u0001") > 0)
+    several = boxes.where(F.instr("block", MARK) > 0)
     sets = points.select("block", "obs_id", "x", "y", F.lit(True).alias("own"))
     done = []
     if not several.isEmpty():
@@ -346,8 +338,7 @@ def delaunay_graph(obs: DataFrame, tile_points: int = TILE_POINTS) -> DataFrame:
             done.append(out.where("i IS NOT NULL"))
             break
         asked = out.where("i IS NULL").join(several.select("block", "sample"), "block")
-        targets = several.select("sample", F.col("block").alias("target"), "x0", "x1", "y0", "y1")
-        targets = F.broadcast(targets) if targets.count() <= SENT_SAMPLES else targets
+        targets = sent(several.select("sample", F.col("block").alias("target"), "x0", "x1", "y0", "y1"))
         # the circle's centre again, and the corner of a box that lies furthest to the left of a line
         bx, by, cx, cy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("cx") - F.col("ax"), F.col("cy") - F.col("ay")
         d, sb, sc = 2 * (bx * cy - by * cx), bx * bx + by * by, cx * cx + cy * cy
@@ -356,8 +347,8 @@ def delaunay_graph(obs: DataFrame, tile_points: int = TILE_POINTS) -> DataFrame:
         circle = F.hypot(gap(mx, "x0", "x1"), gap(my, "y0", "y1")) <= F.col("r") * (1 + 1e-9)
         left = bx * (F.when(bx > 0, F.col("y1")).otherwise(F.col("y0")) - F.col("ay")) - by * (F.when(by > 0, F.col("x0")).otherwise(F.col("x1")) - F.col("ax"))
         reaches = F.when(F.col("cx").isNull() | F.isnan("cx"), left >= -1e-9 * sb).otherwise(F.coalesce(circle, F.lit(True)) | F.isnan("r"))
-        sent = written(asked.join(targets, "sample").where(F.col("target") != F.col("block")).where(reaches).select("target", "block", "ax", "ay", "bx", "by", "cx", "cy", "r"), "delaunay-questions")
-        got = sent.groupBy("target").cogroup(points.groupBy("block")).applyInPandas(lambda q, p: answers(q, p) if len(q) and len(p) else pd.DataFrame(columns=["block", "obs_id", "x", "y"]), "block string, obs_id bigint, x double, y double")
+        questions = written(asked.join(targets, "sample").where(F.col("target") != F.col("block")).where(reaches).select("target", "block", "ax", "ay", "bx", "by", "cx", "cy", "r"), "delaunay-questions")
+        got = questions.groupBy("target").cogroup(points.groupBy("block")).applyInPandas(lambda q, p: answers(q, p) if len(q) and len(p) else pd.DataFrame(columns=["block", "obs_id", "x", "y"]), "block string, obs_id bigint, x double, y double")
         new = written(got.distinct().join(sets.select("block", "obs_id"), ["block", "obs_id"], "left_anti").select("block", "obs_id", "x", "y"), "delaunay-answers")
         again = new.select("block").distinct()
         done.append(out.where("i IS NOT NULL").join(again, "block", "left_anti"))
