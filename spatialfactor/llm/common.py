@@ -15,6 +15,7 @@ from ..functions.shipping import ship_package
 
 #: Characters that separate words: space and the ASCII controls from tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +72,9 @@ def word_count(text: Column) -> Column:
 def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[dict]], schema: str, slice_rows: int = 512) -> DataFrame:
     """``mapInArrow`` for functions on columns: ``rows`` gets an iterator of column dictionaries, yields the same.
 
-    Batches are cut to ``slice_rows`` rows so that a task holds few whole texts at once.
+    Batches are cut to ``slice_rows`` rows so that a task holds few whole texts at once. Where the session leaves the size
+    of Arrow's batches at Spark's default, it is set to ``BATCH_ROWS``, since both the task and its Python hold a batch of
+    whole texts.
     """
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -89,6 +92,8 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[dict]], sc
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
 
     ship_package(df.sparkSession)
+    if df.sparkSession.conf.get(BATCH_SETTING) == "10000":
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_ROWS)
     return df.mapInArrow(run, schema)
 
 

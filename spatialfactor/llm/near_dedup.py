@@ -30,7 +30,9 @@ HUB_PARTS = 64
 BLOCK = 256
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MULTIPLIER, INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
-SEGMENT = 1 << 19
+SEGMENT = 1 << 17
+#: Variables that a step of the sketches draws at once.
+DRAWS = 1 << 18
 IS_SEPARATOR = np.zeros(256, dtype=bool)
 IS_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -115,7 +117,7 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
         time, drawn, several = np.zeros(len(seeds)), 0, 4
         with np.errstate(over="ignore"):
             while len(seeds):
-                several = max(1, min(several, (1 << 20) // len(seeds)))
+                several = max(1, min(several, DRAWS // len(seeds)))
                 z = mix(seeds[:, None] + np.arange(drawn + 1, drawn + several + 1, dtype=np.uint64) * GOLDEN)
                 gaps = -np.log(((z >> np.uint64(24)).astype(np.float64) + 1.0) * 2.0**-40) / REGISTERS
                 times = time[:, None] + np.cumsum(gaps, axis=1)

@@ -42,7 +42,7 @@ FOLDS, FOLD_ROWS, ROUNDS = 8, 6, 3
 #: Ordinary rows to a toxic one among the labelled rows that fit the model, at most.
 ORDINARY_SHARE = 4
 #: Words whose gains a worker remembers; all are forgotten when there are more.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: The cut at which a document counts as toxic.
 CUT = 0.7
 
