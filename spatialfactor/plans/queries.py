@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, preprocess, samples, smooth, updates
+from ..operators import graph, matrix, preprocess, samples, smooth, updates
 from .fixtures import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -331,3 +331,21 @@ t AS (SELECT r, coalesce(sum(max(h * scale) + 20) OVER (ORDER BY r ROWS BETWEEN
 SELECT p.obs_id, p.sample_id, {r6('(p.x - x0) * scale + ox')} AS ax, {r6('(p.y - y0) * scale + oy')} AS ay FROM fx_obs p JOIN o ON p.sample_id = o.sample_id JOIN t ON o.r = t.r""")
 def _(v):
     return samples.align_grid(v.obs)
+
+
+# matrices in blocks
+
+
+@register("blocks_round_trip", "SELECT obs_id, var_id, x FROM fx_expr")
+def _(v):
+    return matrix.from_blocks(matrix.to_blocks(v.expr))
+
+
+@register("blocks_xq", f"SELECT obs_id, k, {r6('sum(x * q)')} AS v FROM fx_expr e JOIN fx_q q ON e.var_id = q.var_id GROUP BY obs_id, k")
+def _(v):
+    return matrix.multiply(matrix.to_blocks(v.expr), matrix.dense_blocks(v.q, "var_id", "q"))
+
+
+@register("blocks_lw", f"WITH {lap()} SELECT l.i AS i, w.k AS k, {r6('sum(v * w)')} AS lw FROM lap l JOIN fx_w w ON l.j = w.obs_id GROUP BY l.i, w.k")
+def _(v):
+    return matrix.multiply(matrix.to_blocks(laplacian_of(v), "i", "j", "v"), matrix.dense_blocks(v.w), "lw")
