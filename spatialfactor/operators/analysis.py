@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import written
 from .order import average_rank
-from .updates import gram, wtx
+from .updates import gram, merged_moments, wtx
 
 #: Features whose rows of Q are sent to all tasks.
 SENT_FEATURES = 200_000
@@ -110,8 +110,12 @@ def sparsity(factor: DataFrame, value: str, threshold: float = 1e-3) -> DataFram
 
 def component_correlation(w: DataFrame) -> DataFrame:
     """(k1, k2, r): Pearson correlations of the components' columns."""
-    rows = w.groupBy("obs_id").agg(F.collect_list(F.struct("k", "w")).alias("r")).select(F.explode("r").alias("a"), "r").select("a", F.explode("r").alias("b"))
-    return rows.groupBy(F.col("a.k").alias("k1"), F.col("b.k").alias("k2")).agg(F.corr("a.w", "b.w").alias("r"))
+    c = merged_moments(w, "obs_id", "w")
+    # of complete rows; a component without variance has no correlations
+    own = c.where("k1 = k2").select(F.col("k1").alias("k"), "c")
+    met = c.join(F.broadcast(own.select(F.col("k").alias("k1"), F.col("c").alias("c1"))), "k1").join(F.broadcast(own.select(F.col("k").alias("k2"), F.col("c").alias("c2"))), "k2")
+    root = F.sqrt("c1") * F.sqrt("c2")
+    return met.select("k1", "k2", F.when(root > 0, F.greatest(F.least(F.col("c") / root, F.lit(1.0)), F.lit(-1.0))).alias("r"))
 
 
 def column_norms(factor: DataFrame, value: str, out: str) -> DataFrame:

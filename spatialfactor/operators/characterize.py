@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .updates import merged_moments
+
 TINY = 1e-10
 
 
 def covariance(w: DataFrame) -> DataFrame:
     """(k1, k2, s): sample covariances of the columns of W."""
-    rows = w.groupBy("obs_id").agg(F.collect_list(F.struct("k", "w")).alias("r")).select(F.explode("r").alias("a"), "r").select("a", F.explode("r").alias("b"))
-    return rows.groupBy(F.col("a.k").alias("k1"), F.col("b.k").alias("k2")).agg(F.covar_samp("a.w", "b.w").alias("s"))
+    return merged_moments(w, "obs_id", "w").select("k1", "k2", F.when(F.col("n") > 1, F.col("c") / (F.col("n") - 1)).alias("s"))
 
 
 def precompute_stats(w: DataFrame, q: DataFrame) -> DataFrame:

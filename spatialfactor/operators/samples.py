@@ -36,8 +36,13 @@ def merge_samples(parts: list[tuple[DataFrame, DataFrame]], join: str = "inner",
 def align_grid(obs: DataFrame, per_row: int = 5, normalize: bool = True, width: float = 100.0, gap: float = 20.0) -> DataFrame:
     """(obs_id, sample_id, ax, ay): samples shifted to 0, scaled to one width and laid out in rows.
 
-    Samples stand in the order of their smallest obs_id. A row is as high as its highest sample.
+    Samples stand in the order of their smallest obs_id. A row is as high as its highest sample. Observations without a
+    sample, or a table without the column, are a ValueError.
     """
+    if "sample_id" not in obs.columns:
+        raise ValueError("the observations have no sample_id")
+    if not obs.where("sample_id IS NULL").isEmpty():
+        raise ValueError("every observation needs a sample_id")
     box = obs.groupBy("sample_id").agg(F.min("obs_id").alias("first"), F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
     scale = F.when((F.col("w") > 0) & F.lit(normalize), F.lit(width) / F.col("w")).otherwise(F.lit(1.0))
     box = box.withColumn("scale", scale).withColumn("sw", F.col("w") * F.col("scale")).withColumn("sh", F.col("h") * F.col("scale"))

@@ -2,17 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship_package
 from .order import quantiles
 
 
+def pair_moments(factor: DataFrame, key: str, value: str) -> DataFrame:
+    """(k1, k2, n, m1, m2, c, p) of each task for the pairs of components that rows have: the rows with both, the means of
+    either over them, the sum of products of deviations from those and that of the products.
+
+    A row of the factor goes to Python as one, and a task gives a row for each pair, whatever its rows; so nothing of the
+    size of pairs times rows is made. Deviations are taken from values of the task, so they don't cancel.
+    """
+    ship_package(factor.sparkSession)
+    rows = factor.groupBy(key).agg(F.collect_list(F.struct("k", F.col(value).cast("double").alias("v"))).alias("r")).select(F.col("r.k").alias("ks"), F.col("r.v").alias("vs"))
+
+    def sums(batches):
+        ks = np.empty(0, dtype=np.int64)
+        shift = np.empty(0)
+        n, s, p = (np.zeros((0, 0)) for _ in range(3))
+        for batch in batches:
+            size = np.diff(batch.column("ks").offsets.to_numpy())
+            k, v = batch.column("ks").flatten().to_numpy(), batch.column("vs").flatten().to_numpy(zero_copy_only=False)
+            new = np.setdiff1d(k, ks)
+            if len(new):
+                ks = np.concatenate((ks, new))
+                shift = np.concatenate((shift, [v[k == one].mean() for one in new]))
+                n, s, p = (np.pad(m, (0, len(new))) for m in (n, s, p))
+            order = np.argsort(ks)
+            column, row = order[np.searchsorted(ks[order], k)], np.repeat(np.arange(len(size)), size)
+            held, known = np.zeros((len(size), len(ks))), np.zeros((len(size), len(ks)))
+            np.add.at(held, (row, column), v - shift[column])
+            known[row, column] = 1.0
+            n, s, p = n + known.T @ known, s + held.T @ known, p + held.T @ held
+        a, b = np.nonzero(n)
+        m, s1, s2, c = n[a, b], s[a, b], s[b, a], p[a, b]
+        m1, m2 = shift[a] + s1 / m, shift[b] + s2 / m
+        c = c - s1 * s2 / m
+        yield pa.RecordBatch.from_pydict({"k1": pa.array(ks[a], pa.int32()), "k2": pa.array(ks[b], pa.int32()), "n": m, "m1": m1, "m2": m2, "c": c, "p": c + m * m1 * m2})
+
+    return rows.mapInArrow(sums, "k1 int, k2 int, n double, m1 double, m2 double, c double, p double")
+
+
+def merged_moments(factor: DataFrame, key: str, value: str) -> DataFrame:
+    """(k1, k2, n, c) over all rows: those with both components, and the sum of products of their deviations from the means."""
+    whole = Window.partitionBy("k1", "k2")
+    mean = lambda m: F.sum(F.col("n") * F.col(m)).over(whole) / F.sum("n").over(whole)
+    # a row a task: differences of means first, products after
+    between = F.col("n") * (F.col("m1") - mean("m1")) * (F.col("m2") - mean("m2"))
+    return pair_moments(factor, key, value).withColumn("between", between).groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.sum(F.col("c") + F.col("between")).alias("c"))
+
+
 def gram(factor: DataFrame, key: str, value: str, out: str = "v") -> DataFrame:
     """(k1, k2, out): inner products of a factor's columns over its rows."""
-    rows = factor.groupBy(key).agg(F.collect_list(F.struct("k", value)).alias("r"))
-    pairs = rows.select(F.explode("r").alias("a"), "r").select("a", F.explode("r").alias("b"))
-    return pairs.groupBy(F.col("a.k").alias("k1"), F.col("b.k").alias("k2")).agg(F.sum(F.col(f"a.{value}") * F.col(f"b.{value}")).alias(out))
+    return pair_moments(factor, key, value).groupBy("k1", "k2").agg(F.sum("p").alias(out))
 
 
 def wtx(expr: DataFrame, w: DataFrame) -> DataFrame:
@@ -38,6 +85,17 @@ def tv_terms(weighted: DataFrame) -> DataFrame:
     return ends.groupBy("e.obs_id", "k").agg(F.sum("e.t").alias("lw"), F.sum("e.wt").alias("d"))
 
 
+def tv_row_terms(edges: DataFrame, w: DataFrame, eps: float = 1e-6) -> DataFrame:
+    """``tv_terms`` of ``tv_weights``, with an observation's row of W as one: edges go to either end with both rows, and what
+    meets there is summed in place."""
+    packed = lambda k, out: w.groupBy(F.col("obs_id").alias(k)).agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias(out))
+    both = edges.select("i", "j", "weight").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "weight"))
+    met = both.join(packed("j", "other"), "j").select("i", "weight", "other").repartition("i").join(packed("i", "own"), "i")
+    terms = met.select("i", "weight", "other", F.explode("own").alias("k", "w")).withColumn("diff", F.col("w") - F.try_element_at("other", F.col("k"))).where("diff IS NOT NULL")
+    wt = F.col("weight") / F.sqrt(F.col("diff") * F.col("diff") + F.lit(eps))
+    return terms.groupBy(F.col("i").alias("obs_id"), "k").agg(F.sum(wt * F.col("diff")).alias("lw"), F.sum(wt).alias("d"))
+
+
 def tv_weight_stats(weighted: DataFrame, clip: float = 1000.0) -> DataFrame:
     """Extremes and mean of the weights, their largest ratio to the edge weights, and the share above ``clip`` times."""
     ratio = F.col("wt") / F.col("weight")

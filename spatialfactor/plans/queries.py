@@ -153,8 +153,12 @@ TV = f"{LEDGES}, tv AS (SELECT e.i, e.j, a.k, a.w - b.w AS diff, weight, weight
 TERMS = f"{TV}, terms AS (SELECT obs_id, k, sum(t) AS lw, sum(wt) AS d FROM (SELECT i AS obs_id, k, wt * diff AS t, wt FROM tv UNION ALL SELECT j, k, -wt * diff, wt FROM tv) s GROUP BY obs_id, k)"
 
 
+def tv_edges(v: Views) -> DataFrame:
+    return graph.edges_from_laplacian(laplacian_of(v))
+
+
 def tv_of(v: Views) -> DataFrame:
-    return updates.tv_weights(graph.edges_from_laplacian(laplacian_of(v)), v.wc, 1e-6)
+    return updates.tv_weights(tv_edges(v), v.wc, 1e-6)
 
 
 @register("tv_weights", f"WITH {TV} SELECT i, j, k, {r6('diff')} AS diff, {r6('wt')} AS wt FROM tv")
@@ -164,7 +168,7 @@ def _(v):
 
 @register("tv_terms", f"WITH {TERMS} SELECT obs_id, k, {r6('lw')} AS lw, {r6('d')} AS d FROM terms")
 def _(v):
-    return updates.tv_terms(tv_of(v))
+    return updates.tv_row_terms(tv_edges(v), v.wc, 1e-6)
 
 
 @register("tv_weight_stats", f"WITH {TV} SELECT {r6('min(wt)')} AS min_wt, {r6('max(wt)')} AS max_wt, {r6('avg(wt)')} AS mean_wt, {r6('max(wt / weight)')} AS max_ratio, {r6('avg(CASE WHEN wt / weight > 100 THEN 1e0 ELSE 0e0 END)')} AS clipped FROM tv")
@@ -204,7 +208,7 @@ def _(v):
 
 @register("w_update_tv", f"WITH {TERMS}, {w_step('terms', 0.3, None, 'fx_wc')} {STEP}")
 def _(v):
-    return updates.update_w(v.expr, v.wc, v.q, updates.tv_terms(tv_of(v)), 0.3)
+    return updates.update_w(v.expr, v.wc, v.q, updates.tv_row_terms(tv_edges(v), v.wc, 1e-6), 0.3)
 
 
 @register("l1_weights_fixed", "SELECT DISTINCT k, 0.5e0 AS lambda FROM fx_w")

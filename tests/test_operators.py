@@ -139,6 +139,31 @@ def test_spearman_against_ranks_of_numpy(spark):
         assert np.isclose(got[k], np.corrcoef(rank(w[known, k]), rank(np.asarray([age[i] for i in known])))[0, 1])
 
 
+def test_moments_of_pairs_with_gaps_and_large_means(spark):
+    rng = np.random.default_rng(15)
+    w = rng.random((60, 3)) + [0, 1e6, 5]
+    w[:, 2] = 5
+    df = long(spark, w, "obs_id bigint, k int, w double")
+    for rows in (df, df.where("(obs_id + k) % 5 <> 0").repartition(5)):
+        held = {(r.obs_id, r.k) for r in rows.collect()}
+        got = {(r.k1, r.k2): r.s for r in characterize.covariance(rows).collect()}
+        products = {(r.k1, r.k2): r.v for r in updates.gram(rows, "obs_id", "w").collect()}
+        for a in range(3):
+            for b in range(3):
+                both = [i for i in range(60) if (i, a) in held and (i, b) in held]
+                assert np.isclose(got[a, b], np.cov(w[both, a], w[both, b])[0, 1], rtol=1e-6, atol=1e-9)
+                assert np.isclose(products[a, b], w[both, a] @ w[both, b])
+    r = {(x.k1, x.k2): x.r for x in analysis.component_correlation(df).collect()}
+    assert np.isclose(r[0, 1], np.corrcoef(w[:, 0], w[:, 1])[0, 1], atol=1e-6) and r[2, 2] is None and np.isclose(r[0, 0], 1)
+
+
+def test_alignment_needs_samples(spark):
+    obs = points(spark, [(0, "a", 0, 0), (1, None, 1, 1)])
+    for bad in (obs, obs.drop("sample_id")):
+        with pytest.raises(ValueError):
+            samples.align_grid(bad)
+
+
 def test_merging(spark):
     expr = spark.createDataFrame([("o", "A", 1.0), ("o", "B", 2.0)], "obs_name string, var_name string, x double")
     obs = spark.createDataFrame([("o", 0.0)], "obs_name string, x double")
@@ -349,6 +374,8 @@ def test_total_variation_terms_two_ways(spark):
     row = SimpleNamespace(ids=list(range(20)), rim=[], owners=[], xi=[], xc=[], xv=[], li=[r.i for r in rows], lj=[r.j for r in rows], lv=[r.v for r in rows])
     block = fit.Block(row, 1, max(-r.v for r in rows if r.i < r.j))
     lw, d = block.tv_terms(w, w, 1e-2)
+    packed = {(r.obs_id, r.k): (r.lw, r.d) for r in updates.tv_row_terms(edges, long(spark, w, "obs_id bigint, k int, w double"), 1e-2).collect()}
+    assert set(packed) == set(got) and all(np.allclose(packed[x], got[x]) for x in got)
     assert stats["n_edges"] == edges.count() and len(got) == 40
     assert all(np.allclose(got[i, k], (lw[i, k], d[i, k])) for i in range(20) for k in range(2))
 
