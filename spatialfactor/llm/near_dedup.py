@@ -31,6 +31,8 @@ BLOCK = 256
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MULTIPLIER, INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
 SEGMENT = 1 << 17
+#: Bits of the maps of ids that thin out what a join shuffles.
+BITS = 1 << 25
 #: Variables that a step of the sketches draws at once.
 DRAWS = 1 << 18
 IS_SEPARATOR = np.zeros(256, dtype=bool)
@@ -151,12 +153,22 @@ def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def brief(registers: np.ndarray) -> np.ndarray:
+    """The last four bits of each register, two registers a byte: what agrees in whole agrees in these."""
+    low = (registers & 15).astype(np.uint8)
+    return low[:, ::2] << 4 | low[:, 1::2]
+
+
+def least_equal(similarity: float) -> float:
+    """How many registers of a pair at the similarity agree, but for a chance that ``DOUBT`` leaves out."""
+    return REGISTERS * similarity - np.sqrt(2.0 * DOUBT * REGISTERS * similarity * (1.0 - similarity)) - 4.0
+
+
 def plausible(left: np.ndarray, right: np.ndarray, left_size: np.ndarray, right_size: np.ndarray, similarity: float) -> np.ndarray:
     """Which pairs may reach the similarity, by the joint likelihood of their registers given the sizes of their sets."""
     # registers that agree are about as many as the similarity says; far too few settle most pairs
     equal = (left == right).sum(axis=1)
-    least_equal = REGISTERS * similarity - np.sqrt(2.0 * DOUBT * REGISTERS * similarity * (1.0 - similarity)) - 4.0
-    if not (likely := equal >= least_equal).all():
+    if not (likely := equal >= least_equal(similarity)).all():
         out = np.zeros(len(left), dtype=bool)
         if likely.any():
             out[likely] = plausible(left[likely], right[likely], left_size[likely], right_size[likely], similarity)
@@ -227,9 +239,10 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
                 "n": [len(s) for s in sets],
                 "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                 "registers": [r.tobytes() for r in registers],
+                "brief": [r.tobytes() for r in brief(registers)],
             }
 
-    return map_rows(docs.selectExpr("id", "data"), rows, "id bigint, n bigint, digest binary, registers binary", slice_rows=256)
+    return map_rows(docs.selectExpr("id", "data"), rows, "id bigint, n bigint, digest binary, registers binary, brief binary", slice_rows=256)
 
 
 def _banded(classes: DataFrame, rows_per_band: int) -> DataFrame:
@@ -242,8 +255,39 @@ def _banded(classes: DataFrame, rows_per_band: int) -> DataFrame:
     return map_rows(classes.select("id", "registers"), rows, "key bigint, id bigint", slice_rows=2048)
 
 
+def thinned(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id may be among ``ids`` (id), and few others: a filter ahead of a join that shuffles them.
+
+    Ids set bits by hash in maps of ``BITS`` together, a fixed size, which go to all tasks. Where ids are so many that most
+    bits are set, rows stay and the join does what it would have done.
+    """
+    spot = F.pmod(F.xxhash64("id"), F.lit(BITS)) + 1
+    maps = ids.select(spot.alias("spot")).groupBy(F.expr("bitmap_bucket_number(spot)").alias("map_no")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(spot))").alias("map_bits"))
+    met = rows.withColumn("map_spot", spot).withColumn("map_no", F.expr("bitmap_bucket_number(map_spot)")).join(F.broadcast(maps), "map_no")
+    bit = F.expr("getbit(cast(conv(hex(substring(map_bits, cast(bitmap_bit_position(map_spot) div 8 as int) + 1, 1)), 16, 10) as bigint), cast(bitmap_bit_position(map_spot) % 8 as int))")
+    return met.where(bit == 1).select(rows.columns)
+
+
+def _roughly(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of which enough registers may agree, by four bits of each."""
+    left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("brief").alias("ra"))
+    right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("brief").alias("rb"))
+    both = pairs.join(right, "b").join(left, "a").where((F.least("na", "nb") >= F.lit(similarity - 1e-9) * F.greatest("na", "nb")))
+
+    def rows(batches):
+        for batch in batches:
+            ra, rb = (np.frombuffer(b"".join(batch[k].to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS // 2) for k in ("ra", "rb"))
+            apart = ra ^ rb
+            keep = ((apart & 0xF0) == 0).sum(axis=1) + ((apart & 0x0F) == 0).sum(axis=1) >= least_equal(similarity)
+            yield {k: batch[k].to_numpy(zero_copy_only=False)[keep] for k in ("a", "b")}
+
+    return map_rows(both.select("a", "b", "ra", "rb"), rows, "a bigint, b bigint", slice_rows=4096)
+
+
 def _sifted(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) that their registers leave plausible."""
+    """Pairs (a, b) that their registers leave plausible; whole registers travel only for pairs that four bits of each leave."""
+    pairs = written(_roughly(pairs, classes, similarity), "rough-pairs")
+    classes = thinned(classes, pairs.selectExpr("explode(array(a, b)) AS id"))
     left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
     right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
     both = pairs.join(right, "b").join(left, "a").where((F.least("na", "nb") >= F.lit(similarity - 1e-9) * F.greatest("na", "nb")))
@@ -266,7 +310,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: in
     """
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(HUB_PARTS)).cast("int").alias("part"))
     needed = classes.select("id", "digest").join(dealt.selectExpr("explode(array(a, b)) AS id").distinct(), "id", "left_semi")
-    held = texts.join(needed, "id").select("id", "data", "digest")
+    held = thinned(texts, dealt.selectExpr("explode(array(a, b)) AS id")).join(needed, "id").select("id", "data", "digest")
     hubs = dealt.select("a", "part").distinct().join(held.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("bigint").alias("b"), "data", "digest")
     members = dealt.join(held.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "data", "digest")
     both = hubs.union(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
@@ -370,7 +414,7 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int
     types = "key bigint, x int, y int, id bigint, component bigint, minor boolean, block int, n bigint, digest binary, registers binary"
     # texts go only to groups in which their registers leave a link possible
     met = written(map_rows(met, sifted, types, slice_rows=2048), "across-sifted")
-    with_texts = texts.join(met.select("id").distinct(), "id", "left_semi").join(met, "id").select(*columns, "data")
+    with_texts = thinned(texts, met.select("id")).join(met.select("id").distinct(), "id", "left_semi").join(met, "id").select(*columns, "data")
     with_texts = with_texts.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
 
     def confirmed(batches):
@@ -420,7 +464,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     sketches = written(_sketched(slim, width), "sketches")
     sets = sketches.where("n > 0").groupBy("digest").agg(F.min("id").alias("class"), F.max("n").alias("n"))
     nodes = sets.where("class IS NOT NULL").groupBy(F.col("class").alias("id")).agg(F.min(F.struct("digest", "n")).alias("s")).select("id", "s.digest", "s.n")
-    classes = nodes.join(sketches.select("id", "digest", "registers"), ["id", "digest"]).dropDuplicates(["id", "digest"])
+    classes = nodes.join(sketches.select("id", "digest", "registers", "brief"), ["id", "digest"]).dropDuplicates(["id", "digest"])
     classes = written(classes, "classes")
 
     banded = _banded(classes, rows_per_band)

@@ -336,3 +336,14 @@ def test_pipeline_stages(spark, documents, tmp_path):
     assert Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset").collect())) == Counter(map(tuple, docs.drop("sequence_id", "offset").collect()))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, table.limit(0), str(tmp_path)).count() == 0
+
+
+def test_thinned_rows_hold_all_that_a_join_needs(spark):
+    from spatialfactor.llm import near_dedup
+
+    rows = spark.range(20_000).selectExpr("id * 7919 - 50000 AS id", "string(id) AS data")
+    wanted = rows.where("id % 97 = 0").select("id")
+    kept = near_dedup.thinned(rows, wanted)
+    assert kept.columns == ["id", "data"] and wanted.exceptAll(kept.select("id")).isEmpty()
+    assert wanted.count() <= kept.count() < wanted.count() + 200
+    assert near_dedup.thinned(rows, wanted.limit(0)).isEmpty()
