@@ -39,6 +39,16 @@ FRAME_WORDS = frozenset(
 #: Words that names of frames hold beside these; elements that wrap whole pages, marked or not.
 FILLER_WORDS = frozenset("site page main global top bottom left right section box bar block list item items container wrapper wrap area inner outer col column nav the js".split())
 WRAPPERS = frozenset("form div section fieldset table tbody tr td center span".split())
+#: Words that mark a frame in any name, but where the name's last word is one of the article's own or its first
+#: one says that the page has or lacks such a thing; words that mark one with those too; words of readers' remarks.
+SURE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising promo promotion cookie cookies consent gdpr popup modal newsletter subscribe subscription share sharing social related recommended"
+    " recommendations sidebar menu menus navbar navigation breadcrumb breadcrumbs pagination pager toolbar comment comments disqus reply replies respond".split()
+)
+OWN_WORDS = frozenset("article body text title story main entry post paragraph heading headline free".split())
+SAYS_HAS = frozenset("has have with without no not is hide show".split())
+PAID_WORDS = frozenset("sponsor sponsored advertorial".split())
+REMARK_WORDS = frozenset("comment comments reply replies respond".split())
 #: Share of a page's text from which on a marked element wraps it; share of the differing text that a main part has at least.
 WRAPS, LEAST_MAIN = 0.8, 0.2
 #: A quote opens a value only after an equals sign and where its mate follows, however far; else it is an ordinary character.
@@ -50,6 +60,8 @@ WORDS = re.compile(r"[A-Za-z]+")
 TABLE = 1 << 28
 #: Share of a main part's characters from which on a page that has them too counts as a copy of the article.
 COPY = 0.5
+#: Runs of equal pages on either side of a range that others may need: the page's own, and two neighbours.
+SIDE = 3
 #: Pages of a range, about: the unit in which neighbours are found.
 RANGE_ROWS, MOST_RANGES = 500, 16384
 #: Ranges of a task, about.
@@ -68,18 +80,32 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
     around: dict[int, tuple[int, ...]] = {}
     element: dict[int, str] = {}
 
+    # the line around each open inline frame: its text so far, its main parts and frames
+    waiting: list[tuple[list[str], tuple[int, ...], tuple[int, ...]]] = []
+
+    def put(pieces: list[str], mains: tuple[int, ...], frames: tuple[int, ...]) -> None:
+        line = " ".join(unescape("".join(pieces)).split())
+        pieces.clear()
+        if line:
+            out.append((line, mains, frames))
+
+    def settle() -> None:
+        """A block inside an inline frame ends the lines around it."""
+        for pieces, *where in waiting:
+            put(pieces, *where)
+
     def flush() -> None:
         if text:
-            line = " ".join(unescape("".join(text)).split())
-            text.clear()
-            if line:
-                out.append((line, tuple(mains), tuple(frames)))
+            put(text, tuple(mains), tuple(frames))
 
     def close(upto: int) -> None:
         while len(stack) > upto:
             name, is_main, is_frame = stack.pop()
             if name in BLOCK:
                 flush()
+            elif is_frame:
+                flush()
+                text.extend(waiting.pop()[0])
             if is_main:
                 mains.pop()
             if is_frame:
@@ -130,6 +156,7 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
                 if held in BLOCK:
                     break
         if name in BLOCK:
+            settle()
             flush()
         if name in VOID:
             continue
@@ -138,6 +165,9 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
             given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(token[3])}
             role = given.get("role", "").lower()
             is_main |= role in ("main", "article")
+            if name == "article" and (remark(given.get("class", "")) or remark(given.get("id", ""))):
+                # a reader's remark may be an article
+                is_main, is_frame = False, True
             is_frame |= name not in ("body", "html", "article", "main") and (any(marks_frame(w) for k in ("class", "id", "role") for w in given.get(k, "").split()) or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", ""))
         # a header is a frame but where it opens an article
         is_frame |= name == "header" and not mains
@@ -146,6 +176,10 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
         if is_main:
             mains.append(len(around) + 1)
             around[mains[-1]] = tuple(frames)
+        if is_frame and name not in BLOCK:
+            # what an inline frame holds is a line of its own; the line around it goes on behind it
+            waiting.append((text.copy(), tuple(mains), tuple(frames)))
+            text.clear()
         if is_frame:
             frames.append(len(element) + 1)
             element[frames[-1]] = name
@@ -155,9 +189,19 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
     return settled(out, around, element)
 
 
+def remark(names: str) -> bool:
+    """Whether a class or id is that of a reader's remark."""
+    return any(not REMARK_WORDS.isdisjoint(words) and words[-1] not in OWN_WORDS and words[0] not in SAYS_HAS for words in ([w.lower() for w in WORDS.findall(n)] for n in names.split()) if words)
+
+
 def marks_frame(token: str) -> bool:
-    """Whether a class, id or role names a frame: all its words do, but for fillers such as in site-header."""
+    """Whether a class, id or role names a frame: a sure word does wherever it stands, as in article-ad or share-buttons, but
+    for names such as ad-free-article or has-comments; others where all words do, but for fillers such as in site-header."""
     words = [w.lower() for w in WORDS.findall(token)]
+    if not PAID_WORDS.isdisjoint(words):
+        return True
+    if not SURE_WORDS.isdisjoint(words) and words[-1] not in OWN_WORDS and words[0] not in SAYS_HAS:
+        return True
     return not FRAME_WORDS.isdisjoint(words) and FRAME_WORDS.union(FILLER_WORDS).issuperset(words)
 
 
@@ -248,33 +292,36 @@ def common_start(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def main_lines(page: list[tuple[str, bool, bool]], path: str, neighbours: list[tuple[str, list[str]]]) -> tuple[list[str], int]:
+def main_lines(page: list[tuple[str, bool, bool]], path: str, neighbours: list[tuple[str, list[str]]], copied: bool = False) -> tuple[list[str], int]:
     """The page's lines of main text, and how many lines the neighbour shares.
 
-    ``neighbours`` are paths and lines of the nearest pages of other content before and after it on its host. The nearer one is taken; one with
-    the very same lines, or none, tells nothing, so then the other is. Where the page has a main part, one that shares
-    ``COPY`` of its text or more holds a copy of the article and tells nothing about it either; if both do, the whole
-    main part stays.
+    ``neighbours`` are paths and lines of the nearest pages of other content before and after it on its host. The nearer one
+    is taken; one with the very same lines, or none, tells nothing, so then the other is. Where the page has a main part,
+    one that shares ``COPY`` of its text or more holds a copy of the article and tells nothing about it either; if both do,
+    the whole main part stays. Inside the main part only lines go that three pages have, both neighbours or, where the page
+    has a copy beside it (``copied``), one: two articles may share a sentence or a heading, what more repeat is the site's.
     """
     lines = [x[0] for x in page]
     inside = main_part(page, [False] * len(page))
     has_main = any(inside)
     size = sum(len(x) for x, i in zip(lines, inside, strict=True) if i)
     ranked = sorted(neighbours, key=lambda n: -common_start(path, n[0]))
-    first, told = None, False
+    seen, telling = [], []
     for _, other in ranked:
-        if not other or other == lines:
+        if not other or other == lines or (telling and not has_main):
             continue
-        shared = lcs_shared(lines, other)
-        first = first or shared
-        told = not has_main or sum(len(x) for x, i, s in zip(lines, inside, shared, strict=True) if i and s) < COPY * size
-        if told:
-            break
-    if not told:
-        shared = first or [False] * len(lines)
-    inside = main_part(page, shared if told else [False] * len(page))
-    has_main = any(inside)
-    kept = [x for (x, _, frame), i, s in zip(page, inside, shared, strict=True) if not frame and (i or not has_main) and not (s and told)]
+        seen.append(lcs_shared(lines, other))
+        if not has_main or sum(len(x) for x, i, s in zip(lines, inside, seen[-1], strict=True) if i and s) < COPY * size:
+            telling.append(seen[-1])
+    none = [False] * len(lines)
+    shared = (telling or seen or [none])[0]
+    gone = telling[0] if telling else none
+    inside = main_part(page, gone)
+    if any(inside):
+        both = [all(told) for told in zip(*telling, strict=True)] if len(telling) + copied >= 2 and telling else none
+        kept = [x for (x, _, frame), i, s in zip(page, inside, both, strict=True) if not frame and i and not s]
+    else:
+        kept = [x for (x, _, frame), s in zip(page, gone, strict=True) if not frame and not s]
     return kept, sum(shared)
 
 
@@ -298,41 +345,66 @@ def mark(page: list[tuple[str, bool, bool]]) -> bytes | None:
     return blake2b("\n".join(content(page)).encode("utf-8", "surrogatepass"), digest_size=16).digest() if page else None
 
 
-def last_two(pages: Iterable[tuple]) -> tuple[tuple | None, tuple | None]:
-    """Of pages (host, mark, ...) in order: the last one, and the last before it on its host that has another mark."""
-    last = other = None
+def last_two(pages: Iterable[tuple]) -> list[tuple]:
+    """Of pages (host, mark, ...) in order: the last one of the last run of equal marks on the last host, and those of the
+    two runs before it, the last of all at the end."""
+    held: list[tuple] = []
     for page in pages:
-        if last is None or page[0] != last[0]:
-            other = None
-        elif page[1] != last[1]:
-            other = last
-        last = page
-    return last, other
+        if held and page[0] != held[-1][0]:
+            held = []
+        if held and page[1] == held[-1][1]:
+            held[-1] = page
+        else:
+            held = [*held, page][-SIDE:]
+    return held
 
 
-def beyond(ends: list[tuple[tuple | None, tuple | None]]) -> list[list[tuple]]:
-    """Per range, the pages of the ranges before it among which its first pages find their neighbour.
+def beyond(ends: list[list[tuple]]) -> list[list[tuple]]:
+    """Per range, the pages of the ranges before it among which its first pages find their neighbours.
 
     ``ends`` are ``last_two`` of each range in order; those of all ranges up to one follow from them.
     """
-    out, held = [], (None, None)
-    for last, other in ends:
-        out.append([page for page in held if page is not None])
-        if last is not None:
-            before = [page for page in held[::-1] if page is not None and page[0] == last[0]]
-            held = (last, other) if other is not None else last_two([*before, last])
+    out, held = [], []
+    for own in ends:
+        out.append(held)
+        held = last_two([*held, *own])
     return out
 
 
+def with_neighbours(runs: Iterable[list]) -> Iterable[tuple[list, list]]:
+    """Each run of one host with the nearest page of the run before and of the run after it; at either end of the host
+    those of the two nearest runs. At most three runs are held."""
+    past: list = []
+    pending: list[list] = []
+
+    def near() -> list:
+        after = [run[0] for run in pending[1:3]]
+        before = past[::-1]
+        return [before[0], after[0]] if before and after else (before or after)[:2]
+
+    for run in runs:
+        pending.append(run)
+        if len(pending) == (2 if past else 3):
+            yield pending[0], near()
+            past = [*past, pending.pop(0)[-1]][-2:]
+            if len(pending) == 2:
+                yield pending[0], near()
+                past = [*past, pending.pop(0)[-1]][-2:]
+    while pending:
+        yield pending[0], near()
+        past = [*past, pending.pop(0)[-1]][-2:]
+
+
 def extract_main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Per page: url, text (lines of main text joined by two line feeds), n_chars, and n_shared (lines of the neighbour).
 
     A null or empty html gives an empty text. A null url, or one without host, has no neighbours. Ids may be null or
-    repeated and rows keep their multiplicity. Other columns are ignored. Pages are dealt into ranges of the order host,
+    repeated and rows keep their multiplicity; of rows with one id and url but other pages, the same one is always what
+    other ranges see. Other columns are ignored. Pages are dealt into ranges of the order host,
     path, id, so a host, however large, is spread over many. Neighbours are the nearest pages with other content: a run
     of copies is compared with the pages before and after all of it. html is parsed twice, first for marks of content,
     which show the pages of other ranges that a range's first and last pages need, so that neighbours do not depend on
-    the ranges; lines are shuffled once. The driver holds the ranges' borders and four keys of each range, at most
+    the ranges; lines are shuffled once. The driver holds the ranges' borders and six keys of each range, at most
     ``MOST_RANGES``.
     """
     url = F.coalesce(F.col(url_column).cast("string"), F.lit(""))
@@ -363,26 +435,28 @@ def extract_main_text(pages: DataFrame, id_column: str = "page_id", url_column:
     def summarise(batches):
         rows = chain.from_iterable(zip(*(b[k].to_pylist() for k in ("pid", "host", "mark", "id", "url")), strict=True) for b in batches)
         for pid, of_range in groupby(rows, lambda r: r[0]):
-            first, other, back = [], None, (None, None)
+            first, back = [], []
             for row in of_range:
                 row = row[1:]
-                if not first:
+                if not back or (len(first) < SIDE and row[0] == back[-1][0] == first[0][0] and row[1] != back[-1][1]):
                     first.append(row)
-                elif other is None and row[:2] != first[0][:2]:
-                    other = row
-                back = last_two([*(p for p in back[::-1] if p is not None), row])
-            found = [(pid, side, *row) for side, row in enumerate((first[0], other if other and other[0] == first[0][0] else None, *back)) if row is not None]
+                back = last_two([*back, row])
+            found = [(pid, side, *row) for side, row in (*enumerate(first), *enumerate(back, SIDE))]
             yield dict(zip(("pid", "side", "host", "mark", "id", "url"), zip(*found, strict=True), strict=True))
 
     ends: dict[int, list] = {}
     for r in map_rows(marked, summarise, "pid int, side int, host string, mark binary, id bigint, url string", slice_rows=65536).collect():
-        ends.setdefault(r["pid"], [None] * 4)[r["side"]] = (r["host"], bytes(r["mark"]), r["id"], r["url"])
-    pids = sorted(ends)
-    before, after = beyond([(ends[p][2], ends[p][3]) for p in pids]), beyond([(ends[p][0], ends[p][1]) for p in reversed(pids)])[::-1]
+        ends.setdefault(r["pid"], [None] * 2 * SIDE)[r["side"]] = (r["host"], bytes(r["mark"]), r["id"], r["url"])
+    pids, known = sorted(ends), lambda sides: [page for page in sides if page is not None]
+    before = beyond([known(ends[p][SIDE:]) for p in pids])
+    # from the other end a range's first pages are its last
+    after = beyond([known(ends[p][:SIDE])[::-1] for p in reversed(pids)])[::-1]
     ghosts = sorted({(page[2], page[3], pid) for pid, *sides in zip(pids, before, after, strict=True) for page in chain(*sides)}, key=str)
     ghosts = pages.sparkSession.createDataFrame(ghosts, "id bigint, url string, pid int")
     ghosts = keyed.alias("k").join(F.broadcast(ghosts.alias("g")), F.col("k.id").eqNullSafe(F.col("g.id")) & F.col("k.url").eqNullSafe(F.col("g.url")))
-    ghosts = ghosts.select("k.*", "g.pid").dropDuplicates(["id", "url", "pid"]).withColumn("ghost", F.lit(True))
+    # of rows with one id and url the page whose hash, or else text, is least
+    least = F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("html")
+    ghosts = ghosts.select("k.*", "g.pid").groupBy("id", "url", "host", "path", "pid").agg(least).select("id", "url", "html", "host", "path", "pid").withColumn("ghost", F.lit(True))
     every_page = keyed.withColumn("pid", F.lit(None).cast("int")).withColumn("ghost", F.lit(False)).unionByName(ghosts)
 
     def parse(batches):
@@ -407,27 +481,39 @@ def extract_main_text(pages: DataFrame, id_column: str = "page_id", url_column:
         def page_of(row):
             return [(x, m in "13", m in "23") for x, m in zip(row[6].split("\n"), row[7], strict=True)] if row[7] else []
 
-        def done(before, row, after):
-            near = [(r[2], r[6].split("\n")) for r in (before, after) if r is not None and r[:2] == row[:2]]
-            kept, shared = main_lines(page_of(row), row[2], near)
+        def done(row, near, copied=False):
+            kept, shared = main_lines(page_of(row), row[2], [(r[2], r[6].split("\n")) for r in near], copied)
             text = "\n\n".join(kept)
             return row[3], row[4], text, len(text), shared
 
-        def results():
-            before, run, held = None, [], None
-            for row in rows():
-                if not row[7] or not row[1]:
-                    if not row[5]:
-                        yield done(None, row, None)
-                    continue
-                key = (*row[:2], mark(page_of(row)))
+        def runs_of(of_host):
+            run, held = [], None
+            for row in of_host:
+                key = mark(page_of(row))
                 if run and key != held:
-                    yield from (done(before, r, row) for r in run if not r[5])
-                    before, run = run[-1], []
+                    yield run
+                    run = []
                 # copies wait for the next page that differs; they hold their lines once
                 run.append((*row[:6], *run[-1][6:]) if run and run[-1][6:] == row[6:] else row)
                 held = key
-            yield from (done(before, r, None) for r in run if not r[5])
+            yield run
+
+        def results():
+            for (_, host), of_host in groupby(rows(), lambda row: row[:2]):
+                # a page without host or lines has no neighbours and is none
+                alone = lambda row: not row[7] or not row[1]
+                told: list = []
+                pages = (row for row in of_host if not (alone(row) and (row[5] or told.append(row) or True)))
+                if host:
+                    for run, near in with_neighbours(run for run in runs_of(pages) if run):
+                        yield from (done(row, near, len(run) > 1) for row in run if not row[5])
+                        yield from (done(row, []) for row in told)
+                        told.clear()
+                else:
+                    for row in of_host:
+                        if not row[5]:
+                            yield done(row, [])
+                yield from (done(row, []) for row in told)
 
         names = ("id", "url", "text", "n_chars", "n_shared")
         found = results()
