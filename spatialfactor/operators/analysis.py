@@ -112,8 +112,8 @@ def component_correlation(w: DataFrame) -> DataFrame:
     """(k1, k2, r): Pearson correlations of the components' columns."""
     c = merged_moments(w, "obs_id", "w")
     # of complete rows; a component without variance has no correlations
-    own = c.where("k1 = k2").select(F.col("k1").alias("k"), "c")
-    met = c.join(F.broadcast(own.select(F.col("k").alias("k1"), F.col("c").alias("c1"))), "k1").join(F.broadcast(own.select(F.col("k").alias("k2"), F.col("c").alias("c2"))), "k2")
+    own = F.when(F.col("k1") == F.col("k2"), F.col("c"))
+    met = c.withColumn("c1", F.max(own).over(Window.partitionBy("k1"))).withColumn("c2", F.max(own).over(Window.partitionBy("k2")))
     root = F.sqrt("c1") * F.sqrt("c2")
     return met.select("k1", "k2", F.when(root > 0, F.greatest(F.least(F.col("c") / root, F.lit(1.0)), F.lit(-1.0))).alias("r"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
 from .order import quantiles
 
 
@@ -62,6 +63,8 @@ def enrichment_quality(q: DataFrame, dom: DataFrame, n: int = 50, min_ratio: flo
 
 def classify_components(w: DataFrame, obs: DataFrame, threshold: float = 0.3, min_spots: int = 50) -> DataFrame:
     """Activity of components over samples: share active, variation between and within, bimodality, and classes."""
+    # read several times below
+    w = written(w.select("obs_id", "k", "w"), "classified-w")
     p99 = quantiles(w, ["k"], F.col("w"), [0.99]).select("k", F.col("quantile").alias("p99"))
     rows = w.join(F.broadcast(p99), "k").join(obs.select("obs_id", "sample_id"), "obs_id").withColumn("v", F.when(F.col("p99") > 0, F.col("w") / F.col("p99")).otherwise(F.col("w")))
     p95 = quantiles(rows, ["k", "sample_id"], F.col("v"), [0.95]).select("k", "sample_id", F.col("quantile").alias("p95"))
