@@ -42,11 +42,13 @@ WRAPPERS = frozenset("form div section fieldset table tbody tr td center span".s
 #: Words that mark a frame in any name, but where the name's last word is one of the article's own or its first
 #: one says that the page has or lacks such a thing; words that mark one with those too; words of readers' remarks.
 SURE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising promo promotion cookie cookies consent gdpr popup modal newsletter subscribe subscription share sharing social related recommended"
-    " recommendations sidebar menu menus navbar navigation breadcrumb breadcrumbs pagination pager toolbar comment comments disqus reply replies respond".split()
+    "ad ads adv advert adverts advertisement advertising promo promotion cookie cookies consent gdpr popup modal newsletter subscribe subscription share sharing social"
+    " sidebar menu menus navbar navigation breadcrumb breadcrumbs pagination pager toolbar comment comments disqus reply replies respond".split()
 )
 OWN_WORDS = frozenset("article body text title story main entry post paragraph heading headline free".split())
 SAYS_HAS = frozenset("has have with without no not is hide show".split())
+#: Words that mark a frame together with one of those that it then lists.
+NEAR_WORDS, LISTED_WORDS = frozenset("related recommended recommendations".split()), frozenset("posts articles links stories news pages items reading".split())
 PAID_WORDS = frozenset("sponsor sponsored advertorial".split())
 REMARK_WORDS = frozenset("comment comments reply replies respond".split())
 #: Share of a page's text from which on a marked element wraps it; share of the differing text that a main part has at least.
@@ -198,7 +200,7 @@ def marks_frame(token: str) -> bool:
     """Whether a class, id or role names a frame: a sure word does wherever it stands, as in article-ad or share-buttons, but
     for names such as ad-free-article or has-comments; others where all words do, but for fillers such as in site-header."""
     words = [w.lower() for w in WORDS.findall(token)]
-    if not PAID_WORDS.isdisjoint(words):
+    if not PAID_WORDS.isdisjoint(words) or not (NEAR_WORDS.isdisjoint(words) or LISTED_WORDS.isdisjoint(words)):
         return True
     if not SURE_WORDS.isdisjoint(words) and words[-1] not in OWN_WORDS and words[0] not in SAYS_HAS:
         return True
