@@ -414,7 +414,8 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int
     types = "key bigint, x int, y int, id bigint, component bigint, minor boolean, block int, n bigint, digest binary, registers binary"
     # texts go only to groups in which their registers leave a link possible
     met = written(map_rows(met, sifted, types, slice_rows=2048), "across-sifted")
-    with_texts = thinned(texts, met.select("id")).join(met.select("id").distinct(), "id", "left_semi").join(met, "id").select(*columns, "data")
+    # no semi-join here: it would be moved ahead of the maps
+    with_texts = thinned(texts, met.select("id")).join(met, "id").select(*columns, "data")
     with_texts = with_texts.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
 
     def confirmed(batches):
