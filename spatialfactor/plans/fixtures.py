@@ -83,4 +83,7 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not heads:
         return body
-    return f"WITH {heads}, {body[5:]}" if body.startswith("WITH ") else f"WITH {heads} {body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{heads}, {body.removeprefix(start)}"
+    return f"WITH {heads} {body}"
