@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import struct
 import zlib
@@ -14,6 +15,8 @@ from tokenizers import Tokenizer
 
 from spatialfactor.llm import packing, pii, quality_rules, token_counts
 
+from .conftest import prose
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -40,6 +43,38 @@ def test_quality_rules_counts_and_verdicts(spark, documents, rows):
     assert quality_rules.quality_rules(documents.limit(0), labels.limit(0)).count() == 0
 
 
+def plain_score(forest, row):
+    """Mean path of one row, tree by tree, node by node, as a score."""
+    total = 0.0
+    for feature, value, left, length in zip(forest.feature, forest.value, forest.left, forest.length, strict=True):
+        node = 0
+        while feature[node] >= 0:
+            node = left[node] + int(row[feature[node]] >= value[node])
+        total += length[node]
+    return 2.0 ** (-total / len(forest.feature) / forest.expected)
+
+
+def test_the_forest_rejects_what_the_base_rule_keeps(spark):
+    """One row in twenty is odd, labelled or not, passes the base rule and goes by its statistics; ids are all odd numbers."""
+    rng = random.Random(5)
+    odd = lambda: " ".join(w + rng.choice(("###", "$$$", "%%%")) for w in prose(rng, 60).split())
+    rows = [(2 * i + 1, prose(rng, 60) if i % 20 else odd(), 7.0) for i in range(1000)]
+    docs = spark.createDataFrame([*rows, (None, odd(), 7.0), (None, prose(rng, 60), 7.0), rows[20]], "doc_id bigint, text string, score double")
+    labels = spark.createDataFrame([(2 * i + 1, int(i % 20 > 0)) for i in range(1000) if i % 4 < 3], "doc_id bigint, quality int")
+    got = quality_rules.quality_rules(docs, labels).collect()
+    assert len(got) == 1003 and not any(r.base_failed for r in got)
+    good, bad = [r.kept for r in got if r.n_symbols == 0], [r.kept for r in got if r.n_symbols > 0]
+    assert len(bad) == 52 and not any(bad) and sum(good) >= 0.99 * len(good)
+    forest, cut = quality_rules.fit_forest(docs, labels)
+    scores = Counter()
+    for _, text, _ in (*rows[:60], rows[20]):
+        measures = quality_rules.measure(text.encode())[1]
+        scores[round(plain_score(forest, quality_rules.outside(np.asarray(measures), forest.low, forest.high, forest.scale)), 9)] += 1
+    first = {i for i, _, _ in rows[:60]}
+    assert scores == Counter(round(r.anomaly, 9) for r in got if r.doc_id in first) and all(r.kept == (r.anomaly <= cut) for r in got)
+    assert {r.kept for r in quality_rules.quality_rules(docs, labels.limit(0)).collect()} == {True}
+
+
 @pytest.mark.parametrize("text", ["a b c d e f a b c d e", "x\nx\n\n \nx\ty\n", "é é é é é é é é", "#|<a\x0bb\x1cc", "1 2 3 4 5 " * 9])
 def test_quality_counts_of_odd_texts(text):
     counts, _ = quality_rules.measure(text.encode())
