@@ -45,11 +45,11 @@ class TextModel:
     languages: list[str]
     table: np.ndarray
 
-    def likelihoods(self, text: str) -> np.ndarray:
+    def likelihoods(self, text: str, enough: int = ENOUGH) -> np.ndarray:
         grams = trigrams(text)
         if not len(grams):
             return np.zeros(len(self.languages))
-        return self.table[:, grams].sum(axis=1) * TEMPER * min(1.0, ENOUGH / len(grams))
+        return self.table[:, grams].sum(axis=1) * TEMPER * min(1.0, enough / len(grams))
 
 
 def fit_text_model(rows: list[tuple[str, str]]) -> TextModel | None:
@@ -69,12 +69,12 @@ def training_rows(docs: DataFrame, sample: int, longest: int, lang_column: str =
     return [(r["lang"], r["text"]) for r in text_sample(some, sample)]
 
 
-def identify_languages(pages: DataFrame, model: TextModel | None, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
+def identify_languages(pages: DataFrame, model: TextModel | None, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", enough: int = ENOUGH) -> DataFrame:
     """Per page: url, lang, confidence (its posterior), text_lang (by text alone), declared, suffix.
 
     A null or empty html has even likelihoods, so host, declaration and suffix decide; a null url, or one without host,
     has an empty host and suffix and shares them with the other such pages. Without a model lang is null. All trigrams of
-    a text are read; beyond ``ENOUGH`` of them the sum is scaled down to that many, so that a long text's likelihoods do
+    a text are read; beyond ``enough`` of them the sum is scaled down to that many, so that a long text's likelihoods do
     not silence the other evidence. Ids may be
     null or repeated and rows keep their multiplicity; other columns are ignored. Pages are parsed once into narrow rows
     in the shared folder; sums by host, domain, suffix and declaration are combined before they are shuffled.
@@ -94,7 +94,7 @@ def identify_languages(pages: DataFrame, model: TextModel | None, id_column: str
                 lines = blocks(html)
                 main = [x for x, is_main, frame in lines if is_main and not frame] or [x for x, _, frame in lines if not frame]
                 texts.append(" ".join(main))
-            scores = [model.likelihoods(t) if model else np.zeros(1) for t in texts]
+            scores = [model.likelihoods(t, enough) if model else np.zeros(1) for t in texts]
             yield {**{k: batch[k] for k in ("id", "url", "host")}, "declared": declared, "scores": [s - s.max() for s in scores]}
 
     narrow = map_rows(keyed, read, "id bigint, url string, host string, declared string, scores array<double>", slice_rows=128)
@@ -150,6 +150,6 @@ def identify_languages(pages: DataFrame, model: TextModel | None, id_column: str
     )
 
 
-def language_id(pages: DataFrame, docs: DataFrame, sample: int = 4000, longest: int = 10_000) -> DataFrame:
+def language_id(pages: DataFrame, docs: DataFrame, sample: int = 4000, longest: int = 10_000, enough: int = ENOUGH) -> DataFrame:
     """Fit the text model on labelled documents, fuse the evidence of all pages."""
-    return identify_languages(pages, fit_text_model(training_rows(docs, sample, longest)))
+    return identify_languages(pages, fit_text_model(training_rows(docs, sample, longest)), enough=enough)

@@ -500,3 +500,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     out = sketches.select("id", "n", "digest").join(found, "digest", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def near_duplicates_sql(width: int, percent: int) -> str:
+    """The rows of ``near_duplicates`` over ``documents`` whose ids are neither null nor repeated, as DuckDB SQL."""
+    shingle = " || ' ' || ".join(f"ws[i + {n}]" for n in range(width))
+    return rf"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+each AS (SELECT doc_id, unnest(CASE WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - {width - 2}), lambda i: {shingle}) END) AS shingle FROM words WHERE len(ws) > 0),
+sets AS (SELECT DISTINCT doc_id, shingle FROM each),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= {percent} * (x.n + y.n - shared)),
+reached AS (SELECT doc_id AS id, doc_id AS component FROM documents UNION SELECT links.b, component FROM reached JOIN links ON reached.id = links.a),
+least AS (SELECT id, min(component) AS component FROM reached GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component AS component_id, component = d.doc_id AS kept FROM least LEFT JOIN sizes ON sizes.doc_id = least.id JOIN documents d ON d.doc_id = least.id"""

@@ -88,4 +88,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_importance": op13_importance,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_top_k": topk.ORACLE, "op9_mixing": mixing.ORACLE, "op12_url_filter": url_filter.judge_sql(URL_RULES)}
+ORACLE_SQL: dict[str, str] = {"op4_top_k": topk.ORACLE, "op9_mixing": mixing.ORACLE, "op10_near_dedup": near_dedup.near_duplicates_sql(width=3, percent=85), "op12_url_filter": url_filter.judge_sql(URL_RULES)}

@@ -268,7 +268,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 1000, longe
     Only the text enters the score. A null text is empty, and a text without letters has no windows. Ids may be null
     (not held out) or repeated and rows keep their multiplicity; other columns are ignored. Without labelled rows of both
     kinds to learn from, every score is 0. The model is fitted on at most ``sample`` toxic and 4 times as
-    many ordinary rows of at most ``longest`` characters; whole texts of any length are scored. No shuffle of documents.
+    many ordinary rows of at most ``longest`` characters, which bounds the dictionaries too: the ordinary one holds
+    ``ORDINARY_SIZE`` bytes trained on passages and the windows moved to it, the toxic one ``TOXIC_SIZE`` bytes, the most
+    frequent windows where there are more. Whole texts of any length are scored. No shuffle of documents.
     """
     score = fitted(labelled_rows(docs, labels, sample, longest, id_column, text_column))
 

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -71,6 +72,17 @@ def test_near_duplicates_of_documents(documents, rows):
     assert near_dedup.near_duplicates(documents.limit(0), width=3, percent=85).count() == 0
 
 
+def test_near_duplicates_of_distinct_ids_in_sql(spark, documents):
+    """The SQL of the query gives the same rows where ids are neither null nor repeated, with other words a shingle too."""
+    distinct = documents.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    with duckdb.connect() as db:
+        db.register("documents", distinct.toPandas())
+        for width, percent in ((3, 85), (5, 80), (1, 50)):
+            want = db.sql(near_dedup.near_duplicates_sql(width, percent)).fetchall()
+            got = near_dedup.near_duplicates(distinct, width, percent).select("doc_id", "n_shingles", "component_id", "kept").collect()
+            assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_near_duplicates_in_chains_and_crowds(spark):
     """Texts that drift step by step link only to their neighbours; a crowd around the threshold links in part."""
     rng, rows, key = random.Random(5), [], 0
@@ -237,6 +249,63 @@ def test_languages_fuse_evidence(spark):
     assert language_id.language_id(table.limit(0), docs).count() == 0
 
 
+def plain_fusion(pages, model, enough):
+    """(lang, posterior, language by text) of each page (host, html): sums of the other pages, level by level."""
+    size, smooth = len(model.languages), language_id.SMOOTH
+    found = []
+    for host, html in pages:
+        lines = html_extract.blocks(html or "")
+        main = [x for x, is_main, frame in lines if is_main and not frame] or [x for x, _, frame in lines if not frame]
+        grams = language_id.trigrams(" ".join(main))
+        z = np.zeros(size)
+        for g in grams:
+            z += model.table[:, g] * language_id.TEMPER * min(1.0, enough / len(grams))
+        z -= z.max()
+        said = re.search(r'<html lang="(\w+)"', html or "")
+        parts = host.split(".")
+        found.append((z, np.exp(z) / np.exp(z).sum(), {"h": host, "d": ".".join(parts[-3:]), "s": parts[-1], "m": said[1] if said else ""}))
+    everything = sum(share for _, share, _ in found)
+    base = (everything + 1) / (everything.sum() + size)
+    out = []
+    for at, (z, share, keys) in enumerate(found):
+        others = {k: sum((other for n, (_, other, theirs) in enumerate(found) if n != at and theirs[k] == keys[k]), np.zeros(size)) for k in keys}
+        prior = base
+        for level in "sdh":
+            prior = (others[level] + smooth * prior) / (others[level].sum() + smooth)
+        total = z + np.log(prior)
+        if keys["m"]:
+            total = total + np.log((others["m"] + smooth * base) / (others["m"].sum() + smooth)) - np.log(base)
+        posterior = np.exp(total - total.max())
+        out.append((model.languages[int(np.argmax(total))], 1.0 / posterior.sum(), model.languages[int(np.argmax(share))]))
+    return out
+
+
+@pytest.mark.parametrize("enough", [300, 20, 10**9])
+def test_languages_against_a_plain_fusion(spark, enough):
+    """Null and repeated ids, repeated rows, no host, no text, no declaration, a wrong one, ties, a very long page."""
+    rng = random.Random(21)
+    words = {"xx": ("zor", "vek", "plin"), "yy": ("aou", "eia", "oio"), "zz": ("zor", "eia", "tam")}
+    text = lambda lang, n: " ".join("".join(rng.choice(words[lang]) for _ in range(3)) for _ in range(n))
+    docs = [(lang, text(lang, 40)) for lang in words for _ in range(8)]
+    page = lambda lang, said, n: f'<html lang="{said}"><body><p>{text(lang, n)}</p>' if said else f"<html><body><p>{text(lang, n)}</p>"
+    hosts = ["a.one.example", "b.one.example", "c.two.example", "a.one.test", "lone.test", ""]
+    table = [(i, rng.choice(hosts), page(rng.choice("xx yy zz".split()), rng.choice(("xx", "yy", "zz", "")), rng.choice((0, 1, 2, 30)))) for i in range(60)]
+    table += [(None, "a.one.example", page("xx", "yy", 3)), (7, "c.two.example", page("yy", "", 1)), table[3], table[3], (61, "lone.test", page("zz", "zz", 30_000)), (62, "", None), (63, "", "")]
+    rows = [(i, f"http://{host.upper()}/p" if host else None, html, "x", 0.5, "y") for i, host, html in table]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string, t0 double, suffix string")
+    got = language_id.language_id(frame, spark.createDataFrame(docs, "lang string, text string"), enough=enough).collect()
+    want = plain_fusion([(host, html) for _, host, html in table], language_id.fit_text_model(docs), enough)
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[4])
+    found = sorted(((r.page_id, r.url, r.lang, r.text_lang, round(r.confidence, 7)) for r in got), key=order)
+    expected = sorted(((i, url, lang, by_text, round(sure, 7)) for (i, url, *_), (lang, sure, by_text) in zip(rows, want, strict=True)), key=order)
+    assert len(found) == len(expected)
+    for a, b in zip(found, expected, strict=True):
+        assert a[:2] == b[:2] and abs(a[4] - b[4]) < 1e-6
+        # languages of equal posterior may change places by rounding
+        assert a[2:4] == b[2:4] or a[4] < 0.5
+    assert any(r.lang != r.text_lang for r in got)
+
+
 def test_toxicity_on_held_out_rows(spark, documents):
     rng, rows, labels = random.Random(9), [], []
     for i in range(700):
