@@ -13,20 +13,27 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_right
 from collections import deque
+from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, written
+from .common import BATCH_ROWS, map_rows, written
 
-#: A chunk that is a word and ASCII marks after it: letters of U+00C0 to U+024F have one form each and lower one by one.
-PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
-#: Entries of each table of chunks or words that a worker remembers; there are two generations, the older one goes.
-REMEMBERED = 200_000
+#: Letters of U+00C0 to U+024F have one form each and lower one by one; ASCII marks but the apostrophe end a word.
+LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: Entries of a table of chunks or words that a worker remembers, and of the encoder's; there are two generations, the older one goes.
+REMEMBERED, REMEMBERED_CHUNKS = 200_000, 300_000
+#: Bytes of text that are taken apart at once; a longer text is taken alone.
+SLICE_BYTES = 1 << 22
 #: Pieces of one length whose order is settled in one window.
 CELL_ROWS = 1_000
 
@@ -125,13 +132,15 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, as the vocabulary's library gives them.
 
     The library drops white space and cuts texts there and between letters and marks, so a text is put together from its
-    chunks, and a chunk that is a word and marks from the two. Chunks and words seen before are looked up; new words go
-    to the library in one call, whose ids are cut after each token that ends a word.
+    chunks, and a chunk that is a word and marks from the two. Arrow cuts a slice of texts into chunks and finds the
+    different ones. Chunks and words seen before are looked up; new words go to the library's model in one call, past its
+    normalizers, which leave lower-case letters of one form as they are, and its ids are cut after each token that ends a
+    word. What else is new goes through the whole library.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -139,39 +148,81 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.chunks, self.words = Remembered(), Remembered()
+        # the model's alphabet stands for bytes; ASCII letters stand for themselves
+        self.ascii, self.latin = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+        spaces = pre_tokenizers.WhitespaceSplit()
+        self.ascii.pre_tokenizer = spaces
+        self.latin.pre_tokenizer = pre_tokenizers.Sequence([spaces, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.chunks = Remembered(REMEMBERED_CHUNKS)
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[bytes], model) -> None:
         """Ids of lower-case words of letters."""
-        ids = self.ids([" ".join(words)])[0]
+        got = model.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids
+        ids = np.asarray(got, dtype="<u4")
         after = np.flatnonzero(self.ends[ids]) + 1
-        cut = np.split(ids, after[:-1]) if len(after) == len(words) and (not len(ids) or after[-1] == len(ids)) else self.ids(words)
-        for word, part in zip(words, cut, strict=True):
-            self.words.put(word, part.tobytes())
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = [t.split() for t in texts]  # bytes split at the ASCII separators only
+        if len(after) == len(words) and after[-1] == len(ids):
+            data, ends = ids.tobytes(), (4 * after).tolist()
+            self.chunks.new.update(zip(words, (data[a:b] for a, b in pairwise([0, *ends])), strict=True))
+        else:
+            self.chunks.new.update(zip(words, self.ids([w.decode() for w in words]), strict=True))
+
+    def look_up(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of different chunks."""
         self.chunks.tidy()
-        self.words.tidy()
         known, get = self.chunks.new, self.chunks.get
-        missing = {c: c.decode("utf-8", "replace") for c in set(chain.from_iterable(cut)).difference(known) if get(c) is None}
-        plain = {c: (m[1].lower(), m[2]) for c, text in missing.items() if (m := PLAIN.fullmatch(text))}
-        parts = {w for pair in plain.values() for w in pair if w}
-        new = [w for w in parts if self.words.get(w) is None]
-        if letters := [w for w in new if w[0].isalpha()]:
-            self.learn(letters)
-        marks = [w for w in new if not w[0].isalpha()]
-        for w, got in zip(marks, self.ids(marks), strict=True):
-            self.words.put(w, got.tobytes())
-        for c, (word, rest) in plain.items():
-            known[c] = self.words.new[word] + self.words.new[rest] if rest else self.words.new[word]
-        other = [c for c in missing if c not in plain]
-        for c, got in zip(other, self.ids([missing[c] for c in other]), strict=True):
-            known[c] = got.tobytes()
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+        cut, other = [], []
+        ascii_words, latin_words, marks = set(), set(), set()
+        for c in [c for c in chunks if c not in known and get(c) is None]:
+            if c.isalpha():  # of bytes: ASCII letters only
+                word, rest = c.lower(), b""
+            else:
+                word = c.rstrip(MARKS)
+                rest = c[len(word) :]
+                if word.isalpha():
+                    word = word.lower()
+                elif word.isascii() or not LATIN.fullmatch(text := word.decode("utf-8", "replace")):
+                    other.append(c)
+                    continue
+                else:
+                    word = text.lower().encode()
+            if get(word) is None:
+                (ascii_words if word.isascii() else latin_words).add(word)
+            if rest and get(rest) is None:
+                marks.add(rest)
+            if rest or word != c:
+                cut.append((c, word, rest))
+        for words, model in ((ascii_words, self.ascii), (latin_words, self.latin)):
+            if words:
+                self.learn(list(words), model)
+        whole = [*marks, *other]
+        known.update(zip(whole, self.ids([c.decode("utf-8", "replace") for c in whole]), strict=True))
+        for c, word, rest in cut:
+            known[c] = known[word] + known[rest] if rest else known[word]
+        return list(map(known.__getitem__, chunks))
+
+    def encode(self, data: pa.Array) -> Iterator[bytes]:
+        """Ids of each text in UTF-8; a null text is empty."""
+        before = [0, *np.cumsum(pc.fill_null(pc.binary_length(data), 0).to_numpy(), dtype=np.int64).tolist()]
+        at = 0
+        while at < len(data):
+            upto = max(at + 1, bisect_right(before, before[at] + SLICE_BYTES) - 1)
+            yield from self.encode_slice([t or b"" for t in data.slice(at, upto - at).to_pylist()])
+            at = upto
+
+    def encode_slice(self, texts: list[bytes]) -> list[bytes]:
+        # lowering ASCII first is what the library does later, but for marks that join a capital (U+0300 to U+033F begin
+        # with this byte) and special tokens
+        texts = [t if b"\xcc" in t or b"<|" in t else t.lower() for t in texts]
+        # Arrow's ASCII white space is that of bytes.split; nothing looks at the bytes as characters
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        bounds = cut.offsets.to_pylist()
+        found = cut.values.dictionary_encode()
+        pick = self.look_up(found.dictionary.view(pa.large_binary()).to_pylist()).__getitem__
+        at = found.indices.to_numpy()
+        return [b"".join(map(pick, at[a:b].tolist())) for a, b in pairwise(bounds)]
 
 
 @cache
@@ -186,8 +237,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: i
         coder, end = encoder(vocabulary), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("id", "piece", "start", "length", "ids_crc32")}
-            encoded = coder.encode([d or b"" for d in batch["data"].to_pylist()])
-            for key, ids in zip(batch["id"].to_pylist(), encoded, strict=True):
+            for key, ids in zip(batch["id"].to_pylist(), coder.encode(batch["data"]), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
@@ -196,7 +246,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: i
             yield out
 
     slim = docs.selectExpr(f"CAST(`{id_column}` AS BIGINT) AS id", f"CAST(`{text_column}` AS BINARY) AS data")
-    return map_rows(slim, rows, "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return map_rows(slim, rows, "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint", slice_rows=BATCH_ROWS)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

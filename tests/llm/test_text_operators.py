@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -145,6 +146,24 @@ def test_packing_whole_documents(documents, rows):
     assert packing.pack_documents(documents.limit(0), path).count() == 0
 
 
+def test_ids_of_odd_texts_are_the_library_s(monkeypatch):
+    """Odd texts in small slices with a small table give the library's ids; plain words don't go through all of it."""
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    library = Tokenizer.from_file(path)
+    odd = [*"aBcIJTHé ÉßǅİıKſΣς,.'!?-_<|>\t\n\x0b\x0c\x1c\x85\xa0\u2028 03٣ⅷ\u0331\u030c\u0307\u0308\u030aẞ\u212aÅ中\U0001f600\u200b×ǰẖ\ud7ff", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "The", "ÀB"]
+    texts = [None, "", " ", "J\u030c T\u0308", *("".join(rng.choice(odd) for _ in range(rng.randint(0, 40))) for _ in range(3000)), None]
+    monkeypatch.setattr(packing, "SLICE_BYTES", 60)
+    coder = packing.Encoder(path)
+    coder.chunks.most = 30
+    got = list(coder.encode(pa.array([None if t is None else t.encode() for t in texts], pa.binary())))
+    assert got == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in library.encode_batch(["" if t is None else t for t in texts], add_special_tokens=False)]
+    asked = []
+    monkeypatch.setattr(coder, "ids", lambda texts, ids=coder.ids: asked.extend(texts) or ids(texts))
+    text = " ".join(w.title() + rng.choice(("", ",", ".", "é")) for w in prose(rng, 500).split())
+    assert [len(x) // 4 for x in coder.encode(pa.array([text.encode()] * 3, pa.binary()))] == 3 * [len(library.encode(text, add_special_tokens=False).ids)]
+    assert not set(asked) - {",", "."}
+
+
 def plain_spans(text):
     patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
     out = []
