@@ -15,6 +15,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from spatialfactor.llm import packing, pii, quality_rules, token_counts
+from spatialfactor.operators import order
 
 from .conftest import prose
 
@@ -93,6 +94,29 @@ def test_forest_sets_outliers_apart():
     assert (score[y[1::2]] <= cut).mean() >= 0.99 and (score[~y[1::2]] > cut).mean() > 0.95
 
 
+def test_ranges_draws_and_threshold_come_from_all_labelled_rows(spark, monkeypatch):
+    """9,000 labelled rows against NumPy over all of them; exact quantiles also where a group is too large for a task."""
+    monkeypatch.setattr(order, "SMALL", 3000)
+    monkeypatch.setattr(order, "SETTLED", 500)
+    rng = random.Random(7)
+    word = lambda: rng.choice("abcdefgh") * rng.randint(1, 9)
+    rows = [(i * 7919 % 9001 - 50, " ".join(word() + "#" * (i % 9 == 0) * rng.randint(0, 2) for _ in range(rng.randint(10, 30))), int(i % 9 > 0 or i % 5 == 0)) for i in range(9000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string, quality int").repartition(5), spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id bigint, quality int")
+    forest, cut = quality_rules.fit_forest(docs, labels, most_lost=0.05)
+    rows.sort()
+    measures, good = np.asarray([quality_rules.measure(t.encode())[1] for _, t, _ in rows]), np.asarray([q == 1 for _, _, q in rows])
+    grown = np.where(good, np.cumsum(good), np.cumsum(~good)) % 2 == 1
+    low, high, scale = quality_rules.ranges(*np.quantile(measures[grown & good], quality_rules.RANGE, axis=0), 0.5)
+    for got, want in ((forest.low, low), (forest.high, high), (forest.scale, scale)):
+        np.testing.assert_allclose(got, want, rtol=1e-12, atol=1e-12)
+    assert cut == pytest.approx(quality_rules.settle_threshold(forest.score(measures[~grown]), good[~grown], 0.05), rel=1e-12) and cut < 1
+    # the draws are of these rows too: a forest of all of them at hand is the same one
+    x = np.vstack((measures[grown & good], measures[grown & ~good]))
+    plain = quality_rules.grow_forest(x, np.arange(len(x)) < (grown & good).sum())
+    np.testing.assert_allclose(plain.value, forest.value, rtol=1e-9, atol=1e-9)
+    assert (plain.feature == forest.feature).all() and (plain.left == forest.left).all()
+
+
 def plain_best_fit(lengths, capacity):
     bins = []
     for n in sorted(lengths, reverse=True):
