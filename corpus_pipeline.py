@@ -31,7 +31,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = near_dedup.near_duplicates(docs, width=5, percent=80)
     gone = found.groupBy("doc_id").agg(F.bool_or("kept").alias("stays")).where("NOT stays").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return near_dedup.without(docs, written(gone, "near-duplicates"), "doc_id")
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -255,17 +255,32 @@ def _banded(classes: DataFrame, rows_per_band: int) -> DataFrame:
     return map_rows(classes.select("id", "registers"), rows, "key bigint, id bigint", slice_rows=2048)
 
 
-def thinned(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id may be among ``ids`` (id), and few others: a filter ahead of a join that shuffles them.
+def marked(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows with ``map_met``: true where their ``key`` may be among ``ids`` (id), false or null where it is not.
 
     Ids set bits by hash in maps of ``BITS`` together, a fixed size, which go to all tasks. Where ids are so many that most
-    bits are set, rows stay and the join does what it would have done.
+    bits are set, nearly all rows are met and a join does what it would have done.
     """
-    spot = F.pmod(F.xxhash64("id"), F.lit(BITS)) + 1
-    maps = ids.select(spot.alias("spot")).groupBy(F.expr("bitmap_bucket_number(spot)").alias("map_no")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(spot))").alias("map_bits"))
-    met = rows.withColumn("map_spot", spot).withColumn("map_no", F.expr("bitmap_bucket_number(map_spot)")).join(F.broadcast(maps), "map_no")
+    spot = lambda k: F.pmod(F.xxhash64(F.col(k).cast("bigint")), F.lit(BITS)) + 1
+    maps = ids.select(spot("id").alias("spot")).groupBy(F.expr("bitmap_bucket_number(spot)").alias("map_no")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(spot))").alias("map_bits"))
+    met = rows.withColumn("map_spot", spot(key)).withColumn("map_no", F.expr("bitmap_bucket_number(map_spot)")).join(F.broadcast(maps), "map_no", "left")
     bit = F.expr("getbit(cast(conv(hex(substring(map_bits, cast(bitmap_bit_position(map_spot) div 8 as int) + 1, 1)), 16, 10) as bigint), cast(bitmap_bit_position(map_spot) % 8 as int))")
-    return met.where(bit == 1).select(rows.columns)
+    return met.select(*rows.columns, (bit == 1).alias("map_met"))
+
+
+def thinned(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id may be among ``ids`` (id), and few others: a filter ahead of a join that shuffles them."""
+    return marked(rows, ids).where("map_met").select(rows.columns)
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows whose ``key`` is not among ``ids`` (key), as often as they stand; rows without key stay.
+
+    Only rows whose key may be among them are shuffled for the join that settles it; the others stay where they are read.
+    """
+    told = marked(rows, ids.select(F.col(key).alias("id")), key)
+    doubtful = told.where("map_met").select(rows.columns).join(ids.select(key), key, "left_anti")
+    return told.where("NOT coalesce(map_met, false)").select(rows.columns).unionByName(doubtful.select(rows.columns))
 
 
 def _roughly(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -423,11 +438,11 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int
             group = list({(r[3], r[6], r[5]): r for r in group if _is_text(r[10], r[8], width)}.values())
             if not group:
                 continue
-            sets: dict[int, frozenset[int]] = {}
+            sets: dict[int, np.ndarray] = {}
 
-            def set_of(i: int) -> frozenset[int]:
+            def set_of(i: int) -> np.ndarray:
                 if i not in sets:
-                    sets[i] = frozenset(shingle_sets([group[i][10]], width)[0].tolist())  # noqa: B023
+                    sets[i] = shingle_sets([group[i][10]], width)[0]  # noqa: B023
                 return sets[i]
 
             comps = np.asarray([r[4] for r in group], dtype=np.int64)
@@ -435,7 +450,7 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int
             for i, others in partners(group):
                 for o in others.tolist():
                     # members that earlier links of this group have joined need no more of them
-                    if comps[o] != comps[i] and enough(len(set_of(i) & set_of(o)), group[i][7], group[o][7], percent):
+                    if comps[o] != comps[i] and linked(set_of(i), set_of(o), percent):
                         a.append(min(group[i][3], group[o][3]))
                         b.append(max(group[i][3], group[o][3]))
                         comps[comps == comps[o]] = comps[i]

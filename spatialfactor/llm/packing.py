@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, map_rows, written
+from .common import BATCH_ROWS, kept_by_worker, map_rows, written
 
 #: Letters of U+00C0 to U+024F have one form each and lower one by one; ASCII marks but the apostrophe end a word.
 LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
@@ -230,6 +230,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@kept_by_worker
+def forget() -> None:
+    encoder.cache_clear()
+
+
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per piece of a document: piece, start, length, ids_crc32. A null text is empty and gives the end id alone."""
 

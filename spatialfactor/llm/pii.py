@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, map_rows, text_sample
+from .common import ddl, kept_by_worker, map_rows, text_sample
 
 #: The kinds, in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -307,6 +307,12 @@ _decoded: dict[tuple[str, str], list[tuple[int, int, int, float]]] = {}
 _decoded_by: list[int] = []
 
 
+@kept_by_worker
+def forget() -> None:
+    _decoded.clear()
+    _decoded_by.clear()
+
+
 def decoded(field: Field, island: str, before: str) -> list[tuple[int, int, int, float]]:
     """The island's entities; islands that come again are decoded once."""
     key = hash(field.weights.tobytes())

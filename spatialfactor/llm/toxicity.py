@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, map_rows
+from .common import ddl, kept_by_worker, map_rows
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Letters of a window at most; longer words are cut into windows that overlap by half.
@@ -96,6 +96,13 @@ _known: dict[str, float] = {}
 _known_of: list[int] = []
 
 
+@kept_by_worker
+def forget() -> None:
+    compressor.cache_clear()
+    _known.clear()
+    _known_of.clear()
+
+
 @dataclass
 class Model:
     ordinary: bytes

@@ -9,9 +9,10 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 
-from spatialfactor.llm import html_extract, language_id, mixing, near_dedup, topk, toxicity
+from spatialfactor.llm import common, html_extract, language_id, mixing, near_dedup, packing, topk, toxicity
 
 from .conftest import prose
 
@@ -407,6 +408,35 @@ def test_pipeline_stages(spark, documents, tmp_path):
         assert stage(spark, table.limit(0), str(tmp_path)).count() == 0
 
 
+def test_rows_without_ids_are_those_of_an_anti_join(spark):
+    """Null and repeated keys, ids that share a bit with others, and rows whose own id column is another one."""
+    keys = [None, None, 7, 7, *range(2000)]
+    rows = spark.createDataFrame([(k, f"i{k}", f"t{k}") for k in keys], "doc_id bigint, id string, text string")
+    gone = spark.createDataFrame([(k,) for k in (7, 11, 5000, *range(100, 200))], "doc_id bigint")
+    for bits in (near_dedup.BITS, 1 << 15):
+        before, near_dedup.BITS = near_dedup.BITS, bits
+        try:
+            got = near_dedup.without(rows, gone, "doc_id")
+            assert got.columns == rows.columns
+            assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(gone, "doc_id", "left_anti").select(rows.columns).collect()))
+        finally:
+            near_dedup.BITS = before
+    assert near_dedup.without(rows, gone.limit(0), "doc_id").count() == len(keys)
+
+
+def test_a_worker_drops_what_another_operator_kept(spark, documents):
+    """Workers live on from stage to stage: their tables and freed memory are not carried into the next operator."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def held(batches):
+        for batch in batches:
+            yield {"n": [packing.encoder.cache_info().currsize] * len(batch["id"])}
+
+    numbers = spark.range(64).repartition(16)
+    packing.cut_pieces(documents.repartition(8), path).write.format("noop").mode("overwrite").save()
+    assert {r["n"] for r in common.map_rows(numbers, held, "n bigint").collect()} == {0}
+
+
 def test_thinned_rows_hold_all_that_a_join_needs(spark):
     from spatialfactor.llm import near_dedup
 
