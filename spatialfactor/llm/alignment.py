@@ -11,21 +11,25 @@ from __future__ import annotations
 
 import re
 from functools import cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, written
+from .common import kept_by_worker, map_rows, written
 from .packing import Remembered
 
 #: A pair with at least this share of all links goes to all tasks; so there are at most as many as the inverse.
 HEAVY = 65_536
 #: Bytes of texts that are encoded and aligned at once.
-PORTION = 1 << 20
+PORTION = 1 << 22
 #: A space before which both encodings end a token: it stands alone between marks, digits or letters up to U+024F.
 BORDER = re.compile("(?<=[!-~\u00c0-\u024f]) (?=[!-~\u00c0-\u024f])")
+#: A part that stands between such spaces whatever comes before and after it.
+PLAIN = re.compile("[!-~\u00c0-\u024f]+")
+#: Parts that are encoded as one text.
+TOGETHER = 512
 #: Characters of the longest part that is remembered.
 LONGEST = 64
 GROUP_SCHEMA = "id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, pairs array<bigint>, times array<bigint>"
@@ -50,7 +54,8 @@ def union_find(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of tokens that share bytes, of two encodings of the same bytes given by where their tokens end."""
-    cuts = np.union1d(ends_a, ends_b)
+    cuts = np.sort(np.concatenate((ends_a, ends_b)), kind="stable")
+    cuts = cuts[np.append(cuts[1:] != cuts[:-1], True)] if len(cuts) else cuts
     return np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
 
 
@@ -61,7 +66,7 @@ def aligned(ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np
     """
     left, right = overlaps(ends_a, ends_b)
     root = union_find(len(ids_a) + len(ids_b), left, right + len(ids_a))
-    group = np.unique(root, return_inverse=True)[1]
+    group = (np.cumsum(root == np.arange(len(root))) - 1)[root]
     group_a, group_b = group[: len(ids_a)], group[len(ids_a) :]
     at = np.minimum(np.searchsorted(ends_b, ends_a), max(len(ends_b) - 1, 0))
     met = np.flatnonzero((ends_b[at] == ends_a) & (group_b[at] == group_a)) if len(ends_b) else np.empty(0, dtype=np.int64)
@@ -122,6 +127,18 @@ def written_ids(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray([len(b) for b in known], dtype=np.int64), texts
 
 
+@cache
+def remembered(path_a: str, path_b: str) -> Remembered:
+    """What parts come to, kept by the worker from task to task."""
+    return Remembered()
+
+
+@kept_by_worker
+def forget() -> None:
+    for held in (coder, written_ids, remembered):
+        held.cache_clear()
+
+
 @cache
 def parts_stand_alone(path: str) -> bool:
     """Whether no piece of a sentencepiece model goes on with a space after another character: then no token crosses a
@@ -129,25 +146,62 @@ def parts_stand_alone(path: str) -> bool:
     return all("▁" not in p.lstrip("▁") for p in map(coder(path).inner.id_to_piece, range(len(coder(path).bytes))))
 
 
+def given_back(parts: list[str], plain: int, path_a: str, path_b: str) -> tuple[np.ndarray, ...]:
+    """(ids_a, ids_b, n_a, n_b) of parts, one after another; a part that an encoding doesn't give back has none.
+
+    The first ``plain`` parts are plain. They are encoded together with single spaces between them, where both encodings end a token. Where these parts
+    are not given back, or a token goes over such a border, and with all other parts, each is encoded alone.
+    """
+    a, b = coder(path_a), coder(path_b)
+    size_a, size_b = written_ids(path_a)[0], written_ids(path_b)[0]
+    held: list[tuple[list[int], list[int]]] = []
+    counts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def whole(data: bytes, ids_a: list[int], ids_b: list[int]) -> bool:
+        return b"".join(map(a.bytes.__getitem__, ids_a)) == data and b"".join(map(b.bytes.__getitem__, ids_b)) == data
+
+    def alone(few: list[str]) -> None:
+        for text, ids_a, ids_b in zip(few, a.encode(few), b.encode(few), strict=True):
+            good = whole(b" " + text.encode(), ids_a, ids_b)
+            held.append((ids_a, ids_b) if good else ([], []))
+            counts.append((np.asarray([len(held[-1][0])]), np.asarray([len(held[-1][1])])))
+
+    plain = plain if parts_stand_alone(path_b) else 0
+    runs = [parts[i : min(i + TOGETHER, plain)] for i in range(0, plain, TOGETHER)]
+    texts = [" ".join(run) for run in runs]
+    for run, text, ids_a, ids_b in zip(runs, texts, a.encode(texts), b.encode(texts), strict=True):
+        if whole(b" " + text.encode(), ids_a, ids_b):
+            ends = np.cumsum([len(p.encode()) + 1 for p in run])
+            ends_a, ends_b = np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b])
+            upto_a, upto_b = np.searchsorted(ends_a, ends, side="right"), np.searchsorted(ends_b, ends, side="right")
+            if (ends_a[upto_a - 1] == ends).all() and (ends_b[upto_b - 1] == ends).all():
+                held.append((ids_a, ids_b))
+                counts.append((np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)))
+                continue
+        alone(run)
+    alone(parts[plain:])
+    ids_a, ids_b = (np.fromiter(chain.from_iterable(ids), dtype=np.int64) for ids in zip(*held, strict=True))
+    n_a, n_b = (np.concatenate(n) for n in zip(*counts, strict=True))
+    return ids_a, ids_b, n_a, n_b
+
+
 def align_parts(parts: list[str], path_a: str, path_b: str) -> list[tuple]:
     """(n_a, n_b, n_groups, groups, pairs of the links) of each part; zeros where an encoding doesn't give the bytes back.
 
-    ``groups`` reads ``a1,a2|b1;a3|b2,b3``; a pair is a * 2^32 + b.
+    ``groups`` reads ``a1,a2|b1;a3|b2,b3``; a pair is a * 2^32 + b, as 8 bytes.
     """
-    a, b = coder(path_a), coder(path_b)
+    out: list[tuple] = [(0, 0, 0, "", b"")] * len(parts)
+    if not parts:
+        return out
     (size_a, text_a), (size_b, text_b) = written_ids(path_a), written_ids(path_b)
-    out: list[tuple] = [(0, 0, 0, "", [])] * len(parts)
-    whole, held_a, held_b = [], [], []
-    for at, (text, ids_a, ids_b) in enumerate(zip(parts, a.encode(parts), b.encode(parts), strict=True)):
-        data = b" " + text.encode()
-        if b"".join([a.bytes[i] for i in ids_a]) == data and b"".join([b.bytes[i] for i in ids_b]) == data:
-            whole.append(at)
-            held_a.append(ids_a)
-            held_b.append(ids_b)
-    if not whole:
+    other = np.asarray([PLAIN.fullmatch(p) is None for p in parts])
+    places = np.argsort(other, kind="stable")
+    ids_a, ids_b, n_a, n_b = given_back([parts[i] for i in places.tolist()], len(parts) - int(other.sum()), path_a, path_b)
+    if not len(ids_a):
         return out
+    whole = np.flatnonzero(n_a)
+    places, n_a, n_b = places[whole].tolist(), n_a[whole], n_b[whole]
     # one after another the parts are one text: a part's end is an end of both encodings
-    ids_a, ids_b = (np.fromiter(chain.from_iterable(held), dtype=np.int64) for held in (held_a, held_b))
     group_a, group_b, met, with_ = aligned(ids_a, ids_b, np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b]))
     # a mark follows each id: a comma, at the end of a group's A ids a bar, at the end of its B ids a semicolon
     mark_a, mark_b = np.zeros(len(ids_a), dtype=np.int64), np.zeros(len(ids_b), dtype=np.int64)
@@ -155,14 +209,13 @@ def align_parts(parts: list[str], path_a: str, path_b: str) -> list[tuple]:
     mark_b[np.append(np.flatnonzero(np.diff(group_b)), len(ids_b) - 1)] = 2
     order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
     marked = np.concatenate((text_a[ids_a, mark_a], text_b[ids_b, mark_b]))[order].tolist()
-    pairs = ((ids_a[met] << 32) + ids_b[with_]).tolist()
-    n_a, n_b = ([len(ids) for ids in held] for held in (held_a, held_b))
-    end_a = np.cumsum(n_a)
-    end_group, end_pair = group_a[end_a - 1] + 1, np.searchsorted(met, end_a)
+    pairs = ((ids_a[met] << 32) + ids_b[with_]).tobytes()
+    end_a, end = np.cumsum(n_a), np.cumsum(n_a + n_b).tolist()
+    end_group, end_pair = group_a[end_a - 1] + 1, 8 * np.searchsorted(met, end_a)
     tokens = group = pair = 0
-    for at, x, y, to_group, to_pair in zip(whole, n_a, n_b, end_group.tolist(), end_pair.tolist(), strict=True):
-        out[at] = x, y, to_group - group, "".join(marked[tokens : tokens + x + y])[:-1], pairs[pair:to_pair]
-        tokens, group, pair = tokens + x + y, to_group, to_pair
+    for at, x, y, upto, to_group, to_pair in zip(places, n_a.tolist(), n_b.tolist(), end, end_group.tolist(), end_pair.tolist(), strict=True):
+        out[at] = x, y, to_group - group, "".join(marked[tokens:upto])[:-1], pairs[pair:to_pair]
+        tokens, group, pair = upto, to_group, to_pair
     return out
 
 
@@ -171,25 +224,45 @@ def align_texts(texts: list[str | None], path_a: str, path_b: str, known: Rememb
 
     Texts that one of the encodings does not give back byte by byte have no tokens. Both encodings end a token before a
     single space between two plain characters, so no component crosses it: a text is cut there, and what a part comes to
-    is remembered, up to a bounded number of parts, of which long ones are none.
+    is remembered, up to a bounded number of parts, of which long ones are none. What the different parts come to is added
+    up for all texts at once.
     """
     cut = BORDER.split if parts_stand_alone(path_b) else lambda text: [text]
     split = [cut(t) if t else [] for t in texts]
-    new = [p for p in set(chain.from_iterable(split)) if known.get(p) is None]
-    found: dict[str, tuple] = {}
+    flat = list(chain.from_iterable(split))
+    if not flat:
+        return [(0, 0, 0, 0, "", [], [])] * len(texts)
+    place = {p: i for i, p in enumerate(dict.fromkeys(flat))}
+    got = list(map(known.get, place))
+    unknown = [g is None for g in got]
+    new = list(compress(place, unknown))
     for part, what in zip(new, align_parts(new, path_a, path_b), strict=True):
-        found[part] = what
+        got[place[part]] = what
         if len(part) <= LONGEST:
             known.put(part, what)
-    out, recent = [], known.new.get
-    for parts in split:
-        got = [recent(p) or found.get(p) for p in parts]
-        if not got or not all(g[0] for g in got):
+    n_a, n_b, n_groups, groups, links = zip(*got, strict=True)
+    at = np.fromiter(map(place.__getitem__, flat), dtype=np.int64, count=len(flat))
+    bounds = np.cumsum([0, *map(len, split)])
+
+    def added(of: np.ndarray) -> np.ndarray:
+        """Sums over each text's parts."""
+        return np.diff(np.concatenate(([0], np.cumsum(of)))[bounds])
+
+    n_a, n_b, n_groups, n_links = (np.asarray(n, dtype=np.int64)[at] for n in (n_a, n_b, n_groups, list(map(len, links))))
+    n_links //= 8
+    none = (added(n_a == 0) > 0) | (np.diff(bounds) == 0)
+    # the links of the different parts one after another; each part of a text takes its stretch of them
+    every = np.frombuffer(b"".join(links), dtype=np.int64)
+    first = np.cumsum([0, *map(len, links)])[at] // 8
+    pairs = every[np.repeat(first - (np.cumsum(n_links) - n_links), n_links) + np.arange(n_links.sum())]
+    ends = np.concatenate(([0], np.cumsum(n_links)))[bounds].tolist()
+    sums = zip(*(added(n).tolist() for n in (n_a, n_b, n_groups, n_links)), strict=True)
+    out, at, bounds, written_as = [], at.tolist(), bounds.tolist(), groups.__getitem__
+    for i, (numbers, nothing) in enumerate(zip(sums, none.tolist(), strict=True)):
+        if nothing:
             out.append((0, 0, 0, 0, "", [], []))
-            continue
-        n_a, n_b, n_groups, groups, links = zip(*got, strict=True)
-        pairs = list(chain.from_iterable(links))
-        out.append((sum(n_a), sum(n_b), sum(n_groups), len(pairs), ";".join(groups), *np.unique(np.asarray(pairs, dtype=np.int64), return_counts=True)))
+        else:
+            out.append((*numbers, ";".join(map(written_as, at[bounds[i] : bounds[i + 1]])), *np.unique(pairs[ends[i] : ends[i + 1]], return_counts=True)))
     known.tidy()
     return out
 
@@ -202,7 +275,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_column: str =
     """
 
     def rows(batches):
-        known = Remembered()
+        known = remembered(path_a, path_b)
         for batch in batches:
             ids, texts = batch["id"].to_pylist(), batch["data"].to_pylist()
             at = 0
@@ -217,7 +290,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_column: str =
                 at = to
 
     slim = docs.selectExpr(f"CAST(`{id_column}` AS BIGINT) AS id", f"CAST(`{text_column}` AS STRING) AS data")
-    return map_rows(slim, rows, GROUP_SCHEMA, slice_rows=256)
+    return map_rows(slim, rows, GROUP_SCHEMA, slice_rows=1024)
 
 
 def pair_counts(documents: DataFrame) -> DataFrame:

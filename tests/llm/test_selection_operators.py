@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -15,6 +16,8 @@ import pytest
 
 from spatialfactor.llm import alignment, importance, queries, url_filter
 
+from .conftest import prose
+
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = ["", "a", "  two  spaces ", "tab\tand\nlines\r\n", "<|endoftext|> plain", "été ▁ underline", "\u0000\u0007", "日本語テキスト😀👩‍👩‍👧", "don't won't", "ﬁ ligature", "ab" * 300, " " * 50, "İı ſ \u2028 x", "e\u0301 combining"]
 
@@ -191,3 +194,24 @@ def test_parts_of_a_text_come_to_the_same_as_the_whole(monkeypatch):
     monkeypatch.setattr(alignment, "BORDER", re.compile("(?!)"))
     assert parted == rows() and sum(r[0] > 0 for r in parted) > 150
     assert sum(r[0] == 0 for r in parted) > 20  # the sign of a space in a text
+
+
+def test_parts_encoded_together_are_as_alone(monkeypatch):
+    """Plain parts are encoded in one text: parts that are not given back, special strings and others with marks among them."""
+    rng = random.Random(5)
+    parts = [prose(rng, 1) + rng.choice(["", ",", ".", "'s", "é"]) for _ in range(1500)]
+    parts += ["Ĳx", "ſa", "<|endoftext|>", "<s>", "</s>", "<unk>", "<0x41>", "á", "x\ny", "", "\ta", "b\t", "z" * 3000, "世界", "'ll", "1234567", "..."]
+    parts = list(dict.fromkeys(parts))
+    rng.shuffle(parts)
+    asked = []
+    encode = alignment.ByteLevel.encode
+    monkeypatch.setattr(alignment.ByteLevel, "encode", lambda self, texts: asked.extend(texts) or encode(self, texts))
+    together = alignment.align_parts(parts, A, B)
+    assert len(asked) < 30
+    assert together == [alignment.align_parts([p], A, B)[0] for p in parts]
+    # a run of which an encoding doesn't give a part back is encoded part by part
+    pieces = alignment.Pieces.encode
+    monkeypatch.setattr(alignment.Pieces, "encode", lambda self, texts: [[] if "zz" in t else ids for t, ids in zip(texts, pieces(self, texts), strict=True)])
+    lost = [p for p, found in zip(parts, alignment.align_parts(parts, A, B), strict=True) if not found[0]]
+    assert set(lost) == {"", "z" * 3000}
+    assert [f for p, f in zip(parts, alignment.align_parts(parts, A, B), strict=True) if p not in lost] == [f for p, f in zip(parts, together, strict=True) if p not in lost]
