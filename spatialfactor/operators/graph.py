@@ -165,7 +165,10 @@ def auto_radius(obs: DataFrame, coords: tuple[str, ...] = ("x", "y")) -> float:
 
 
 def radius_graph(obs: DataFrame, radius: float | None = None, coords: tuple[str, ...] = ("x", "y")) -> DataFrame:
-    """All pairs of a sample within the radius, both directions, by grid cells as wide as the radius along the first coordinates."""
+    """All pairs of a sample within the radius, both directions, by grid cells as wide as the radius along the first coordinates.
+
+    Cells are merged, never sent round: the size that Spark expects of the points is that of their compressed file.
+    """
     radius = auto_radius(obs, coords) if radius is None else radius
     grid = obs.select("obs_id", "sample_id", *coords)
     cells = [f"cell_{c}" for c in coords[:CUT_BY]]
@@ -177,7 +180,7 @@ def radius_graph(obs: DataFrame, radius: float | None = None, coords: tuple[str,
     met = (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.obs_id") != F.col("b.obs_id"))
     for cell in cells:
         met = met & (F.col(f"a.{cell}") == F.col(f"b.{cell}"))
-    pairs = around.alias("a").join(grid.alias("b"), met)
+    pairs = around.alias("a").join(grid.hint("merge").alias("b"), met)
     return pairs.select(F.col("a.obs_id").alias("i"), F.col("b.obs_id").alias("j"), F.lit(1.0).alias("a"), _distance(coords).alias("dist")).where(F.col("dist") <= radius)
 
 

@@ -1,0 +1,17 @@
+"""What holds a job's size in bounds: no join sends round what Spark only takes to be small."""
+
+from __future__ import annotations
+
+from spatialfactor.operators import graph
+
+
+def executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_of_a_radius_graph_are_merged_whatever_size_spark_expects(spark):
+    obs = spark.range(40).selectExpr("id AS obs_id", "'s' AS sample_id", "cast(id % 8 AS double) AS x", "cast(id div 8 AS double) AS y")
+    got = graph.radius_graph(obs, 1.0)
+    assert "SortMergeJoin" in executed(got) and "Broadcast" not in executed(got)
+    # a grid of 8 by 5: each point with those beside and above it
+    assert {(r["i"], r["j"]) for r in got.collect()} == {(a, b) for a in range(40) for b in range(40) if abs(a % 8 - b % 8) + abs(a // 8 - b // 8) == 1}
