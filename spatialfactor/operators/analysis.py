@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import written
 from .order import average_rank
-from .updates import gram, merged_moments, wtx
+from .updates import gram, merged_moments, wtx, xq
 
 #: Features whose rows of Q are sent to all tasks.
 SENT_FEATURES = 200_000
@@ -47,10 +47,9 @@ def signals(factor: DataFrame) -> DataFrame:
 def reconstruction_error(expr: DataFrame, w: DataFrame, q: DataFrame, by: str | None = None) -> DataFrame:
     """Relative Frobenius error over all, by "gene" or by "obs", without forming W Q^T.
 
-    |X|^2 - 2 <X, W Q^T> + <W Q^T, W Q^T>: the cross term runs over the entries that X has, the last is a quadratic form
-    in a Gram matrix.
+    |X|^2 - 2 <X, W Q^T> + <W Q^T, W Q^T>: the cross term is that of a factor with its product with X, which has a row of
+    components a feature or observation, the last is a quadratic form in a Gram matrix.
     """
-    cross = expr.join(w, "obs_id").join(q, ["var_id", "k"])
     if by is None:
         xx = expr.agg(F.sum(F.col("x") * F.col("x")).alias("xx"))
         xr = wtx(expr, w).join(q, ["var_id", "k"]).agg(F.sum(F.col("v") * F.col("q")).alias("xr"))
@@ -60,7 +59,8 @@ def reconstruction_error(expr: DataFrame, w: DataFrame, q: DataFrame, by: str |
         raise ValueError(f"by must be gene, obs or nothing, not {by}")
     key, factor, value, g = ("var_id", q, "q", gram(w, "obs_id", "w")) if by == "gene" else ("obs_id", w, "w", gram(q, "var_id", "q"))
     xx = expr.groupBy(key).agg(F.sum(F.col("x") * F.col("x")).alias("xx"))
-    xr = cross.groupBy(key).agg(F.sum(F.col("x") * F.col("w") * F.col("q")).alias("xr"))
+    product = wtx(expr, w) if by == "gene" else xq(expr, q)
+    xr = product.withColumnRenamed("v", "p").join(factor, [key, "k"]).groupBy(key).agg(F.sum(F.col("p") * F.col(value)).alias("xr"))
     half = factor.join(F.broadcast(g), factor["k"] == g["k1"]).groupBy(key, F.col("k2").alias("k")).agg(F.sum(F.col(value) * F.col("v")).alias("h"))
     rr = half.join(factor, [key, "k"]).groupBy(key).agg(F.sum(F.col("h") * F.col(value)).alias("rr"))
     rows = rr.join(xx, key, "left").join(xr, key, "left").na.fill(0.0, ["xx", "xr"])

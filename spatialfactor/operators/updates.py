@@ -63,8 +63,19 @@ def gram(factor: DataFrame, key: str, value: str, out: str = "v") -> DataFrame:
 
 
 def wtx(expr: DataFrame, w: DataFrame) -> DataFrame:
-    """(k, var_id, v): W^T X, from the entries that X has."""
-    return expr.join(w, "obs_id").groupBy("k", "var_id").agg(F.sum(F.col("w") * F.col("x")).alias("v"))
+    """(k, var_id, v): W^T X, from the entries that X has.
+
+    An entry meets its observation's row of W as one, and a feature's sums over all components travel as one row.
+    """
+    ks = sorted(r["k"] for r in w.select("k").distinct().collect())
+    if not ks:
+        return expr.join(w, "obs_id").select("k", "var_id", F.lit(0.0).alias("v"))
+    kind = w.schema["k"].dataType
+    # what a row of W has no entry for stays null, so that no sum is made of it
+    wide = w.groupBy("obs_id").agg(*[F.sum(F.when(F.col("k") == k, F.col("w"))).alias(f"w{i}") for i, k in enumerate(ks)])
+    sums = expr.join(wide.hint("merge"), "obs_id").groupBy("var_id").agg(*[F.sum(F.col(f"w{i}") * F.col("x")).alias(f"v{i}") for i in range(len(ks))])
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast(kind).alias("k"), F.col(f"v{i}").alias("v")) for i, k in enumerate(ks)]))
+    return sums.select("var_id", each.alias("e")).select("e.k", "var_id", "e.v").where("v IS NOT NULL")
 
 
 def xq(expr: DataFrame, q: DataFrame) -> DataFrame:

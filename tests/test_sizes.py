@@ -15,3 +15,19 @@ def test_points_of_a_radius_graph_are_merged_whatever_size_spark_expects(spark):
     assert "SortMergeJoin" in executed(got) and "Broadcast" not in executed(got)
     # a grid of 8 by 5: each point with those beside and above it
     assert {(r["i"], r["j"]) for r in got.collect()} == {(a, b) for a in range(40) for b in range(40) if abs(a % 8 - b % 8) + abs(a // 8 - b // 8) == 1}
+
+
+def test_activities_send_no_observations_round_and_are_those_of_the_sql(spark):
+    import __spark_entry__ as driver
+    from spatialfactor.plans.fixtures import VIEWS, view
+
+    folder = "/root/testdata/sf0.001"
+    tables = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in ("part", "orders", "lineitem")}
+    sql = VIEWS["fx_w"][1]
+    for t in tables:
+        sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
+    w = view(spark, folder, "fx_w")
+    assert sorted(map(tuple, w.collect())) == sorted(map(tuple, spark.sql(sql, **tables).collect()))
+    for plan in (executed(w), executed(driver.queries()["recon_error_per_gene"](spark, folder))):
+        # the side that is sent round is that of the components
+        assert "BuildRight, Cross" in plan and "BuildLeft" not in plan
