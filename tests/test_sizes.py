@@ -31,3 +31,25 @@ def test_activities_send_no_observations_round_and_are_those_of_the_sql(spark):
     for plan in (executed(w), executed(driver.queries()["recon_error_per_gene"](spark, folder))):
         # the side that is sent round is that of the components
         assert "BuildRight, Cross" in plan and "BuildLeft" not in plan
+
+
+def test_procrustes_takes_tens_of_thousands_of_features_in_seconds(spark, tmp_path):
+    import time
+
+    import numpy as np
+
+    import __spark_entry__ as driver
+
+    n = 60_000
+    lines = spark.range(4 * n).selectExpr("id AS l_orderkey", f"id * 7 % 50 AS l_partkey", f"id % {n} AS l_suppkey", "cast(1 + id * id % 11 AS double) AS l_quantity")
+    orders = spark.range(4 * n).selectExpr("id AS o_orderkey", "concat(cast(1 + (id * 13 + id div 7) % 3 AS string), '-X') AS o_orderpriority")
+    for name, df in (("lineitem", lines), ("orders", orders), ("part", spark.range(50).selectExpr("id AS p_partkey"))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    began = time.time()
+    got = driver.queries()["procrustes"](spark, str(tmp_path)).toArrow()
+    took = time.time() - began
+    q = np.zeros((n, 2))
+    q[got["var_id"].to_numpy(), got["k"].to_numpy() - 1] = got["q"].to_numpy()
+    # entries are rounded to six places
+    assert len(got) == 2 * n and np.abs(q.T @ q - np.eye(2)).max() < 1e-3
+    assert took < 30
