@@ -43,3 +43,16 @@ def test_repeated_null_and_missing_entries(spark):
     for bad in (lambda: matrix.to_blocks(entries, size=0), lambda: matrix.to_blocks(entries.union(spark.createDataFrame([(None, 1, 1.0)], entries.schema)))):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_a_thin_matrix_has_blocks_by_its_entries(spark):
+    """Columns that each have entries in far rows made a block, with a start for each of its rows, of almost every entry."""
+    rng = np.random.default_rng(3)
+    cells = {(int(r), int(c)) for c in range(2_048) for r in rng.integers(-(10**12), 10**12, 3)}
+    entries = spark.createDataFrame([(r, c, 1.0) for r, c in cells], "r bigint, c bigint, v double")
+    for bound, most in ((32_768, 2), (1_000, 8)):
+        blocks = matrix.to_blocks(entries, "r", "c", "v", block_entries=bound)
+        held = [(len(b["rows"]), len(b["indptr"]), len(b["vals"])) for b in blocks.table.collect()]
+        assert len(held) <= most and sum(n for _, _, n in held) == len(cells)
+        assert all(starts == rows + 1 and n <= 1.2 * bound for rows, starts, n in held)
+        assert {(x.r, x.c) for x in matrix.from_blocks(blocks).collect()} == cells
