@@ -99,19 +99,126 @@ def highly_variable(expr: DataFrame, obs: DataFrame, n_top: int = 2000, span: fl
     return per_gene.withColumn("rank", F.row_number().over(order)).select("var_id", "rank", (F.col("rank") <= n_top).alias("highly_variable"))
 
 
+#: Up to so many points each fit goes over its points; of more, over sums of leaves and of what a tree makes of them.
+DIRECT_POINTS, LEAF = 2_000, 32
+
+
 def local_quadratic(x, y, span: float):
     """Tricube-weighted quadratic fit around each point, over the nearest ``span`` of the points."""
     import numpy as np
 
-    k = max(4, int(np.ceil(span * len(x))))
-    out = np.empty(len(x))
-    for i, c in enumerate(x):
-        d = np.abs(x - c)
-        near = np.argpartition(d, min(k, len(x)) - 1)[:k]
-        h = d[near].max() or 1.0
-        sw = np.sqrt(np.maximum((1 - (d[near] / h) ** 3) ** 3, 1e-9))
-        a = np.vander(x[near] - c, 3)
-        out[i] = np.linalg.lstsq(a * sw[:, None], y[near] * sw, rcond=None)[0][2]
+    k = min(max(4, int(np.ceil(span * len(x)))), len(x))
+    if len(x) > DIRECT_POINTS:
+        return _quadratic_by_sums(np.asarray(x, dtype=float), np.asarray(y, dtype=float), k)
+    return np.asarray([_quadratic_at(x, y, c, k) for c in x])
+
+
+def _quadratic_at(x, y, c: float, k: int) -> float:
+    import numpy as np
+
+    d = np.abs(x - c)
+    near = np.argpartition(d, k - 1)[:k]
+    h = d[near].max() or 1.0
+    sw = np.sqrt(np.maximum((1 - (d[near] / h) ** 3) ** 3, 1e-9))
+    a = np.vander(x[near] - c, 3)
+    return np.linalg.lstsq(a * sw[:, None], y[near] * sw, rcond=None)[0][2]
+
+
+def _quadratic_by_sums(x, y, k: int, chunk: int = 1 << 13):
+    """``local_quadratic`` of n points in n log n steps.
+
+    The k nearest of a point are neighbours in the order of x, and left and right of it the tricube weight is a polynomial in
+    the distance; so sums of powers of the distance, to the 13th, give the fit. Leaves of 32 points and the nodes of a binary
+    tree over them hold such sums about their own middle, in units of their own radius, and are carried to the point in units
+    of its window. All of these are at most 1, so nothing cancels. Leaves at the window's ends and around the point are gone
+    over one by one. Where the sums leave the fit undetermined, as with few different x, it is made from the points.
+    """
+    from math import comb
+
+    import numpy as np
+
+    n, order = len(x), np.argsort(x, kind="stable")
+    xs, ys = x[order], y[order]
+    padded = -(-n // LEAF) * LEAF
+    px, py, real = (np.concatenate((v, np.full(padded - n, fill))) for v, fill in ((xs, xs[-1]), (ys, 0.0), (np.ones(n), 0.0)))
+    powers = np.arange(14)
+    carry = np.asarray([[comb(m, j) if j <= m else 0 for j in range(14)] for m in range(14)], dtype=float)
+
+    def carried(sums, scale, shift):
+        """Sums of powers about another middle: scale and shift are the old radius and the way between, in the new unit."""
+        scaled, ways = sums * (scale[:, None] ** powers)[:, None, :], shift[:, None] ** powers
+        out = np.zeros_like(sums)
+        for m in range(14):
+            out[:, :, m] = np.einsum("nsj,nj->ns", scaled[:, :, : m + 1], ways[:, m::-1] * carry[m, : m + 1])
+        return out
+
+    leaf_x = px.reshape(-1, LEAF)
+    low, high = leaf_x[:, 0], leaf_x[:, -1]
+    middle, radius = [(low + high) / 2], [np.maximum((high - low) / 2, 1e-300)]
+    each = ((leaf_x - middle[0][:, None]) / radius[0][:, None])[:, :, None] ** powers
+    weights = np.stack((real.reshape(-1, LEAF), (real * py).reshape(-1, LEAF)), axis=1)
+    levels = [np.einsum("nsp,npm->nsm", weights, each)]
+    del each
+    while len(levels[-1]) > 1:
+        below, mid, rad = levels[-1], middle[-1], radius[-1]
+        if len(below) % 2:
+            below, mid, rad = np.concatenate((below, np.zeros((1, 2, 14)))), np.append(mid, mid[-1]), np.append(rad, rad[-1])
+        left, right = mid[0::2] - rad[0::2], mid[1::2] + rad[1::2]
+        center, size = (left + right) / 2, np.maximum((right - left) / 2, 1e-300)
+        levels.append(sum(carried(below[i::2], rad[i::2] / size, (mid[i::2] - center) / size) for i in (0, 1)))
+        middle.append(center)
+        radius.append(size)
+
+    out = np.empty(n)
+    for first in range(0, n, chunk):
+        at = np.arange(first, min(n, first + chunk))
+        c = xs[at]
+        # the window starts where its next point is no nearer than its first
+        lo, top = np.maximum(at - k + 1, 0), np.minimum(at, n - k)
+        while (lo < top).any():
+            half = (lo + top) // 2
+            on = (lo < top) & (c - xs[half] > xs[np.minimum(half + k, n - 1)] - c)
+            lo, top = np.where(on, half + 1, lo), np.where(on | (lo >= top), top, half)
+        hi = lo + k
+        h = np.maximum(c - xs[lo], xs[hi - 1] - c)
+        h[h == 0] = 1.0
+        sums = np.zeros((2, len(at), 2, 14))
+        moments, products = np.zeros((len(at), 5)), np.zeros((len(at), 3))
+        ends = np.stack((lo // LEAF, at // LEAF, (hi - 1) // LEAF))
+        for e in range(3):
+            fresh = np.flatnonzero(np.all(ends[e] != ends[:e], axis=0)) if e else np.arange(len(at))
+            place = ends[e][fresh][:, None] * LEAF + np.arange(LEAF)
+            u = (px[place] - c[fresh, None]) / h[fresh, None]
+            w = np.maximum((1 - np.abs(u) ** 3) ** 3, 1e-9) * ((place >= lo[fresh, None]) & (place < hi[fresh, None]))
+            for m in range(5):
+                moments[fresh, m] += (w * u**m).sum(axis=1)
+                if m < 3:
+                    products[fresh, m] += (w * u**m * py[place]).sum(axis=1)
+        for side in (0, 1):
+            a, b = ends[side] + 1, ends[side + 1].copy()
+            for level, (nodes, mid, rad) in enumerate(zip(levels, middle, radius, strict=True)):
+                for odd, node in ((a, 0), (b, -1)):
+                    take = np.flatnonzero((a < b) & (odd % 2 == 1))
+                    if len(take):
+                        chosen = odd[take] + node
+                        sums[side, take] += carried(nodes[chosen], rad[chosen] / h[take], (mid[chosen] - c[take]) / h[take])
+                        odd[take] += 1 if node == 0 else -1
+                a, b = a // 2, b // 2
+                if not (a < b).any():
+                    break
+        for side, sign in ((0, 1.0), (1, -1.0)):
+            tricube = lambda t, m, s=sign: t[:, m] + 3 * s * t[:, m + 3] + 3 * t[:, m + 6] + s * t[:, m + 9]
+            for m in range(5):
+                moments[:, m] += tricube(sums[side, :, 0], m)
+                if m < 3:
+                    products[:, m] += tricube(sums[side, :, 1], m)
+        a0, a1, a2, a3, a4 = moments.T / moments[:, 0]
+        b0, b1, b2 = products.T / moments[:, 0]
+        found = a0 * (a2 * a4 - a3 * a3) - a1 * (a1 * a4 - a2 * a3) + a2 * (a1 * a3 - a2 * a2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            fit = (b0 * (a2 * a4 - a3 * a3) - a1 * (b1 * a4 - b2 * a3) + a2 * (b1 * a3 - b2 * a2)) / found
+        open_ = {v: _quadratic_at(xs, ys, v, k) for v in np.unique(c[~(found > 1e-9 * a2 * a4)])}
+        out[order[at]] = [open_.get(v, f) for v, f in zip(c, fit, strict=True)] if open_ else fit
     return out
 
 

@@ -53,3 +53,27 @@ def test_procrustes_takes_tens_of_thousands_of_features_in_seconds(spark, tmp_pa
     # entries are rounded to six places
     assert len(got) == 2 * n and np.abs(q.T @ q - np.eye(2)).max() < 1e-3
     assert took < 30
+
+
+def test_local_fits_of_many_genes_take_seconds_and_are_those_of_each_gene():
+    import time
+
+    import numpy as np
+
+    from spatialfactor.operators import preprocess
+
+    rng = np.random.default_rng(1)
+    for x in (rng.normal(size=2_503), rng.exponential(size=2_503), np.round(rng.normal(size=2_503), 1), np.repeat(rng.normal(size=835), 3)):
+        y = np.sin(x) + rng.normal(scale=0.1, size=len(x))
+        for span in (0.3, 0.05, 1.0):
+            got, k = preprocess.local_quadratic(x, y, span), int(np.ceil(span * len(x)))
+            for i in (*range(0, len(x), 50), x.argmin(), x.argmax()):
+                near = np.sort(np.abs(x - x[i]))[:k]
+                chosen = np.argsort(np.abs(x - x[i]), kind="stable")[:k]
+                weight = np.sqrt(np.maximum((1 - (near / near[-1]) ** 3) ** 3, 1e-9))
+                want = np.linalg.lstsq(np.vander(x[chosen] - x[i], 3) * weight[:, None], y[chosen] * weight, rcond=None)[0][2]
+                assert abs(got[i] - want) < 1e-7
+    x = rng.normal(size=50_000)
+    began = time.time()
+    preprocess.local_quadratic(x, x**2, 0.3)
+    assert time.time() - began < 15
