@@ -77,3 +77,19 @@ def test_local_fits_of_many_genes_take_seconds_and_are_those_of_each_gene():
     began = time.time()
     preprocess.local_quadratic(x, x**2, 0.3)
     assert time.time() - began < 15
+
+
+def test_a_figure_of_both_matrices_shuffles_no_cells(spark):
+    from spatialfactor.operators import plotdata
+
+    w = spark.createDataFrame([(1, 0, 2.0), (1, 1, 1.0), (2, 0, 0.5), (3, 1, 3.0)], "obs_id bigint, k int, w double")
+    q = spark.createDataFrame([(7, 0, 1.0), (7, 1, -1.0), (8, 1, 2.0), (9, 0, 5.0)], "var_id bigint, k int, q double")
+    expr = spark.createDataFrame([(1, 7, 4.0), (2, 8, 6.0), (2, 9, 1.0)], "obs_id bigint, var_id bigint, x double")
+    genes = spark.createDataFrame([(7,), (8,)], "var_id bigint")
+    got = plotdata.spatial_reconstruction(expr, w, q, genes)
+    # 3 has no entries, 9 is not among the genes
+    assert sorted(map(tuple, got.collect())) == [
+        (1, 7, 4.0, 1.0, -3.0, 4.0), (1, 8, 0.0, 2.0, 0.0, 6.0), (2, 7, 0.0, 0.5, -3.0, 4.0), (2, 8, 6.0, 0.0, 0.0, 6.0), (3, 7, 0.0, -3.0, -3.0, 4.0), (3, 8, 0.0, 6.0, 0.0, 6.0)
+    ]
+    assert "Exchange" not in executed(got) and "Join" not in executed(got)
+    assert plotdata.spatial_reconstruction(expr, w, q, genes.limit(0)).collect() == []
