@@ -93,3 +93,11 @@ def test_a_figure_of_both_matrices_shuffles_no_cells(spark):
     ]
     assert "Exchange" not in executed(got) and "Join" not in executed(got)
     assert plotdata.spatial_reconstruction(expr, w, q, genes.limit(0)).collect() == []
+
+
+def test_neighbours_in_medium_samples_are_found_whole_and_are_those_of_tiles(spark):
+    obs = spark.range(1_500).selectExpr("id AS obs_id", "'s' AS sample_id", "cast(id * 37 % 211 AS double) AS x", "cast(id * 53 % 97 AS double) AS y")
+    got = graph.nearest(obs, 4)
+    plan = executed(got)
+    assert "FlatMapGroupsInPandas" in plan and "CoGroups" not in plan and "REPARTITION_BY_NUM" in plan
+    assert {(r["i"], r["j"]) for r in got.collect()} == {(r["i"], r["j"]) for r in graph.nearest(obs, 4, tile_points=300).collect()}
